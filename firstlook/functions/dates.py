@@ -9,31 +9,46 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F, types as T
 
-# The date shapes understood, the month names, and the nanosecond range of years.
-CLOCK = r"(?:[T ]+(\d{1,2}(?::\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?) ?([AaPp][Mm])?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?)?"
-DAY_NAME = r"(?:(?i:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)(?i:day|sday|nesday|rsday|urday)?,? )?"
-YEAR_MONTH_DAY = r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?" + CLOCK + "$"
-MONTH_DAY_YEAR = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + CLOCK + "$"
-COMPACT = r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2})(\d{2}))?$"
-YEAR_ONLY = r"^(\d{4})$"
-YEAR_QUARTER = r"^(\d{4})-?[Qq]([1-4])$"
-MONTH_YEAR = r"^(\d{1,2})/(\d{4})$"
-DAY_NAME_YEAR = r"^" + DAY_NAME + r"(\d{1,2})(?:st|nd|rd|th)?[- ]?([A-Za-z]{3,9})\.?,?[- ]?(\d{4})" + CLOCK + "$"
-NAME_DAY_YEAR = r"^" + DAY_NAME + r"([A-Za-z]{3,9})\.?[- ](\d{1,2})(?:st|nd|rd|th)?,?[- ](\d{4})" + CLOCK + "$"
-NAME_YEAR = r"^([A-Za-z]{3,9})[- ](\d{4})$"
-YEAR_NAME_DAY = r"^(\d{4})[- ]([A-Za-z]{3,9})(?:[- ](\d{1,2}))?$"
+# The date shapes understood and the month names. Years 1680 to 2261 fit a nanosecond clock.
+YEAR = r"(1(?:6[89]|[7-9]\d)\d|2(?:[01]\d|2[0-5])\d|226[01])"
+NAME = r"([A-Za-z]{3,9})\.?"
+DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+WEEKDAY = r"^(?i:(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?),? "
+CLOCK = (
+    r"[T ]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?|(?<=\d-\d{2}[T ])\d{2})"
+    r" ?([AaPp][Mm])?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?$"
+)
+YEAR_MONTH_DAY = f"^{YEAR}[-/.](\\d{{1,2}})(?:[-/.](\\d{{1,2}}))?$"
+MONTH_DAY_YEAR = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
+COMPACT = f"^{YEAR}(\\d{{2}})(\\d{{2}})(?:T?(\\d{{2}})(\\d{{2}})(\\d{{2}}))?$"
+YEAR_ONLY = f"^{YEAR}$"
+YEAR_QUARTER = f"^{YEAR}-?[Qq]([1-4])$"
+MONTH_YEAR = f"^(\\d{{1,2}})/{YEAR}$"
+DAY_NAME_YEAR = f"^{DAY}[- ]?{NAME},?[- ]?{YEAR}$"
+NAME_DAY_YEAR = f"^{NAME}[- ]{DAY},?[- ]{YEAR}$"
+NAME_YEAR = f"^{NAME}[- ]{YEAR}$"
+YEAR_NAME_DAY = f"^{YEAR}[- ]{NAME}(?:[- ]{DAY})?$"
 MONTHS = {
     "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7,
     "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9,
     "oct": 10, "nov": 11, "dec": 12,
 }
-EARLIEST, LATEST = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
 LONGEST_DATE_TEXT = 48
+# Every shape above starts with digits and a separator, a year, or a month or day name.
+DATE_START = (
+    r"^\s*(?:\d{1,4}[-/.: ]|\d{4}(?:[Qq]|$|\s)|\d{8}(?:$|[T\s\d])|\d{1,2}(?:st|nd|rd|th|[A-Za-z]{3})"
+    r"|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun))"
+)
 
 MICROS_PER_DAY = 86_400_000_000
 
 
+def may_be_date(col: Column) -> Column:
+    """Cheap test that every date text passes: short, with a digit, and starting like a date."""
+    return (F.length(col) <= LONGEST_DATE_TEXT) & col.rlike(DATE_START) & col.rlike(r"\d")
+
+
 def parse_datetime(col: Column) -> Column:
     """Timestamp of a date written in one of the shapes above, else NULL.
 
@@ -41,65 +56,51 @@ def parse_datetime(col: Column) -> Column:
     parser, and long text is turned away by its length alone.
     """
     text = F.trim(col)
+    day_text = F.regexp_replace(F.regexp_replace(text, CLOCK, ""), WEEKDAY, "")
     months = F.create_map(*[F.lit(v) for v in chain.from_iterable(MONTHS.items())])
 
     def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
+        return F.regexp_extract(day_text, pattern, group)
 
-    def named_month(pattern: str, group: int) -> Column:
+    def month(pattern: str, group: int) -> Column:
         return F.element_at(months, F.lower(part(pattern, group))).cast("string")
 
-    def clock(pattern: str, group: int) -> Column:
-        time, half = part(pattern, group), F.lower(part(pattern, group + 1))
-        hour = F.regexp_extract(time, r"^\d+", 0).try_cast("int")
-        rest = F.regexp_replace(time, r"^\d+", "")
-        rest = F.when(rest == "", ":00").otherwise(rest)
-        hour24 = (
-            F.when(half == "", hour)
-            .when((hour < 1) | (hour > 12), F.lit(None).cast("int"))
-            .otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
-        )
-        return F.when(time == "", "").otherwise(F.concat(F.lit(" "), hour24.cast("string"), rest))
-
-    def ymd(year: Column, month: Column, day: Column, time: Column | str = "") -> Column:
-        time = F.lit(time) if isinstance(time, str) else time
-        return F.concat(year, F.lit("-"), month, F.lit("-"), day, time).try_cast("timestamp_ntz")
-
-    def or_one(day: Column) -> Column:
-        return F.when(day == "", "1").otherwise(day)
+    def day(pattern: str, group: int) -> Column:
+        return F.coalesce(F.nullif(part(pattern, group), F.lit("")), one)
 
     one = F.lit("1")
     first, second, year = (part(MONTH_DAY_YEAR, g) for g in (1, 2, 3))
-    swapped = first.try_cast("int") > 12
-    two_digit = F.length(year) == 2
-    century = F.when(year.try_cast("int") >= 70, "19").otherwise("20")
-    compact_time = F.when(part(COMPACT, 4) == "", "").otherwise(
-        F.concat(F.lit(" "), part(COMPACT, 4), F.lit(":"), part(COMPACT, 5), F.lit(":"), part(COMPACT, 6))
+    swapped = first.cast("int") > 12
+    full_year = F.when(F.length(year) == 4, year).otherwise(
+        F.concat(F.when(year.cast("int") >= 70, "19").otherwise("20"), year)
     )
-    quarter_month = (part(YEAR_QUARTER, 2).try_cast("int") * 3 - 2).cast("string")
-
-    parsed = (
-        F.when(text.rlike(YEAR_MONTH_DAY), ymd(
-            part(YEAR_MONTH_DAY, 1), part(YEAR_MONTH_DAY, 2), or_one(part(YEAR_MONTH_DAY, 3)), clock(YEAR_MONTH_DAY, 4)))
-        .when(text.rlike(MONTH_DAY_YEAR), ymd(
-            F.when(two_digit, F.concat(century, year)).otherwise(year),
-            F.when(swapped, second).otherwise(first),
-            F.when(swapped, first).otherwise(second), clock(MONTH_DAY_YEAR, 4)))
-        .when(text.rlike(COMPACT), ymd(part(COMPACT, 1), part(COMPACT, 2), part(COMPACT, 3), compact_time))
-        .when(text.rlike(YEAR_ONLY), ymd(part(YEAR_ONLY, 1), one, one))
-        .when(text.rlike(YEAR_QUARTER), ymd(part(YEAR_QUARTER, 1), quarter_month, one))
-        .when(text.rlike(MONTH_YEAR), ymd(part(MONTH_YEAR, 2), part(MONTH_YEAR, 1), one))
-        .when(text.rlike(DAY_NAME_YEAR), ymd(
-            part(DAY_NAME_YEAR, 3), named_month(DAY_NAME_YEAR, 2), part(DAY_NAME_YEAR, 1), clock(DAY_NAME_YEAR, 4)))
-        .when(text.rlike(NAME_DAY_YEAR), ymd(
-            part(NAME_DAY_YEAR, 3), named_month(NAME_DAY_YEAR, 1), part(NAME_DAY_YEAR, 2), clock(NAME_DAY_YEAR, 4)))
-        .when(text.rlike(NAME_YEAR), ymd(part(NAME_YEAR, 2), named_month(NAME_YEAR, 1), one))
-        .when(text.rlike(YEAR_NAME_DAY), ymd(
-            part(YEAR_NAME_DAY, 1), named_month(YEAR_NAME_DAY, 2), or_one(part(YEAR_NAME_DAY, 3))))
+    quarter_start = (part(YEAR_QUARTER, 2).cast("int") * 3 - 2).cast("string")
+    shapes = [
+        (YEAR_MONTH_DAY, part(YEAR_MONTH_DAY, 1), part(YEAR_MONTH_DAY, 2), day(YEAR_MONTH_DAY, 3)),
+        (MONTH_DAY_YEAR, full_year, F.when(swapped, second).otherwise(first), F.when(swapped, first).otherwise(second)),
+        (COMPACT, part(COMPACT, 1), part(COMPACT, 2), part(COMPACT, 3)),
+        (YEAR_ONLY, part(YEAR_ONLY, 1), one, one),
+        (YEAR_QUARTER, part(YEAR_QUARTER, 1), quarter_start, one),
+        (MONTH_YEAR, part(MONTH_YEAR, 2), part(MONTH_YEAR, 1), one),
+        (DAY_NAME_YEAR, part(DAY_NAME_YEAR, 3), month(DAY_NAME_YEAR, 2), part(DAY_NAME_YEAR, 1)),
+        (NAME_DAY_YEAR, part(NAME_DAY_YEAR, 3), month(NAME_DAY_YEAR, 1), part(NAME_DAY_YEAR, 2)),
+        (NAME_YEAR, part(NAME_YEAR, 2), month(NAME_YEAR, 1), one),
+        (YEAR_NAME_DAY, part(YEAR_NAME_DAY, 1), month(YEAR_NAME_DAY, 2), day(YEAR_NAME_DAY, 3)),
+    ]
+    calendar_day = F
+    for pattern, y, m, d in shapes:
+        calendar_day = calendar_day.when(day_text.rlike(pattern), F.concat_ws("-", y, m, d))
+
+    clock, half = F.regexp_extract(text, CLOCK, 1), F.lower(F.regexp_extract(text, CLOCK, 2))
+    hour = F.regexp_extract(clock, r"^\d+", 0).try_cast("int")
+    past_hour = F.coalesce(F.nullif(F.regexp_replace(clock, r"^\d+", ""), F.lit("")), F.lit(":00"))
+    hour24 = F.when(half == "", hour).when(
+        hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0)
     )
-    in_range = parsed.between(F.lit(EARLIEST).cast("timestamp_ntz"), F.lit(LATEST).cast("timestamp_ntz"))
-    date_like = (F.length(col) <= LONGEST_DATE_TEXT) & col.rlike(r"\d{2}")
-    return F.when(date_like, F.when(in_range, parsed))
+    compact_clock = F.regexp_replace(F.regexp_extract(text, r"^\d{8}T?(\d{6})$", 1), r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3")
+    time = F.when(clock != "", F.concat(hour24.cast("string"), past_hour)).otherwise(compact_clock)
+    moment = F.trim(F.concat(calendar_day, F.lit(" "), time))
+    return F.when(may_be_date(col), moment.try_cast("timestamp_ntz"))
 
 
 def as_datetime(col: Column, dtype: T.DataType) -> Column:

@@ -17,6 +17,10 @@ ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
 MAX_FIGURE_POINTS = 50_000
 
 
+class TooManyPoints(ValueError):
+    """A chart has more points than one figure can show."""
+
+
 def chart_points(
     df: DataFrame, x: str, y: str | None = None, aggregation: str = "count", skip_null_y: bool = False
 ) -> DataFrame:
@@ -63,8 +67,7 @@ def chart_order(points: DataFrame, chart_type: str | None = None, edited: bool =
     if chart_type == "line" or isinstance(points.schema["x"].dataType, TIME_TYPES):
         return [F.col("x")]
     if isinstance(points.schema["x"].dataType, TEXT_TYPES):
-        first = points.agg(F.min("x")).first()[0]
-        if first is not None and points.where(~F.col("x").rlike(ISO_DATE)).isEmpty():
+        if points.agg(F.bool_and(F.col("x").rlike(ISO_DATE))).first()[0]:
             return [F.col("x")]
     return [F.coalesce(F.col("y"), F.lit(0)).desc(), F.col("x")]
 
@@ -100,7 +103,7 @@ def figure(
         raise ValueError("a line chart needs a y column")
     points = _plain(ordered_points(df, x, y, aggregation, chart_type, edited)).take(max_points + 1)
     if len(points) > max_points:
-        raise ValueError(f"more than {max_points} points: group '{x}' more coarsely, or use ordered_points")
+        raise TooManyPoints(f"more than {max_points} points: group '{x}' more coarsely, or use ordered_points")
     if not points:
         return {"data": [], "layout": {"title": {"text": f"{title} (no data)"}}}
     xs, ys = [p["x"] for p in points], [p["y"] for p in points]

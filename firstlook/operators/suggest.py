@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_label, as_number, data_type, nan_to_null, q
-from .charts import figure
+from .charts import TooManyPoints, figure
 from .types import CATEGORY, NUMERIC, groupable, infer_types
 
 DEFAULT_CHARTS = 8
@@ -65,7 +65,7 @@ def chart_scores(df: DataFrame, types: dict[str, str]) -> DataFrame:
     names = F.create_map(*[F.lit(v) for i, c in enumerate(axes) for v in (f"_x{i}", c)])
     on_dates = F.col("_axis").isin([f"_x{i}" for i in range(len(dates))])
 
-    def entry(aggregation: str, y_column: str | None, y) -> F.Column:
+    def entry(aggregation: str, y_column: str | None, y: Column) -> Column:
         return F.struct(
             F.lit(y_column).cast("string").alias("y_column"), F.lit(aggregation).alias("aggregation"), y.alias("y")
         )
@@ -86,7 +86,7 @@ def chart_scores(df: DataFrame, types: dict[str, str]) -> DataFrame:
     ).select("x_column", "y_column", "aggregation", _score().alias("score"))
 
 
-def _score():
+def _score() -> Column:
     """Spread relative to the mean, plus half a point per doubling of distinct values."""
     spread = F.try_divide(F.col("_std"), F.abs("_mean"))
     variety = F.log2(F.greatest(F.col("_levels"), F.lit(2))) * 0.5
@@ -130,14 +130,18 @@ class ChartSpec:
     x_column: str
     y_column: str | None
     aggregation: str
-    figure: dict
+    figure: dict | None
+    note: str | None = None
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def chart_specs(df: DataFrame, types: dict[str, str] | None = None, max_charts: int = DEFAULT_CHARTS) -> list[ChartSpec]:
-    """The suggested charts with their figures."""
+    """The suggested charts with their figures; one with too many points for a figure says so in its note."""
     specs = []
     for c in suggest_charts(df, types, max_charts).orderBy("rank").collect():
-        drawn = figure(df, c["type"], c["x_column"], c["y_column"], c["aggregation"], c["title"])
-        specs.append(ChartSpec(c["type"], c["title"], c["x_column"], c["y_column"], c["aggregation"], drawn))
+        chart = (c["type"], c["title"], c["x_column"], c["y_column"], c["aggregation"])
+        try:
+            specs.append(ChartSpec(*chart, figure(df, c["type"], *chart[2:], title=c["title"])))
+        except TooManyPoints as reason:
+            specs.append(ChartSpec(*chart, figure=None, note=str(reason)))
     return specs

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.columns import (
     REAL_TYPES, TEXT_TYPES, TIME_TYPES, WHOLE_TYPES, data_type, is_nested, is_number_text, q,
 )
-from ..functions.dates import parse_datetime
+from ..functions.dates import may_be_date, parse_datetime
 from ..functions.text import trim_space
 
 # Fixed values of the type rules.
@@ -39,7 +39,7 @@ def _text_tests(col: Column) -> dict[str, Column]:
     number = is_number_text(col)
     return {
         "word": F.bool_and(F.lower(trim_space(col)).isin(BOOLEAN_WORDS)),
-        "dates": F.count(parse_datetime(col)),
+        "dates": F.count_if(may_be_date(col)),
         "number": F.bool_and(number),
         "whole": F.bool_and(F.when(number, F.coalesce(F.trim(col).try_cast("double") % 1 == 0, F.lit(False)))),
         "many": F.min(col) != F.max(col),
@@ -62,8 +62,8 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 def profile(df: DataFrame) -> Profile:
     """Row count, NULL counts and semantic types, from one aggregate over the whole table.
 
-    Only a text column whose distinct share is too close to one half for a sketch costs a second,
-    exact count.
+    Two kinds of text columns cost a second look: those whose values start like dates are parsed, and
+    those whose distinct share is too close to one half for a sketch are counted exactly.
     """
     types: dict[str, str] = {}
     tests: list[Column] = [F.count(F.lit(1)).alias("rows")]
@@ -88,36 +88,50 @@ def profile(df: DataFrame) -> Profile:
 
     seen = df.agg(*tests).first()
     nulls = {f.name: seen["rows"] - seen[f"present{i}"] for i, f in enumerate(df.schema)}
+    present = {f.name: seen[f"present{i}"] for i, f in enumerate(df.schema)}
+    open_at = {f.name: i for i, f in enumerate(df.schema) if f.name not in types}
+    texts = [n for n in open_at if isinstance(data_type(df, n), TEXT_TYPES) and present[n]]
+
+    maybe_dates = [
+        n for n in texts if not seen[f"word{open_at[n]}"] and seen[f"dates{open_at[n]}"] / present[n] >= DATE_SHARE
+    ]
+    dates = date_shares(df, maybe_dates)
     unsure: list[str] = []
-    for i, field in enumerate(df.schema):
-        name, present = field.name, seen[f"present{i}"]
-        if name in types:
-            continue
-        if not isinstance(field.dataType, TEXT_TYPES):
+    for name, i in open_at.items():
+        if not isinstance(data_type(df, name), TEXT_TYPES):
             types[name] = "integer" if seen[f"whole{i}"] else "float"
-        elif present == 0:
+        elif not present[name]:
             types[name] = "text"
         elif seen[f"word{i}"]:
             types[name] = "boolean"
-        elif seen[f"dates{i}"] / present >= DATE_SHARE:
+        elif dates.get(name, 0.0) >= DATE_SHARE:
             types[name] = "datetime"
         elif seen[f"number{i}"]:
             types[name] = "integer" if seen[f"whole{i}"] else "float"
         elif not seen[f"many{i}"]:
             types[name] = "text"
         else:
-            share = seen[f"distinct{i}"] / present
-            if present < SMALL or abs(share / CATEGORY_SHARE - 1) <= SKETCH_MARGIN:
+            share = seen[f"distinct{i}"] / present[name]
+            if present[name] < SMALL or abs(share / CATEGORY_SHARE - 1) <= SKETCH_MARGIN:
                 unsure.append(name)
             types[name] = "categorical" if share < CATEGORY_SHARE else "text"
-    if unsure:
-        for name, (present, distinct) in exact_distinct(df, unsure).items():
-            types[name] = "categorical" if distinct / present < CATEGORY_SHARE else "text"
+    for name, (rows, distinct) in exact_distinct(df, unsure).items():
+        types[name] = "categorical" if distinct / rows < CATEGORY_SHARE else "text"
     return Profile(seen["rows"], nulls, {f.name: types[f.name] for f in df.schema})
 
 
+def date_shares(df: DataFrame, names: list[str]) -> dict[str, float]:
+    """Share of the non-null values of text columns that are dates."""
+    if not names:
+        return {}
+    row = df.agg(*[(F.count(parse_datetime(q(n))) / F.count(q(n))).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    return {n: row[f"c{i}"] for i, n in enumerate(names)}
+
+
 def exact_distinct(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
     """Non-null and distinct counts of text columns, all columns in one grouped job."""
+    if not names:
+        return {}
     keyed = df.select(*[distinct_key(q(n).cast("string")).alias(f"c{i}") for i, n in enumerate(names)])
     long = keyed.unpivot([], list(keyed.columns), "column", "value").where("value is not null")
     counts = (

@@ -1,0 +1 @@
+"""Question-and-answer sessions as they arrive."""

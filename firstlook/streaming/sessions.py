@@ -1,0 +1,39 @@
+"""Session history kept up to date by a streaming query."""
+
+from __future__ import annotations
+
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.sessions import HISTORY
+
+EXCHANGE = "session string, turn long, question string, answer string, error string"
+STATE = "turns array<bigint>, roles array<string>, texts array<string>"
+OUTPUT = "session string, turn long, role string, text string"
+
+
+def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    messages = list(zip(*state.get)) if state.exists else []
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            messages += [(2 * row.turn, "user", row.question), (2 * row.turn + 1, "assistant", row.answer)]
+        messages = sorted(messages)[-HISTORY:]
+    state.update(tuple(list(part) for part in zip(*messages)))
+    yield pd.DataFrame(
+        [(key[0], int(turn), role, text) for turn, role, text in messages], columns=["session", "turn", "role", "text"]
+    )
+
+
+def session_history(exchanges: DataFrame) -> DataFrame:
+    """Recent messages of each session that got a new exchange, from a stream of exchanges.
+
+    An exchange that ended in an error is not remembered. The state of a session is its last six
+    messages, whatever its length.
+    """
+    answered = exchanges.where(F.col("error").isNull())
+    return answered.groupBy("session").applyInPandasWithState(
+        _remember, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
+    )
