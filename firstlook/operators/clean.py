@@ -97,21 +97,24 @@ def modes(df: DataFrame, names: list[str]) -> dict[str, str | None]:
     return {n: found.get(n) for n in names}
 
 
-def _fill_number(df: DataFrame, name: str, median: float | None) -> tuple[Column, str]:
+def _fill_number(df: DataFrame, name: str, median: float | None, nulls: int) -> tuple[Column, str]:
+    """Numbers stored as text become numbers; whole numbers stay whole unless a fraction has to go in."""
     dtype = data_type(df, name)
     if median is None:
         return q(name), "left empty (no non-null values to compute median)"
     action = f"filled with median ({median})"
+    value = as_number(q(name), dtype) if isinstance(dtype, TEXT_TYPES) else q(name)
+    if not nulls:
+        return value, action
     if isinstance(dtype, WHOLE_TYPES) and float(median).is_integer():
-        return F.coalesce(q(name), F.lit(int(median)).cast(dtype)), action
-    return F.coalesce(as_number(q(name), dtype), F.lit(median)), action
+        return F.coalesce(value, F.lit(int(median)).cast(dtype)), action
+    return F.coalesce(value.cast("double"), F.lit(median)), action
 
 
 def _fill_category(df: DataFrame, name: str, mode: str | None) -> tuple[Column, str]:
-    dtype = data_type(df, name)
     if mode is None:
         return F.coalesce(q(name).cast("string"), F.lit(TEXT_FILL)), f"filled with constant '{TEXT_FILL}'"
-    return F.coalesce(q(name), F.lit(mode).cast(dtype)), f"filled with mode ('{mode}')"
+    return F.coalesce(q(name), F.lit(mode).cast(data_type(df, name))), f"filled with mode ('{mode}')"
 
 
 @dataclass
@@ -158,7 +161,7 @@ def fill_missing(
         if name not in plain:
             value, actions[name] = q(name), "left as is (nested values)"
         elif kind in NUMERIC:
-            value, actions[name] = _fill_number(df, name, median_of[name])
+            value, actions[name] = _fill_number(df, name, median_of[name], nulls[name])
         elif kind in CATEGORY:
             value, actions[name] = _fill_category(df, name, mode_of[name])
         elif kind == "datetime":

@@ -16,6 +16,7 @@ from ..functions.dates import micros_between
 
 CHUNK = "_chunk"
 MAX_CHUNKS = 20_000
+SAMPLED_PER_CHUNK = 200
 
 
 def chunk_count(df: DataFrame) -> int:
@@ -45,22 +46,30 @@ def add_chunk(df: DataFrame, order_by: str, chunks: int | None = None) -> DataFr
     """Add the chunk a row belongs to. Chunks rise with ``order_by`` and hold similar row counts.
 
     Rows read from files keep the file split they came from. Otherwise the cuts are approximate
-    quantiles; any cut gives the same results, so approximation only touches the balance.
+    quantiles of a sample; any cut gives the same results, so that only touches the balance.
     """
     if is_source_order(df, order_by):
         return df.withColumn(CHUNK, F.struct(q(order_by)["file"], q(order_by)["block"]))
     wanted = chunks or chunk_count(df)
-    position = _order_position(df, order_by)
-    placed = df.withColumn("_position", position)
-    fractions = [i / wanted for i in range(1, wanted)]
-    cuts = placed.approxQuantile("_position", fractions, 1 / (4 * wanted)) if wanted > 1 else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    placed = df.withColumn("_position", _order_position(df, order_by))
+    splits = [float("-inf"), *_cuts(placed.select("_position"), wanted), float("inf")]
     bucketed = Bucketizer(
         splits=splits, inputCol="_position", outputCol=CHUNK, handleInvalid="keep"
     ).transform(placed)
     return bucketed.drop("_position").withColumn(CHUNK, F.col(CHUNK).cast("int"))
 
 
+def _cuts(positions: DataFrame, wanted: int) -> list[float]:
+    """Rising cut points from a sample of a fixed size per chunk, so that their cost does not grow with the table."""
+    if wanted < 2:
+        return []
+    share = SAMPLED_PER_CHUNK * wanted / max(1, positions.count())
+    sampled = positions.sample(share, seed=1) if share < 1 else positions
+    fractions = [i / wanted for i in range(1, wanted)]
+    cuts = sampled.agg(F.percentile_approx("_position", fractions, max(10_000, 4 * wanted))).first()[0]
+    return sorted(set(cuts or []))
+
+
 def running_total(
     df: DataFrame, order_by: str, value: str, by: list[str] | None = None, output: str = "before"
 ) -> DataFrame:

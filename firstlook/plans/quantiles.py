@@ -68,20 +68,28 @@ def brackets(
         for f in fractions
     }
     while open_keys := [key for key, b in found.items() if not b.few and b.answer is None]:
-        sketches = []
-        for k, (c, f) in enumerate(open_keys):
+        # Quantiles that look into the same bracket of a column share one sketch.
+        wanted: dict[tuple, list[float]] = {}
+        for c, f in open_keys:
             b = found[c, f]
             _, lower, upper = _position(b.rows, f)
             slack = 2 / accuracy
-            ends = [
-                max(0.0, (lower - b.below) / b.inside - slack),
-                min(1.0, (upper + 1 - b.below) / b.inside + slack),
-            ]
-            sketches.append(F.percentile_approx(_within(q(c), b), ends, accuracy).alias(f"k{k}"))
-        ends = df.agg(*sketches).first()
+            wanted.setdefault((c, b.low, b.high), []).extend([
+                max(0.0, (lower - b.below) / b.inside - slack), min(1.0, (upper + 1 - b.below) / b.inside + slack),
+            ])
+        by_bracket = {(found[key].low, found[key].high): found[key] for key in open_keys}
+        sketched = df.agg(*[
+            F.percentile_approx(_within(q(c), by_bracket[low, high]), ends, accuracy).alias(f"s{k}")
+            for k, ((c, low, high), ends) in enumerate(wanted.items())
+        ]).first()
+        drawn = {key: iter(sketched[f"s{k}"]) for k, key in enumerate(wanted)}
+        ends = [
+            (next(drawn[c, found[c, f].low, found[c, f].high]), next(drawn[c, found[c, f].low, found[c, f].high]))
+            for c, f in open_keys
+        ]
         checks = []
         for k, (c, _) in enumerate(open_keys):
-            low, high = ends[f"k{k}"]
+            low, high = ends[k]
             inside = F.when(q(c).between(F.lit(low), F.lit(high)), q(c))
             checks += [
                 F.count_if(q(c) < F.lit(low)).alias(f"b{k}"),
@@ -97,7 +105,7 @@ def brackets(
                 # A rank was missed, or one frequent value keeps the bracket large: count values instead.
                 found[c, f] = _by_counts(df, c, f, b)
             else:
-                low, high = ends[f"k{k}"]
+                low, high = ends[k]
                 found[c, f] = Bracket(b.rows, inside, below, low, high, few(inside, seen[f"d{k}"]))
     return found
 
