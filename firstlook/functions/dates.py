@@ -6,10 +6,12 @@ All values are wall-clock ``timestamp_ntz``: nothing here depends on the session
 from __future__ import annotations
 
 from itertools import chain
+from typing import Callable
 
 from pyspark.sql import Column, functions as F, types as T
 
-# The date shapes understood and the month names. Years 1680 to 2261 fit a nanosecond clock.
+# The date shapes understood besides ISO, and the month names. The years fit a nanosecond clock.
+FIRST_YEAR, LAST_YEAR = 1680, 2261
 YEAR = r"(1(?:6[89]|[7-9]\d)\d|2(?:[01]\d|2[0-5])\d|226[01])"
 NAME = r"([A-Za-z]{3,9})\.?"
 DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
@@ -21,7 +23,6 @@ CLOCK = (
 YEAR_MONTH_DAY = f"^{YEAR}[-/.](\\d{{1,2}})(?:[-/.](\\d{{1,2}}))?$"
 MONTH_DAY_YEAR = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
 COMPACT = f"^{YEAR}(\\d{{2}})(\\d{{2}})(?:T?(\\d{{2}})(\\d{{2}})(\\d{{2}}))?$"
-YEAR_ONLY = f"^{YEAR}$"
 YEAR_QUARTER = f"^{YEAR}-?[Qq]([1-4])$"
 MONTH_YEAR = f"^(\\d{{1,2}})/{YEAR}$"
 DAY_NAME_YEAR = f"^{DAY}[- ]?{NAME},?[- ]?{YEAR}$"
@@ -49,18 +50,41 @@ def may_be_date(col: Column) -> Column:
     return (F.length(col) <= LONGEST_DATE_TEXT) & col.rlike(DATE_START) & col.rlike(r"\d")
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row, however often ``body`` mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_datetime(col: Column) -> Column:
-    """Timestamp of a date written in one of the shapes above, else NULL.
+    """Timestamp of a date written in ISO form or one of the shapes above, else NULL.
 
-    Each shape is tested by an anchored pattern first, so a cell that is no date never reaches a
-    parser, and long text is turned away by its length alone.
+    Most dates are ISO and need one cast. Other shapes are tested by anchored patterns, so a cell that
+    is no date never reaches a parser, and long text is turned away by its length alone.
     """
-    text = F.trim(col)
-    day_text = F.regexp_replace(F.regexp_replace(text, CLOCK, ""), WEEKDAY, "")
+    earliest, latest = (F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz") for year in (FIRST_YEAR, LAST_YEAR + 1))
+
+    def in_any_shape(text: Column) -> Column:
+        day_text = F.regexp_replace(F.regexp_replace(text, CLOCK, ""), WEEKDAY, "")
+        calendar_day = _bind(day_text, _calendar_day)
+        return F.trim(F.concat(calendar_day, F.lit(" "), _time_of_day(text))).try_cast("timestamp_ntz")
+
+    iso_or_other = _bind(
+        F.trim(col),
+        lambda text: _bind(
+            text.try_cast("timestamp_ntz"),
+            lambda iso: F.when((iso >= earliest) & (iso < latest), iso).otherwise(in_any_shape(text)),
+        ),
+    )
+    return F.when(may_be_date(col), iso_or_other)
+
+
+def _calendar_day(text: Column) -> Column:
+    """``year-month-day`` of a date text without its time and weekday; NULL for any other text."""
     months = F.create_map(*[F.lit(v) for v in chain.from_iterable(MONTHS.items())])
+    one = F.lit("1")
 
     def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(day_text, pattern, group)
+        return F.regexp_extract(text, pattern, group)
 
     def month(pattern: str, group: int) -> Column:
         return F.element_at(months, F.lower(part(pattern, group))).cast("string")
@@ -68,7 +92,6 @@ def parse_datetime(col: Column) -> Column:
     def day(pattern: str, group: int) -> Column:
         return F.coalesce(F.nullif(part(pattern, group), F.lit("")), one)
 
-    one = F.lit("1")
     first, second, year = (part(MONTH_DAY_YEAR, g) for g in (1, 2, 3))
     swapped = first.cast("int") > 12
     full_year = F.when(F.length(year) == 4, year).otherwise(
@@ -79,7 +102,6 @@ def parse_datetime(col: Column) -> Column:
         (YEAR_MONTH_DAY, part(YEAR_MONTH_DAY, 1), part(YEAR_MONTH_DAY, 2), day(YEAR_MONTH_DAY, 3)),
         (MONTH_DAY_YEAR, full_year, F.when(swapped, second).otherwise(first), F.when(swapped, first).otherwise(second)),
         (COMPACT, part(COMPACT, 1), part(COMPACT, 2), part(COMPACT, 3)),
-        (YEAR_ONLY, part(YEAR_ONLY, 1), one, one),
         (YEAR_QUARTER, part(YEAR_QUARTER, 1), quarter_start, one),
         (MONTH_YEAR, part(MONTH_YEAR, 2), part(MONTH_YEAR, 1), one),
         (DAY_NAME_YEAR, part(DAY_NAME_YEAR, 3), month(DAY_NAME_YEAR, 2), part(DAY_NAME_YEAR, 1)),
@@ -87,20 +109,24 @@ def parse_datetime(col: Column) -> Column:
         (NAME_YEAR, part(NAME_YEAR, 2), month(NAME_YEAR, 1), one),
         (YEAR_NAME_DAY, part(YEAR_NAME_DAY, 1), month(YEAR_NAME_DAY, 2), day(YEAR_NAME_DAY, 3)),
     ]
-    calendar_day = F
+    found = F
     for pattern, y, m, d in shapes:
-        calendar_day = calendar_day.when(day_text.rlike(pattern), F.concat_ws("-", y, m, d))
+        found = found.when(text.rlike(pattern), F.concat(y, F.lit("-"), m, F.lit("-"), d))
+    return found
 
+
+def _time_of_day(text: Column) -> Column:
+    """Time part of a date text on a 24-hour clock, empty when there is none."""
     clock, half = F.regexp_extract(text, CLOCK, 1), F.lower(F.regexp_extract(text, CLOCK, 2))
     hour = F.regexp_extract(clock, r"^\d+", 0).try_cast("int")
     past_hour = F.coalesce(F.nullif(F.regexp_replace(clock, r"^\d+", ""), F.lit("")), F.lit(":00"))
     hour24 = F.when(half == "", hour).when(
         hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0)
     )
-    compact_clock = F.regexp_replace(F.regexp_extract(text, r"^\d{8}T?(\d{6})$", 1), r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3")
-    time = F.when(clock != "", F.concat(hour24.cast("string"), past_hour)).otherwise(compact_clock)
-    moment = F.trim(F.concat(calendar_day, F.lit(" "), time))
-    return F.when(may_be_date(col), moment.try_cast("timestamp_ntz"))
+    compact = F.regexp_extract(text, r"^\d{8}T?(\d{6})$", 1)
+    return F.when(clock != "", F.concat(hour24.cast("string"), past_hour)).otherwise(
+        F.regexp_replace(compact, r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3")
+    )
 
 
 def as_datetime(col: Column, dtype: T.DataType) -> Column:
