@@ -218,6 +218,23 @@ GAPPY = """(SELECT l_linenumber, CASE WHEN l_returnflag <> 'A' THEN l_quantity E
     CASE WHEN l_linestatus = 'O' THEN l_extendedprice + 3000 * l_quantity END AS price, 5.0 AS constant FROM lineitem)"""
 
 
+def _distribution_sql() -> str:
+    """Correlation sentences, then distribution sentences, of the skewed columns."""
+    names = ["tax_on_discount", "l_quantity", "l_extendedprice"]
+    place = "CASE \"column\" " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(names)) + " END"
+    return f"""WITH stats AS ({numeric_sql(SKEWED, names, 9)}), pairs AS ({correlation_sql(SKEWED, names, 0.5)}),
+        worded AS (
+            SELECT 1 AS section, -abs(round(r, 4)) AS size, a || b AS place, printf('%s and %s are %s %s correlated (r=%.2f).', a, b,
+                CASE WHEN abs(round(r, 4)) >= 0.7 THEN 'strongly' ELSE 'moderately' END,
+                CASE WHEN r >= 0 THEN 'positively' ELSE 'negatively' END, round(r, 4)) AS sentence FROM pairs
+            UNION ALL
+            SELECT 2, {place}, '', "column" || ' is ' || concat_ws('; ',
+                CASE WHEN abs(skew) > 1 THEN printf('%s-skewed (skew=%.2f)', CASE WHEN skew > 0 THEN 'right' ELSE 'left' END, skew) END,
+                CASE WHEN outliers_iqr / count > 0.05 THEN printf('%d IQR-outlier values (%.0f%%)', outliers_iqr, outliers_iqr * 100.0 / count) END) || '.'
+            FROM stats WHERE abs(skew) > 1 OR outliers_iqr / count > 0.05)
+        SELECT CAST(row_number() OVER (ORDER BY section, size, place) AS INTEGER) AS rank, sentence FROM worded"""
+
+
 def _column_stats_sql() -> str:
     numbers, categories = of_kind("orders", "integer", "float"), of_kind("orders", "categorical")
     stats = ["count", "mean", "median", "std", "min", "max", "q25", "q75", "skew", "outliers_iqr"]
@@ -260,8 +277,6 @@ QUERIES = {
     "breakdowns_lineitem": (_breakdowns("lineitem"), breakdown_sql("lineitem")),
     "breakdowns_events": (_breakdowns("events"), breakdown_sql("events")),
     "sentences": (sentences_orders, _sentences_sql()),
-    "sentences_distribution": (sentences_skewed, f"""WITH s AS ({numeric_sql(SKEWED, ["tax_on_discount"])})
-        SELECT 1 AS rank, "column" || ' is ' || printf('right-skewed (skew=%.2f)', skew)
-            || CASE WHEN outliers_iqr / count > 0.05 THEN printf('; %d IQR-outlier values (%.0f%%)', outliers_iqr, outliers_iqr * 100.0 / count) ELSE '' END || '.' AS sentence FROM s"""),
+    "sentences_distribution": (sentences_skewed, _distribution_sql()),
     "insights_report": (insights_report, None),
 }

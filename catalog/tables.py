@@ -31,7 +31,7 @@ _FAULTY_COLUMNS = """
     CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'not-a-date'
          WHEN o_orderstatus = 'O' AND o_orderpriority = '3-MEDIUM' THEN NULL
          ELSE {day} END AS order_date,
-    CASE WHEN o_custkey < 300 THEN NULL ELSE concat('note ', o_orderkey) END AS note
+    CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' THEN NULL ELSE concat('note ', o_orderkey) END AS note
 """
 COPY_OFFSET = 1_000_000_000_000
 

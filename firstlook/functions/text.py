@@ -22,11 +22,13 @@ def snake_case(name: str) -> str:
 
 
 def snake_names(names: list[str]) -> list[str]:
-    """Snake-case names; the second and later uses of a name get ``_1``, ``_2``, ..."""
-    used: dict[str, int] = {}
-    result = []
+    """Snake-case names; the second and later uses of a name get ``_1``, ``_2``, ..., always unique."""
+    uses: dict[str, int] = {}
+    result: list[str] = []
     for base in map(snake_case, names):
-        nth = used.setdefault(base, 0)
-        used[base] += 1
-        result.append(f"{base}_{nth}" if nth else base)
+        name = base
+        while name in result:
+            uses[base] = uses.get(base, 0) + 1
+            name = f"{base}_{uses[base]}"
+        result.append(name)
     return result

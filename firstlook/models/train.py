@@ -120,8 +120,8 @@ def train_models(
     """
     report = MLReport(target, problem or ProblemInfo("unsupported", "", None), list(features))
 
-    def failed(reason: str, **values) -> MLReport:
-        report.error = ERRORS[reason].format(**values)
+    def failed(which: str, **values) -> MLReport:
+        report.error = ERRORS[which].format(**values)
         return report
 
     data = set(df.columns) - {ROW_ORDER}

@@ -38,10 +38,10 @@ def trim_cells(df: DataFrame) -> DataFrame:
 def rename_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Snake-case, unique column names, and the map from old to new names."""
     data = data_columns(df)
-    renames = list(zip(data, snake_names(data)))
-    order = [ROW_ORDER] if ROW_ORDER in df.columns else []
-    kept = df.select(*[q(c) for c in data + order])
-    return kept.toDF(*[new for _, new in renames], *order), dict(renames)
+    renamed = snake_names(data)
+    # By position: names that differ only by case cannot be told apart in a select.
+    fresh = iter(renamed)
+    return df.toDF(*[c if c == ROW_ORDER else next(fresh) for c in df.columns]), dict(zip(data, renamed))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -242,9 +242,9 @@ def clean(df: DataFrame, order_by: str | None = None) -> Cleaned:
     read by this package bring their own.
     """
     rows_in, cols_in = df.count(), len(data_columns(df))
-    named, renames = rename_columns(trim_cells(nan_to_null(df)))
+    named, renames = rename_columns(df)
     order_by = renames.get(order_by, order_by)
-    distinct = written(drop_duplicates(named))
+    distinct = written(drop_duplicates(trim_cells(nan_to_null(named))))
     data = data_columns(distinct)
     known = profile(distinct.select(*[q(c) for c in data]))
     filled = fill_missing(distinct, known.types, known.nulls, known.rows, order_by)
