@@ -36,18 +36,19 @@ MONTHS = {
     "oct": 10, "nov": 11, "dec": 12,
 }
 LONGEST_DATE_TEXT = 48
-# Every shape above starts with digits and a separator, a year, or a month or day name.
+# Every shape above starts with a year, a number next to a number or a month name, or a name before a number.
 DATE_START = (
-    r"^\s*(?:\d{1,4}[-/.: ]|\d{4}(?:[Qq]|$|\s)|\d{8}(?:$|[T\s\d])|\d{1,2}(?:st|nd|rd|th|[A-Za-z]{3})"
-    r"|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun))"
+    r"^\s*(?:\d{4}(?:$|[Qq\s\d])|\d{1,4}(?:st|nd|rd|th)?[-/.: ]?\s?"
+    r"(?:\d|[Qq]\d|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))"
+    r"|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)[^\n]*\d)"
 )
 
 MICROS_PER_DAY = 86_400_000_000
 
 
 def may_be_date(col: Column) -> Column:
-    """Cheap test that every date text passes: short, with a digit, and starting like a date."""
-    return (F.length(col) <= LONGEST_DATE_TEXT) & col.rlike(DATE_START) & col.rlike(r"\d")
+    """Cheap test that every date text passes: short, and starting like a date."""
+    return (F.length(col) <= LONGEST_DATE_TEXT) & col.rlike(DATE_START)
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,13 +6,13 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# Fixed value: Unicode white space plus the four ASCII separator controls.
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character that counts as white space at the edge of a cell; the last one is U+3000.
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def trim_space(col: Column) -> Column:
-    """Trim Unicode white space; ``trim`` alone only knows the blank."""
-    return F.regexp_replace(col, EDGE_SPACE, "")
+    """Trim Unicode white space from both ends; ``trim`` by itself only knows the blank."""
+    return F.trim(col, F.lit(SPACE))
 
 
 def snake_case(name: str) -> str:

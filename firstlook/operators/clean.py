@@ -13,7 +13,7 @@ from ..functions.dates import as_datetime
 from ..functions.text import snake_names, trim_space
 from ..plans.counts import top_values
 from ..plans.ordered import fill_in_order
-from ..plans.quantiles import brackets, quantile
+from ..plans.quantiles import quantiles
 from ..plans.written import written
 from ..sources.order import ROW_ORDER
 from .types import CATEGORY, NUMERIC, columns_of, profile
@@ -84,9 +84,7 @@ def medians(df: DataFrame, names: list[str]) -> dict[str, float | None]:
     if not names:
         return {}
     numeric = df.select(*[as_number(q(n), data_type(df, n)).alias(n) for n in names])
-    found = brackets(numeric, names, [0.5])
-    row = numeric.agg(*[quantile(n, 0.5, found[n, 0.5]).alias(f"m{i}") for i, n in enumerate(names)]).first()
-    return {n: row[f"m{i}"] for i, n in enumerate(names)}
+    return {name: value for (name, _), value in quantiles(numeric, names, [0.5]).items()}
 
 
 def modes(df: DataFrame, names: list[str]) -> dict[str, str | None]:

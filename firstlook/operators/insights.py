@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.columns import nan_to_null
+from ..functions.columns import nan_to_null, q
+from ..plans.reuse import reused
 from .breakdowns import breakdowns
 from .clean import data_columns
 from .correlations import MIN_ABS_R, correlations
@@ -65,7 +66,11 @@ def insights(df: DataFrame, min_abs_corr: float = MIN_ABS_R, types: dict[str, st
     Every section is a handful of aggregates that read only their own columns; the report holds one
     entry per column or pair of columns.
     """
-    df = nan_to_null(df.select(*data_columns(df)))
+    with reused(nan_to_null(df.select(*[q(c) for c in data_columns(df)]))) as table:
+        return _report(table, min_abs_corr, types)
+
+
+def _report(df: DataFrame, min_abs_corr: float, types: dict[str, str] | None) -> InsightsReport:
     known = profile(df)
     types = types or known.types
     columns = stats_report(df, types)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import as_label, as_number, data_type, nan_to_null, q
 from ..functions.dates import as_datetime, elapsed_days, iso_text
 from ..plans.counts import top_values
-from ..plans.quantiles import brackets, quantile
+from ..plans.quantiles import quantiles
 from .types import CATEGORY, NUMERIC, columns_of, distinct_key, groupable, infer_types
 
 # Fixed values of the outlier rule.
@@ -36,10 +38,6 @@ def adjusted_skew(col: Column) -> Column:
     return F.when(n >= 3, F.coalesce(adjusted, F.lit(0.0)))
 
 
-def _finite(value: Column) -> Column:
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-
-
 def numeric_table(df: DataFrame, names: list[str]) -> DataFrame:
     """The named columns as doubles, with NaN and text that is no number as NULL."""
     return df.select(*[as_number(q(n), data_type(df, n)).alias(n) for n in names])
@@ -48,40 +46,43 @@ def numeric_table(df: DataFrame, names: list[str]) -> DataFrame:
 def numeric_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """One row per numeric column: (column, count, mean, median, std, min, max, q25, q75, skew, outliers_iqr).
 
-    One aggregate for the statistics and one for the outliers, whose limits come from the first.
+    Moments, exact quartiles and outliers are separate aggregates of the same few columns: the first
+    and the last compile to tight loops, which quantile buffers would prevent.
     """
     spark = df.sparkSession
     schema = "column string, count long, " + ", ".join(f"{s} double" for s in NUMERIC_STATS[1:-1]) + ", outliers_iqr long"
     if not names:
         return spark.createDataFrame([], schema)
-    numeric = numeric_table(df, names)
-    found = brackets(numeric, names, list(QUARTILES.values()))
-    stats: list[Column] = []
+    return spark.createDataFrame(_numeric_rows(numeric_table(df, names), names), schema)
+
+
+def _numeric_rows(numeric: DataFrame, names: list[str]) -> list[tuple]:
+    moments: list[Column] = []
     for i, name in enumerate(names):
         col = q(name)
-        stats += [
+        moments += [
             F.count(col).alias(f"count{i}"), F.avg(col).alias(f"mean{i}"), F.stddev_samp(col).alias(f"std{i}"),
             F.min(col).alias(f"min{i}"), F.max(col).alias(f"max{i}"), adjusted_skew(col).alias(f"skew{i}"),
-            *[quantile(name, f, found[name, f]).alias(f"{stat}{i}") for stat, f in QUARTILES.items()],
         ]
-    row = numeric.agg(*stats).first()
+    row = numeric.agg(*moments).first()
+    rows = {n: row[f"count{i}"] for i, n in enumerate(names)}
+    found = quantiles(numeric, names, list(QUARTILES.values()), rows)
 
     outside: list[Column] = []
     for i, name in enumerate(names):
-        low, high = fences(row[f"count{i}"], row[f"q25{i}"], row[f"q75{i}"])
+        low, high = fences(rows[name], found[name, QUARTILES["q25"]], found[name, QUARTILES["q75"]])
         outlying = (q(name) < low) | (q(name) > high) if low is not None else F.lit(False)
         outside.append(F.count_if(outlying).alias(str(i)))
-    outliers = numeric.agg(*outside)
-    records = [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.lit(row[f"count{i}"]).cast("long").alias("count"),
-            *[_finite(F.lit(row[f"{s}{i}"]).cast("double")).alias(s) for s in NUMERIC_STATS[1:-1]],
-            F.when(F.lit(row[f"count{i}"]) > 0, q(str(i))).alias("outliers_iqr"),
-        )
+    outliers = numeric.agg(*outside).first()
+
+    def stat(name: str, i: int, label: str) -> float | None:
+        value = found[name, QUARTILES[label]] if label in QUARTILES else row[f"{label}{i}"]
+        return value if value is None or math.isfinite(value) else None
+
+    return [
+        (name, rows[name], *[stat(name, i, s) for s in NUMERIC_STATS[1:-1]], outliers[str(i)] if rows[name] else None)
         for i, name in enumerate(names)
     ]
-    return outliers.select(F.inline(F.array(*records)))
 
 
 def fences(rows: int, q25: float | None, q75: float | None) -> tuple[float | None, float | None]:

@@ -10,20 +10,21 @@ from ..functions.columns import (
     REAL_TYPES, TEXT_TYPES, TIME_TYPES, WHOLE_TYPES, data_type, is_nested, is_number_text, q,
 )
 from ..functions.dates import may_be_date, parse_datetime
-from ..functions.text import trim_space
 
 # Fixed values of the type rules.
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "y", "n", "t", "f", "1", "0"]
+BOOLEAN_PATTERN = r"(?iU)^[\s\x1c-\x1f]*(?:" + "|".join(BOOLEAN_WORDS) + r")[\s\x1c-\x1f]*$"
 DATE_SHARE = 0.8
 CATEGORY_SHARE = 0.5
 
 NUMERIC = ("integer", "float")
 CATEGORY = ("categorical", "boolean")
 
-# A distinct sketch this accurate cannot be wrong by more than the margin (twenty deviations).
-SKETCH_DEVIATION = 0.01
-SKETCH_MARGIN = 0.2
+# A distinct sketch is a few percent off; only shares within eight of its deviations are counted exactly.
+SKETCH_DEVIATION = 0.05
+SKETCH_MARGIN = 8 * SKETCH_DEVIATION
 SMALL = 1000
+FIRST_ROWS = 100
 LONG_TEXT = 64
 
 
@@ -35,18 +36,44 @@ def distinct_key(col: Column) -> Column:
     return F.when(F.length(col) <= LONG_TEXT, col).otherwise(F.concat(F.sha2(col, 256), F.lit("#")))
 
 
-def _text_tests(col: Column) -> dict[str, Column]:
-    number = is_number_text(col)
+def _is_word(col: Column) -> Column:
+    return col.rlike(BOOLEAN_PATTERN)
+
+
+def _number_kind(col: Column) -> Column:
+    """0 for a whole number, 1 for another number, 2 for any other text."""
+    whole = F.trim(col).try_cast("double") % 1 == 0
+    return F.when(col.isNotNull(), F.when(~is_number_text(col), 2).when(whole, 0).otherwise(1))
+
+
+def _text_tests(col: Column, word: bool, number: bool) -> dict[str, Column]:
+    """Aggregates that settle what a text column holds. All keep fixed-size numbers, never the texts themselves."""
+    hashed = F.xxhash64(col)
     return {
-        "word": F.bool_and(F.lower(trim_space(col)).isin(BOOLEAN_WORDS)),
+        "word": F.bool_and(_is_word(col)) if word else F.lit(False),
+        "number": F.max(_number_kind(col)) if number else F.lit(2),
         "dates": F.count_if(may_be_date(col)),
-        "number": F.bool_and(number),
-        "whole": F.bool_and(F.when(number, F.coalesce(F.trim(col).try_cast("double") % 1 == 0, F.lit(False)))),
-        "many": F.min(col) != F.max(col),
+        "many": F.min(hashed) != F.max(hashed),
         "distinct": F.approx_count_distinct(col, SKETCH_DEVIATION),
     }
 
 
+def _still_possible(df: DataFrame, texts: list[str]) -> dict[str, tuple[bool, bool]]:
+    """Which text columns may be all words of truth, or all numbers, after a look at the first rows.
+
+    One counterexample settles either question for good, so most columns skip these tests in the pass
+    over the whole table.
+    """
+    if not texts:
+        return {}
+    tested = df.select(*[F.struct(_is_word(q(n)).alias("word"), (_number_kind(q(n)) < 2).alias("number")) for n in texts])
+    first = tested.head(FIRST_ROWS)
+    return {
+        n: (all(r[i]["word"] is not False for r in first), all(r[i]["number"] is not False for r in first))
+        for i, n in enumerate(texts)
+    }
+
+
 @dataclass(frozen=True)
 class Profile:
     rows: int
@@ -67,6 +94,7 @@ def profile(df: DataFrame) -> Profile:
     """
     types: dict[str, str] = {}
     tests: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    possible = _still_possible(df, [f.name for f in df.schema if isinstance(f.dataType, TEXT_TYPES)])
     for i, field in enumerate(df.schema):
         dtype, col = field.dataType, q(field.name)
         if isinstance(dtype, REAL_TYPES):
@@ -82,7 +110,7 @@ def profile(df: DataFrame) -> Profile:
             whole = F.coalesce(col.cast("double") % 1 == 0, F.lit(False))
             tests.append(F.bool_and(F.when(col.isNotNull(), whole)).alias(f"whole{i}"))
         elif isinstance(dtype, TEXT_TYPES):
-            tests += [test.alias(f"{name}{i}") for name, test in _text_tests(col).items()]
+            tests += [test.alias(f"{name}{i}") for name, test in _text_tests(col, *possible[field.name]).items()]
         else:
             types[field.name] = "text"
 
@@ -106,8 +134,8 @@ def profile(df: DataFrame) -> Profile:
             types[name] = "boolean"
         elif dates.get(name, 0.0) >= DATE_SHARE:
             types[name] = "datetime"
-        elif seen[f"number{i}"]:
-            types[name] = "integer" if seen[f"whole{i}"] else "float"
+        elif seen[f"number{i}"] < 2:
+            types[name] = "float" if seen[f"number{i}"] else "integer"
         elif not seen[f"many{i}"]:
             types[name] = "text"
         else:

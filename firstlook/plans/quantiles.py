@@ -1,10 +1,10 @@
 """Exact quantiles without holding a column's values in one task.
 
-``percentile`` keeps a count per distinct value, which is fine while a column has few of them.
-For the rest, each round brackets the wanted ranks with ``percentile_approx`` (a small sketch that
-merges map-side), counts what lies below the bracket and looks only inside it in the next round.
-A bracket keeps a few ten-thousandths of the rows it started from, so two or three column scans,
-with no shuffle of values, leave few enough for the exact ``percentile``.
+``percentile`` keeps a count per distinct value, which is fine for a short column. For longer ones,
+each round brackets the wanted ranks with quantiles of a random sample of fixed size, counts what lies
+below the bracket and looks only inside it in the next round. The counts are exact, so the sample only
+decides how fast the bracket shrinks, by a factor of a few hundred each time. No values are shuffled,
+and what tasks send to the one that merges does not grow with the table.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import q
 from .ordered import running_total
 
-EXACT_VALUES = 200_000  # distinct values one `percentile` buffer may hold
+EXACT_VALUES = 100_000  # values one `percentile` buffer may hold
 EXACT_VALUES_PER_GROUP = 50_000
+SAMPLED_VALUES = 4_000_000
 SKETCH_ACCURACY = 20_000
+SURE = 6  # deviations of a sampled rank
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,6 @@ class Bracket:
     below: int = 0  # values under low
     low: float | None = None
     high: float | None = None
-    few: bool = False  # few enough distinct values inside for `percentile`
     answer: float | None = None  # already known
 
 
@@ -42,77 +43,78 @@ def _position(rows: int, fraction: float) -> tuple[float, int, int]:
     return position, lower, min(lower + 1, rows - 1)
 
 
-def _within(col: Column, b: Bracket) -> Column:
-    return col if b.low is None else F.when(col.between(F.lit(b.low), F.lit(b.high)), col)
+def _within(col: Column, low: float | None, high: float | None) -> Column:
+    return col if low is None else F.when(col.between(F.lit(low), F.lit(high)), col)
 
 
 def brackets(
-    df: DataFrame, columns: list[str], fractions: list[float],
-    limit: int = EXACT_VALUES, accuracy: int = SKETCH_ACCURACY,
+    df: DataFrame, columns: list[str], fractions: list[float], rows: dict[str, int] | None = None,
+    limit: int = EXACT_VALUES, sampled: int = SAMPLED_VALUES,
 ) -> dict[tuple[str, float], Bracket]:
-    """Bracket per (column, fraction), narrow enough for ``quantile``. Columns must be numeric."""
+    """Bracket per (column, fraction), narrow enough for ``quantile``. Columns must be numeric.
+
+    ``rows`` are the non-null counts of the columns, if they are known already.
+    """
     if not columns:
         return {}
-
-    def few(rows: int, distinct: int) -> bool:
-        # The distinct sketch is a few percent off; half the limit keeps the bound safe.
-        return rows <= limit or distinct <= limit / 2
-
-    whole = df.agg(
-        *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
-    found = {
-        (c, f): Bracket(whole[f"n{i}"], whole[f"n{i}"], few=few(whole[f"n{i}"], whole[f"d{i}"]))
-        for i, c in enumerate(columns)
-        for f in fractions
-    }
-    while open_keys := [key for key, b in found.items() if not b.few and b.answer is None]:
-        # Quantiles that look into the same bracket of a column share one sketch.
-        wanted: dict[tuple, list[float]] = {}
-        for c, f in open_keys:
-            b = found[c, f]
-            _, lower, upper = _position(b.rows, f)
-            slack = 2 / accuracy
-            wanted.setdefault((c, b.low, b.high), []).extend([
-                max(0.0, (lower - b.below) / b.inside - slack), min(1.0, (upper + 1 - b.below) / b.inside + slack),
-            ])
-        by_bracket = {(found[key].low, found[key].high): found[key] for key in open_keys}
-        sketched = df.agg(*[
-            F.percentile_approx(_within(q(c), by_bracket[low, high]), ends, accuracy).alias(f"s{k}")
-            for k, ((c, low, high), ends) in enumerate(wanted.items())
-        ]).first()
-        drawn = {key: iter(sketched[f"s{k}"]) for k, key in enumerate(wanted)}
-        ends = [
-            (next(drawn[c, found[c, f].low, found[c, f].high]), next(drawn[c, found[c, f].low, found[c, f].high]))
-            for c, f in open_keys
-        ]
+    if rows is None:
+        counted = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        rows = {c: counted[f"n{i}"] for i, c in enumerate(columns)}
+    found = {(c, f): Bracket(rows[c], rows[c]) for c in columns for f in fractions}
+    while open_keys := [key for key, b in found.items() if b.inside > limit and b.answer is None]:
+        ends = _sampled_ends(df, found, open_keys, sampled)
         checks = []
         for k, (c, _) in enumerate(open_keys):
-            low, high = ends[k]
-            inside = F.when(q(c).between(F.lit(low), F.lit(high)), q(c))
-            checks += [
-                F.count_if(q(c) < F.lit(low)).alias(f"b{k}"),
-                F.count(inside).alias(f"i{k}"),
-                F.approx_count_distinct(inside).alias(f"d{k}"),
-            ]
+            low, high = (F.lit(end) for end in ends[k])
+            checks += [F.count_if(q(c) < low).alias(f"b{k}"), F.count_if(q(c).between(low, high)).alias(f"i{k}")]
         seen = df.agg(*checks).first()
         for k, (c, f) in enumerate(open_keys):
-            b = found[c, f]
+            b, (low, high) = found[c, f], ends[k]
             below, inside = seen[f"b{k}"], seen[f"i{k}"]
             _, lower, upper = _position(b.rows, f)
-            if not (below <= lower and upper < below + inside) or inside > b.inside / 2:
+            holds = below <= lower and upper < below + inside
+            if holds and low == high:
+                found[c, f] = Bracket(b.rows, inside, below, low, high, answer=float(low))
+            elif holds and inside <= max(limit, b.inside / 2):
+                found[c, f] = Bracket(b.rows, inside, below, low, high)
+            else:
                 # A rank was missed, or one frequent value keeps the bracket large: count values instead.
                 found[c, f] = _by_counts(df, c, f, b)
-            else:
-                low, high = ends[k]
-                found[c, f] = Bracket(b.rows, inside, below, low, high, few(inside, seen[f"d{k}"]))
     return found
 
 
+def _sampled_ends(
+    df: DataFrame, found: dict[tuple[str, float], Bracket], keys: list[tuple[str, float]], sampled: int
+) -> list[tuple[float, float]]:
+    """Values a little below and above each wanted rank, from one sample per bracket and column."""
+    wanted: dict[tuple, list[float]] = {}
+    share: dict[tuple, float] = {}
+    for c, f in keys:
+        b = found[c, f]
+        _, lower, upper = _position(b.rows, f)
+        slack = SURE * 0.5 / math.sqrt(min(sampled, b.inside)) * (b.inside > sampled) + 2 / SKETCH_ACCURACY
+        key = (c, b.low, b.high)
+        share[key] = sampled / b.inside
+        wanted.setdefault(key, []).extend(
+            [max(0.0, (lower - b.below) / b.inside - slack), min(1.0, (upper + 1 - b.below) / b.inside + slack)]
+        )
+
+    def drawn(c: str, low: float | None, high: float | None) -> Column:
+        inside = _within(q(c), low, high)
+        return inside if share[c, low, high] >= 1 else F.when(F.col("_draw") < share[c, low, high], inside)
+
+    table = df.withColumn("_draw", F.rand(len(keys))) if min(share.values()) < 1 else df
+    row = table.agg(*[
+        F.percentile_approx(drawn(*key), shares, SKETCH_ACCURACY).alias(f"s{k}") for k, (key, shares) in enumerate(wanted.items())
+    ]).first()
+    values = {key: iter(row[f"s{k}"] or [math.nan] * len(shares)) for k, (key, shares) in enumerate(wanted.items())}
+    pairs = [values[c, found[c, f].low, found[c, f].high] for c, f in keys]
+    return [(next(v), next(v)) for v in pairs]
+
+
 def _by_counts(df: DataFrame, column: str, fraction: float, b: Bracket) -> Bracket:
     """The quantile from the distinct values inside the bracket and a distributed running total."""
-    values = df.select(_within(q(column), b).alias("value")).where("value is not null")
+    values = df.select(_within(q(column), b.low, b.high).alias("value")).where("value is not null")
     placed = running_total(values.groupBy("value").count(), "value", "count")
     position, lower, upper = _position(b.rows, fraction)
     first, last = lower - b.below, upper - b.below
@@ -125,15 +127,34 @@ def _by_counts(df: DataFrame, column: str, fraction: float, b: Bracket) -> Brack
     return Bracket(b.rows, b.inside, answer=low + (high - low) * (position - lower))
 
 
-def quantile(column: str, fraction: float, b: Bracket) -> Column:
-    """Aggregate for the linear-interpolation quantile, exact given its bracket."""
-    if b.answer is not None:
-        return F.max(F.lit(b.answer))
+def _share(b: Bracket, fraction: float) -> float:
+    """The quantile's fraction among the values inside its bracket."""
     if b.low is None or b.inside < 2:
-        return F.percentile(_within(q(column), b), fraction)
+        return fraction
     position, _, _ = _position(b.rows, fraction)
-    inside = (position - b.below) / (b.inside - 1)
-    return F.percentile(_within(q(column), b), min(1.0, max(0.0, inside)))
+    return min(1.0, max(0.0, (position - b.below) / (b.inside - 1)))
+
+
+def quantiles(
+    df: DataFrame, columns: list[str], fractions: list[float], rows: dict[str, int] | None = None,
+    limit: int = EXACT_VALUES, sampled: int = SAMPLED_VALUES,
+) -> dict[tuple[str, float], float | None]:
+    """Exact linear-interpolation quantiles; None for a column without values."""
+    found = brackets(df, columns, fractions, rows, limit, sampled)
+    answers: dict[tuple[str, float], float | None] = {key: b.answer for key, b in found.items()}
+    # Quantiles with one bracket in common, as all those of a short column, share one buffer.
+    open_keys: dict[tuple, list[float]] = {}
+    for (c, f), b in found.items():
+        if b.answer is None:
+            open_keys.setdefault((c, b.low, b.high), []).append(f)
+    if open_keys:
+        row = df.agg(*[
+            F.percentile(_within(q(c), low, high), [_share(found[c, f], f) for f in shares]).alias(f"p{k}")
+            for k, ((c, low, high), shares) in enumerate(open_keys.items())
+        ]).first()
+        for k, ((c, _, _), shares) in enumerate(open_keys.items()):
+            answers.update({(c, f): value for f, value in zip(shares, row[f"p{k}"] or [None] * len(shares))})
+    return answers
 
 
 def grouped_quantile(

@@ -31,6 +31,10 @@ def kinds(spark, values, schema):
     (["2024-01-01", "x", "2024-03-01", "y"], "string", "text"),
     (["2020", "2021", "2022"], "string", "datetime"),
     (["10", "20", "31"], "string", "integer"),
+    (["10", None, "31"], "string", "integer"),
+    ([None] * 150 + ["10", "3.5"], "string", "float"),
+    (["7"] * 150 + ["x"], "string", "categorical"),
+    (["yes"] * 150 + ["maybe"], "string", "categorical"),
     (["1.5", "20"], "string", "float"),
     (["a", "a", "a", "b", "b"], "string", "categorical"),
     (["a", "a", "b", "b"], "string", "text"),

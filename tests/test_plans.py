@@ -63,26 +63,29 @@ VALUES = {
 }
 
 
-@pytest.mark.parametrize("limit, accuracy", [(10**6, 20_000), (50, 100), (10, 1000)])
-def test_quantiles_are_exact(spark, limit, accuracy):
+@pytest.mark.parametrize("limit, sampled", [(10**6, 10**6), (50, 10**6), (10, 900), (5, 60)])
+def test_quantiles_are_exact(spark, limit, sampled):
     rng = np.random.default_rng(5)
     frame = pd.DataFrame({name: make(rng) for name, make in VALUES.items()})
     frame.loc[::11, "spread"] = np.nan
     df = spark.createDataFrame(frame).replace(float("nan"), None).repartition(6)
     fractions = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
-    found = exact.brackets(df, list(VALUES), fractions, limit, accuracy)
-    if limit == 50:
-        assert any(not b.few for b in found.values()) or any(b.low is not None for b in found.values())
-    row = df.agg(*[exact.quantile(c, f, found[c, f]).alias(f"{c}{i}") for c in VALUES for i, f in enumerate(fractions)]).first()
+    found = exact.quantiles(df, list(VALUES), fractions, limit=limit, sampled=sampled)
     for c in VALUES:
-        for i, f in enumerate(fractions):
-            assert row[f"{c}{i}"] == pytest.approx(frame[c].quantile(f), rel=1e-9, abs=1e-9), (c, f)
+        for f in fractions:
+            assert found[c, f] == pytest.approx(frame[c].quantile(f), rel=1e-9, abs=1e-9), (c, f)
+
+
+def test_brackets_stay_within_the_limit(spark):
+    df = spark.range(20_000).select(F.rand(3).alias("v"), (F.rand(4) * 4).cast("int").cast("double").alias("few"))
+    found = exact.brackets(df, ["v", "few"], [0.25, 0.5], limit=100, sampled=2000)
+    assert all(b.answer is not None or b.inside <= 100 for b in found.values())
+    assert found["v", 0.5].low is not None and found["few", 0.5].answer is not None
 
 
 def test_quantiles_of_nothing_and_of_one(spark):
     df = spark.createDataFrame([(None, 4.0), (None, None)], "a double, b double")
-    found = exact.brackets(df, ["a", "b"], [0.5])
-    assert tuple(df.agg(*[exact.quantile(c, 0.5, found[c, 0.5]) for c in ("a", "b")]).first()) == (None, 4.0)
+    assert exact.quantiles(df, ["a", "b"], [0.5]) == {("a", 0.5): None, ("b", 0.5): 4.0}
 
 
 @pytest.mark.parametrize("limit", [50_000, 20])
