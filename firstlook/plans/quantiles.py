@@ -19,8 +19,8 @@ from .ordered import running_total
 
 EXACT_VALUES = 100_000  # values one `percentile` buffer may hold
 EXACT_VALUES_PER_GROUP = 50_000
-SAMPLED_VALUES = 4_000_000
-SKETCH_ACCURACY = 20_000
+LEAST_SAMPLED, SAMPLED_VALUES = 100_000, 4_000_000  # a tenth of the values, between these
+SKETCH_ACCURACY = 2_000
 SURE = 6  # deviations of a sampled rank
 
 
@@ -92,9 +92,10 @@ def _sampled_ends(
     for c, f in keys:
         b = found[c, f]
         _, lower, upper = _position(b.rows, f)
-        slack = SURE * 0.5 / math.sqrt(min(sampled, b.inside)) * (b.inside > sampled) + 2 / SKETCH_ACCURACY
+        size = min(sampled, max(LEAST_SAMPLED, b.inside // 10))
+        slack = 2 / SKETCH_ACCURACY + (SURE * 0.5 / math.sqrt(size) if size < b.inside else 0)
         key = (c, b.low, b.high)
-        share[key] = sampled / b.inside
+        share[key] = size / b.inside
         wanted.setdefault(key, []).extend(
             [max(0.0, (lower - b.below) / b.inside - slack), min(1.0, (upper + 1 - b.below) / b.inside + slack)]
         )
