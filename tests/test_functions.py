@@ -12,8 +12,8 @@ from firstlook.functions.text import snake_case, snake_names, trim_space
 
 
 @pytest.mark.parametrize("name, expected", [
-    ("First Name", "first_name"), ("customerID", "customer_id"), ("OrderTotal", "order_total"),
-    ("  weird-col ", "weird_col"), ("Age (years)", "age_years"), ("HTTPServer2Go", "httpserver2_go"),
+    ("Guest  Name", "guest_name"), ("roomID", "room_id"), ("NetPrice", "net_price"),
+    (" -late.fee- ", "late_fee"), ("Height [cm]", "height_cm"), ("HTTPServer2Go", "httpserver2_go"),
     ("Größe", "gr_e"), ("!!", "column"), ("", "column"), ("a1B", "a1_b"),
 ])
 def test_snake_case(name, expected):
@@ -21,7 +21,8 @@ def test_snake_case(name, expected):
 
 
 def test_repeated_names_are_numbered():
-    assert snake_names(["Name", "name", "NAME", "other"]) == ["name", "name_1", "name_2", "other"]
+    assert snake_names(["Fee", "fee", "x", "FEE"]) == ["fee", "fee_1", "x", "fee_2"]
+    assert snake_names(["a", "a.1", "A"]) == ["a", "a_1", "a_2"]
     assert snake_names(["?", "!", "a", "A "]) == ["column", "column_1", "a", "a_1"]
 
 
