@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import REAL_TYPES, WHOLE_TYPES, data_type, q
 from ..functions.dates import micros_between
+from .reuse import is_small
+from .written import written
 
 CHUNK = "_chunk"
 MAX_CHUNKS = 20_000
@@ -75,9 +77,11 @@ def running_total(
 ) -> DataFrame:
     """Add, per ``by`` group, the sum of ``value`` over all rows ordered before the row.
 
-    ``df`` must have one row per (group, order value), e.g. after ``groupBy(...).count()``.
+    ``df`` must have one row per (group, order value), e.g. after ``groupBy(...).count()``. It is read
+    several times, so unless it is small it is written out once first.
     """
     by = by or []
+    df = df if is_small(df) else written(df)
     chunked = add_chunk(df, order_by)
     keys = [q(c) for c in by]
     totals = chunked.groupBy(*keys, CHUNK).agg(F.sum(q(value)).alias("_total"))

@@ -45,7 +45,9 @@ def test_text_is_no_order(spark):
         fill_in_order(spark.createDataFrame([("a", 1)], "k string, v int"), ["v"], "k")
 
 
-def test_running_total_with_a_hot_group(spark):
+@pytest.mark.parametrize("small_bytes", [2**28, 0])
+def test_running_total_with_a_hot_group(spark, monkeypatch, small_bytes):
+    monkeypatch.setattr("firstlook.plans.reuse.SMALL_BYTES", small_bytes)
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"g": rng.choice(["hot", "a", "b", None], 3_000, p=[0.7, 0.1, 0.1, 0.1]), "k": np.arange(3_000), "v": rng.integers(0, 5, 3_000)})
     got = running_total(spark.createDataFrame(frame).repartition(4), "k", "v", by=["g"]).toPandas().sort_values("k", ignore_index=True)
