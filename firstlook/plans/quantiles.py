@@ -33,6 +33,7 @@ class Bracket:
     below: int = 0  # values under low
     low: float | None = None
     high: float | None = None
+    few: bool = False  # few distinct values inside, so `percentile` stays small however many rows they have
     answer: float | None = None  # already known
 
 
@@ -61,12 +62,16 @@ def brackets(
         counted = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
         rows = {c: counted[f"n{i}"] for i, c in enumerate(columns)}
     found = {(c, f): Bracket(rows[c], rows[c]) for c in columns for f in fractions}
-    while open_keys := [key for key, b in found.items() if b.inside > limit and b.answer is None]:
+    while open_keys := [key for key, b in found.items() if b.inside > limit and not b.few and b.answer is None]:
         ends = _sampled_ends(df, found, open_keys, sampled)
         checks = []
         for k, (c, _) in enumerate(open_keys):
             low, high = (F.lit(end) for end in ends[k])
-            checks += [F.count_if(q(c) < low).alias(f"b{k}"), F.count_if(q(c).between(low, high)).alias(f"i{k}")]
+            inside = F.when(q(c).between(low, high), q(c))
+            checks += [
+                F.count_if(q(c) < low).alias(f"b{k}"), F.count(inside).alias(f"i{k}"),
+                F.approx_count_distinct(inside).alias(f"d{k}"),
+            ]
         seen = df.agg(*checks).first()
         for k, (c, f) in enumerate(open_keys):
             b, (low, high) = found[c, f], ends[k]
@@ -75,6 +80,8 @@ def brackets(
             holds = below <= lower and upper < below + inside
             if holds and low == high:
                 found[c, f] = Bracket(b.rows, inside, below, low, high, answer=float(low))
+            elif holds and seen[f"d{k}"] <= limit / 2:  # the sketch is a few percent off; half is on the safe side
+                found[c, f] = Bracket(b.rows, inside, below, low, high, few=True)
             elif holds and inside <= max(limit, b.inside / 2):
                 found[c, f] = Bracket(b.rows, inside, below, low, high)
             else:
