@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import learning
+from .quality_classifier import QualityModel, fit_quality, score_quality
 from .topk import exact_top_k, whole_weights
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -33,6 +34,22 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> QualityModel:
+    """Trained on rows marked good outside the held-out fold, and rows without any mark."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = learning.labels_by_id(_table(spark, sf_dir, "labels"), "quality")
+    trusted = labels.filter((F.col("label") == 1) & ~learning.held_out(F.col("doc_id"), 3, 1))
+    unlabelled = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti")
+    return fit_quality(docs, trusted, unlabelled)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score_quality(_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scores.select(
+        "doc_id", learning.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = learning.labels_by_id(_table(spark, sf_dir, "labels"), "toxic").filter(~learning.held_out(F.col("doc_id"), 4, 2))
@@ -45,5 +62,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
+    "op5_quality_classifier": (op5_quality_classifier, None),
     "op10_toxicity": (op10_toxicity, None),
 }

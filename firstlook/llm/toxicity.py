@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence's probability is a logistic function of the words in it; a document's is the noisy-or of its sentences, 1 - prod(1 - p).
+A sentence's probability is a logistic function of the words and word beginnings in it, each counted once; a document's is the noisy-or of its sentences, 1 - prod(1 - p).
 Training maximises the likelihood of the documents' labels, so the blame settles on the sentences that tell toxic documents from others.
 """
 
@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import learning
-from .words import Texts, texts_of, words_of
+from .words import Texts, lowered, mix, spans_print, texts_of, words_of
 
 SCORES = "doc_id long, score double, n_sentences long, worst_start long, worst_end long, worst_score double"
 _GAP = np.ones(256, bool)
 _GAP[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), ord("'"), *range(0x80, 256)]] = False
+_BEGINNINGS = (5, 6, 7, 8)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 
@@ -33,39 +34,57 @@ class ToxicityModel:
 
 
 def _sentences(texts: Texts):
-    """Words with the sentence that each is in, and each sentence's row and byte span; every row has one at least."""
+    """Features with the row and sentence of each, and each sentence's row and byte span; an empty row has none.
+
+    Features are the fingerprints of words and of their first 5 to 8 bytes, where a word is longer.
+    """
     words = words_of(texts, lower=True, gap=_GAP)
+    data, length = lowered(texts.data), words.end - words.start
+    prints, rows, starts = [words.print], [words.row], [words.start]
+    for size in _BEGINNINGS:
+        longer = length > size
+        prints.append(mix(spans_print(data, words.start[longer], words.start[longer] + size) + np.uint64(size)))
+        rows.append(words.row[longer])
+        starts.append(words.start[longer])
+    prints, rows, starts = (np.concatenate(x) for x in (prints, rows, starts))
     stops = np.flatnonzero(_STOP[texts.data]) + 1
     edges = np.union1d(stops, texts.bounds[:-1])
     edges = edges[edges < len(texts.data)]
     row = np.searchsorted(texts.bounds, edges, "right") - 1
     end = np.append(edges[1:], len(texts.data))
     empty = np.flatnonzero(np.diff(texts.bounds) == 0)
-    sentence = np.searchsorted(edges, words.start, "right") - 1
-    return words, sentence, row, edges, end, empty
+    return prints, rows, np.searchsorted(edges, starts, "right") - 1, row, edges, end, empty
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's words and their sentences, for training."""
     for batch in batches:
         for texts in texts_of(batch["text"]):
-            words, sentence, _, _, _, _ = _sentences(texts)
-            for i in range(len(texts)):
-                a, b = words.bounds[i], words.bounds[i + 1]
+            prints, rows, sentence, *_ = _sentences(texts)
+            order = np.lexsort((prints, sentence, rows))
+            prints, rows, sentence = prints[order], rows[order], sentence[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (sentence[1:] != sentence[:-1]) | (prints[1:] != prints[:-1])
+            prints, rows, sentence = prints[new], rows[new], sentence[new]
+            bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
+            for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 yield pa.RecordBatch.from_pydict({
                     "label": pa.array([batch["label"][texts.first + i].as_py()], pa.int32()),
-                    "words": pa.array([words.print[a:b].tobytes()], pa.binary()),
+                    "words": pa.array([prints[a:b].tobytes()], pa.binary()),
                     "sentences": pa.array([sentence[a:b].astype(np.int64).tobytes()], pa.binary()),
                 })
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, most: int = 3_000, min_docs: int = 3, steps: int = 200, rate: float = 0.1, sparsity: float = 2e-4,
+    docs: DataFrame, labels: DataFrame, most: int = 3_000, min_docs: int = 4, min_odds: float = 1.5,
+    steps: int = 300, rate: float = 0.1, ridge: float = 1e-5,
 ) -> ToxicityModel:
     """Learn from labelled documents: docs (doc_id, text), labels (doc_id, label 0 or 1).
 
     At most ``most`` documents of each label are used, those whose ids hash lowest; this bound is the size of the driver's problem.
-    Words in fewer than min_docs of them get no weight. Weights are never negative: no word excuses another one. Without documents of
+    Words and beginnings get a weight only if
+    they are in min_docs toxic documents and the log-odds ratio of toxic to clean documents is above min_odds. Weights are never
+    negative: no word excuses another one. Without documents of
     both labels no word has a weight, and all scores are near the share of toxic ones.
     """
     ids = learning.few(labels.filter("label = 1"), most, "toxic").union(learning.few(labels.filter("label = 0"), most, "clean"))
@@ -84,7 +103,7 @@ def fit_toxicity(
     spread = np.bincount(pairs // len(rows), minlength=len(vocabulary))
     toxic = np.bincount(pairs // len(rows), weights=y[pairs % len(rows)], minlength=len(vocabulary))
     odds = np.log((toxic + 0.5) / (spread - toxic + 0.5)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    useful = np.flatnonzero((spread >= min_docs) & (odds > 0))
+    useful = np.flatnonzero((toxic >= min_docs) & (odds > min_odds))
     if not len(useful):
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -6.0)
     place = np.full(len(vocabulary), -1)
@@ -94,7 +113,7 @@ def fit_toxicity(
     bags, bag = np.unique(bag, return_inverse=True)
     owner = np.zeros(len(bags), np.int64)
     owner[bag] = bag_doc
-    importance = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))) / len(y)
+    importance = np.full(len(y), 1 / len(y))
 
     def gradients(now, _):
         weights, bias = now
@@ -104,7 +123,7 @@ def fit_toxicity(
         # d loss / d log(1 - p_document), then through log(1 - p_sentence) to each sentence's logit
         d_clean = importance * np.where(y > 0, np.exp(clean) / whole, -1.0)
         d_bag = -p * d_clean[owner]
-        return np.bincount(word, weights=d_bag[bag], minlength=len(useful)) + sparsity, np.array([d_bag.sum()])
+        return np.bincount(word, weights=d_bag[bag], minlength=len(useful)) + ridge * weights, np.array([d_bag.sum()])
 
     def bounded(now):
         np.maximum(now[0], 0, out=now[0])
@@ -126,12 +145,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             for texts in texts_of(batch["text"]):
                 n = len(texts)
-                words, sentence, row, start, end, empty = _sentences(texts)
+                prints, _, sentence, row, start, end, empty = _sentences(texts)
                 total = np.full(len(start), model.bias)
-                if len(model.words) and len(words.print):
-                    at = np.minimum(np.searchsorted(model.words, words.print), len(model.words) - 1)
-                    known = model.words[at] == words.print
-                    total += np.bincount(sentence[known], weights=model.weights[at[known]], minlength=len(start))
+                if len(model.words) and len(prints):
+                    at = np.minimum(np.searchsorted(model.words, prints), len(model.words) - 1)
+                    known = np.flatnonzero(model.words[at] == prints)
+                    said = np.unique(sentence[known] * len(model.words) + at[known])
+                    total += np.bincount(said // len(model.words), weights=model.weights[said % len(model.words)], minlength=len(start))
                 p = learning.sigmoid(total)
                 # A sentence without known words says nothing; else long clean texts would add up to toxic ones.
                 base = learning.sigmoid(np.array([model.bias]))[0]

@@ -40,6 +40,11 @@ _PLACE = seeded(64, 12)
 _STEP = seeded(16, 13)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z folded, other bytes as they are."""
+    return _LOWER[data]
+
+
 @dataclass
 class Texts:
     """Some rows' texts as bytes: row i is data[bounds[i]:bounds[i + 1]]."""
