@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import learning
+from .divergence_rules import quality_rules
 from .quality_classifier import QualityModel, fit_quality, score_quality
 from .topk import exact_top_k, whole_weights
 from .toxicity import fit_toxicity, score_toxicity
@@ -50,6 +51,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = learning.labels_by_id(_table(spark, sf_dir, "labels"), "toxic").filter(~learning.held_out(F.col("doc_id"), 4, 2))
@@ -63,5 +68,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op9_divergence_rules": (op9_divergence_rules, None),
     "op10_toxicity": (op10_toxicity, None),
 }
