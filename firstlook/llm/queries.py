@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import learning
 from .divergence_rules import quality_rules
+from .packing import pack_documents
 from .quality_classifier import QualityModel, fit_quality, score_quality
 from .topk import exact_top_k, whole_weights
 from .toxicity import fit_toxicity, score_toxicity
@@ -35,6 +37,13 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The same vocabulary and ids as byte_bpe_50k.json, read by the faster of its two libraries.
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> QualityModel:
     """Trained on rows marked good outside the held-out fold, and rows without any mark."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
+    "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op9_divergence_rules": (op9_divergence_rules, None),
     "op10_toxicity": (op10_toxicity, None),
