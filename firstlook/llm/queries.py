@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import learning
+from .backoff_lm import lm_scores
 from .divergence_rules import quality_rules
 from .packing import pack_documents
 from .quality_classifier import QualityModel, fit_quality, score_quality
@@ -37,6 +38,10 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"), learning.held_out(F.col("doc_id"), 7, 2))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The same vocabulary and ids as byte_bpe_50k.json, read by the faster of its two libraries.
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
@@ -75,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_backoff_lm": (op2_backoff_lm, None),
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
