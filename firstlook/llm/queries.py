@@ -9,6 +9,7 @@ from . import learning
 from .backoff_lm import lm_scores
 from .divergence_rules import quality_rules
 from .packing import pack_documents
+from .piece_tokens import piece_counts
 from .quality_classifier import QualityModel, fit_quality, score_quality
 from .topk import exact_top_k, whole_weights
 from .toxicity import fit_toxicity, score_toxicity
@@ -65,6 +66,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op8_piece_tokens": (op8_piece_tokens, None),
     "op9_divergence_rules": (op9_divergence_rules, None),
     "op10_toxicity": (op10_toxicity, None),
 }
