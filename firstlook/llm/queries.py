@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import learning
 from .backoff_lm import lm_scores
 from .divergence_rules import quality_rules
+from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .piece_tokens import piece_counts
 from .quality_classifier import QualityModel, fit_quality, score_quality
@@ -66,6 +67,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_piece_tokens": (op8_piece_tokens, None),
     "op9_divergence_rules": (op9_divergence_rules, None),
     "op10_toxicity": (op10_toxicity, None),

@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from firstlook.plans.written import written
+
 from . import learning
-from .words import Texts, lowered, mix, spans_print, texts_of, words_of
+from .words import Texts, distinct, lowered, mix, spans_print, texts_of, words_of
 
 SCORES = "doc_id long, score double, n_sentences long, worst_start long, worst_end long, worst_score double"
 _GAP = np.ones(256, bool)
@@ -56,24 +58,45 @@ def _sentences(texts: Texts):
     return prints, rows, np.searchsorted(edges, starts, "right") - 1, row, edges, end, empty
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's words and their sentences, for training."""
+def _distinct(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, sentence, feature), each once, in this order."""
+    prints, rows, sentence, *_ = _sentences(texts)
+    order = np.lexsort((prints, sentence, rows))
+    prints, rows, sentence = prints[order], rows[order], sentence[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (sentence[1:] != sentence[:-1]) | (prints[1:] != prints[:-1])
+    return rows[new], sentence[new], prints[new]
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, label) for each feature of each document, once."""
     for batch in batches:
+        labels = batch["label"].to_numpy()
         for texts in texts_of(batch["text"]):
-            prints, rows, sentence, *_ = _sentences(texts)
-            order = np.lexsort((prints, sentence, rows))
-            prints, rows, sentence = prints[order], rows[order], sentence[order]
-            new = np.ones(len(rows), bool)
-            new[1:] = (sentence[1:] != sentence[:-1]) | (prints[1:] != prints[:-1])
-            prints, rows, sentence = prints[new], rows[new], sentence[new]
-            bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
-            for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            rows, _, prints = _distinct(texts)
+            rows, prints, _ = distinct(rows, prints)
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(prints.view(np.int64)), "label": pa.array(labels[texts.first + rows], pa.int32())})
+
+
+def _bags(vocabulary: np.ndarray):
+    """Each document's label and its sentences' features, among those of an ascending vocabulary."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in texts_of(batch["text"]):
+                rows, sentence, prints = _distinct(texts)
+                at = np.minimum(np.searchsorted(vocabulary, prints), len(vocabulary) - 1)
+                known = vocabulary[at] == prints
+                rows, sentence, at = rows[known], sentence[known], at[known].astype(np.int32)
+                edges = np.searchsorted(rows, np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_pydict({
-                    "label": pa.array([batch["label"][texts.first + i].as_py()], pa.int32()),
-                    "words": pa.array([prints[a:b].tobytes()], pa.binary()),
-                    "sentences": pa.array([sentence[a:b].astype(np.int64).tobytes()], pa.binary()),
+                    "label": batch["label"].slice(texts.first, len(texts)),
+                    "words": pa.array([at[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+                    "sentences": pa.array([sentence[a:b].astype(np.int32).tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
                 })
 
+    return bags
+
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, most: int = 3_000, min_docs: int = 4, min_odds: float = 1.5,
@@ -81,35 +104,34 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn from labelled documents: docs (doc_id, text), labels (doc_id, label 0 or 1).
 
-    At most ``most`` documents of each label are used, those whose ids hash lowest; this bound is the size of the driver's problem.
+    At most ``most`` documents of each label are used, those whose ids hash lowest; this bounds the sample, which is written once, and the
+    driver's problem.
     Words and beginnings get a weight only if
     they are in min_docs toxic documents and the log-odds ratio of toxic to clean documents is above min_odds. Weights are never
     negative: no word excuses another one. Without documents of
     both labels no word has a weight, and all scores are near the share of toxic ones.
     """
     ids = learning.few(labels.filter("label = 1"), most, "toxic").union(learning.few(labels.filter("label = 0"), most, "clean"))
-    rows = learning.with_texts(docs, ids).select("text", "label").mapInArrow(_features, "label int, words binary, sentences binary").collect()
-    y = np.array([r.label for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        p = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
+    sample = written(learning.with_texts(docs, ids).select("text", "label"))
+    counted = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = counted.get(1, 0), counted.get(0, 0)
+    if not n_toxic or not n_clean:
+        p = 0.99 if n_toxic else 0.01
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))))
-    prints = [np.frombuffer(r.words, np.uint64) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(p) for p in prints])
-    prints = np.concatenate(prints)
-    _, sentence = np.unique(np.stack([doc, np.concatenate([np.frombuffer(r.sentences, np.int64) for r in rows])]), axis=1, return_inverse=True)
-    sentence = sentence.ravel()
-    vocabulary, word = np.unique(prints, return_inverse=True)
-    pairs = np.unique(word.astype(np.int64) * len(rows) + doc)
-    spread = np.bincount(pairs // len(rows), minlength=len(vocabulary))
-    toxic = np.bincount(pairs // len(rows), weights=y[pairs % len(rows)], minlength=len(vocabulary))
-    odds = np.log((toxic + 0.5) / (spread - toxic + 0.5)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    useful = np.flatnonzero((toxic >= min_docs) & (odds > min_odds))
-    if not len(useful):
+    spread = sample.mapInArrow(_spread, "feature long, label int").groupBy("feature").agg(F.sum("label").alias("toxic"), F.count("*").alias("all"))
+    odds = F.log((F.col("toxic") + 0.5) / (F.col("all") - F.col("toxic") + 0.5)) - float(np.log((n_toxic + 1) / (n_clean + 1)))
+    useful = spread.select("feature", "toxic", odds.alias("odds")).filter((F.col("toxic") >= min_docs) & (F.col("odds") > min_odds)).collect()
+    if not useful:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -6.0)
-    place = np.full(len(vocabulary), -1)
-    place[useful] = np.arange(len(useful))
-    used = place[word] >= 0
-    word, bag, bag_doc = place[word][used], sentence[used], doc[used]
+    vocabulary = np.array([r.feature for r in useful], np.int64).view(np.uint64)
+    by_print = np.argsort(vocabulary)
+    vocabulary, odds = vocabulary[by_print], np.array([r.odds for r in useful])[by_print]
+    rows = sample.mapInArrow(_bags(vocabulary), "label int, words binary, sentences binary").collect()
+    y = np.array([r.label for r in rows], float)
+    words = [np.frombuffer(r.words, np.int32) for r in rows]
+    bag_doc = np.repeat(np.arange(len(rows)), [len(w) for w in words])
+    word = np.concatenate(words)
+    bag = np.concatenate([np.frombuffer(r.sentences, np.int32) for r in rows]) + (bag_doc << 32)
     bags, bag = np.unique(bag, return_inverse=True)
     owner = np.zeros(len(bags), np.int64)
     owner[bag] = bag_doc
@@ -123,15 +145,15 @@ def fit_toxicity(
         # d loss / d log(1 - p_document), then through log(1 - p_sentence) to each sentence's logit
         d_clean = importance * np.where(y > 0, np.exp(clean) / whole, -1.0)
         d_bag = -p * d_clean[owner]
-        return np.bincount(word, weights=d_bag[bag], minlength=len(useful)) + ridge * weights, np.array([d_bag.sum()])
+        return np.bincount(word, weights=d_bag[bag], minlength=len(vocabulary)) + ridge * weights, np.array([d_bag.sum()])
 
     def bounded(now):
         np.maximum(now[0], 0, out=now[0])
         np.clip(now[1], -12, -4, out=now[1])
 
-    weights, bias = learning.adam([np.maximum(odds[useful], 0) / 2, np.array([-6.0])], gradients, steps, rate, bounded)
+    weights, bias = learning.adam([odds / 2, np.array([-6.0])], gradients, steps, rate, bounded)
     kept = weights > 0.05
-    return ToxicityModel(vocabulary[useful][kept], weights[kept], float(bias[0]))
+    return ToxicityModel(vocabulary[kept], weights[kept], float(bias[0]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
