@@ -12,6 +12,7 @@ from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .piece_tokens import piece_counts
 from .quality_classifier import QualityModel, fit_quality, score_quality
+from .suffix_dedup import without_repeats
 from .topk import exact_top_k, whole_weights
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -40,6 +41,12 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"), 50).select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), learning.held_out(F.col("doc_id"), 7, 2))
 
@@ -90,6 +97,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_backoff_lm": (op2_backoff_lm, None),
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
