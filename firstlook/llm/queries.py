@@ -10,6 +10,7 @@ from .backoff_lm import lm_scores
 from .divergence_rules import quality_rules
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
+from .pii import KINDS, fit_tagger, pii_spans
 from .piece_tokens import piece_counts
 from .quality_classifier import QualityModel, fit_quality, score_quality
 from .suffix_dedup import without_repeats
@@ -74,6 +75,18 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_spans(docs, fit_tagger(docs))
+    rules = F.filter("spans", lambda s: s["by_rule"])
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["end"])))
+    return found.select(
+        "doc_id", *[F.size(F.filter(rules, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.sha2(listed(rules), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -102,6 +115,7 @@ QUERIES = {
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op6_pii": (op6_pii, None),
     "op7_jaccard_join": (op7_jaccard_join, None),
     "op8_piece_tokens": (op8_piece_tokens, None),
     "op9_divergence_rules": (op9_divergence_rules, None),
