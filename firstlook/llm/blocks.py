@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 BLOCK_BYTES = 16 << 20
 BUCKET_NAMES = 2_000_000
@@ -19,12 +20,13 @@ ASKED = "bucket long, block long, kind int, names binary, extra binary"
 ANSWERED = "block long, bucket long, kind int, answer binary"
 
 
-def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) and the number of blocks: about block_bytes of text in each.
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rest: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, text, block[, rest]) and the number of blocks: about block_bytes of text in each; rest is a struct of the other columns.
 
     A text is never cut, so one that is longer makes a block as long. Equal rows share a block; null ids and texts are dealt like others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    others = [F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("rest")] if rest else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *others)
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     count = int(total // block_bytes) + 1
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count))), count
@@ -104,10 +106,10 @@ def answer(asked: DataFrame, answering: Callable[[pa.Table], list[tuple]]) -> Da
     return asked.groupBy("bucket").applyInArrow(lambda table: table_of(answering(table), ANSWERED), ANSWERED)
 
 
-def told(blocks: DataFrame, answers: DataFrame, using: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """What each block makes of its texts and the answers to it."""
+def told(blocks: DataFrame, answers: DataFrame, using: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
+    """What each block makes of its texts and the answers to it. Only blocks with texts are ever answered."""
 
     def use(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        return using(texts, answers) if len(texts) else table_of([], schema)
+        return using(texts, answers)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(use, schema)

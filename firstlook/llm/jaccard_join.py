@@ -39,7 +39,7 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.nd
 
 
 def set_keys(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, block, n, key) for rows with a block: the size and digest of each set; no key for an empty one."""
+    """(doc_id, block, text_hash, n, key) for rows with a block: the size and digest of each set; no key for an empty one."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,9 +47,11 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
                 n = np.diff(bounds)
                 key = pa.array([d.tobytes() if size else None for d, size in zip(digests, n)], pa.binary())
                 part = batch.slice(first, len(n))
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "block": part["block"], "n": pa.array(n, pa.int64()), "key": key})
+                same = {c: part[c] for c in ("doc_id", "block", "text_hash")}
+                yield pa.RecordBatch.from_pydict(same | {"n": pa.array(n, pa.int64()), "key": key})
 
-    return docs.mapInArrow(keys, "doc_id long, block long, n long, key binary")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    return hashed.mapInArrow(keys, "doc_id long, block long, text_hash long, n long, key binary")
 
 
 def _chosen(texts: pa.Table, chosen: pa.Table, words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -148,12 +150,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, order
     empty text, or one without words, has no shingles and links with nothing. A null id is larger than all others: it is a component's id
     only where there is no other, and rows of an id that repeats are rows of their own. Other columns are ignored.
     """
+    found = _grouped(docs, words, percent, orders, block_bytes)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.nullif("lead.id", F.lit(_NO_ID)).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, orders: int = 3, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that have the smallest id of their component; equal (doc_id, text) stay once.
+
+    Of rows that repeat that id with other texts, the one whose text hashes lowest stays. Rows without words all stay.
+    """
+    leads = _grouped(docs, words, percent, orders, block_bytes).select(F.col("lead.id").alias("_id"), F.col("lead.text_hash").alias("_hash")).distinct()
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_hash", text_hash)
+    return rows.join(leads, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, orders: int, block_bytes: int) -> DataFrame:
+    """(doc_id, n, lead): lead is the smallest (id, text_hash) of the row's component."""
     rows, count = B.in_blocks(docs, block_bytes)
     buckets = B.buckets_for(count, 0.16, block_bytes)
     keyed = written(set_keys(rows, words))
-    classes = keyed.filter("n > 0").groupBy("key").agg(
-        F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("first"), F.min("block").alias("block")
-    )
+    own_lead = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text_hash")
+    classes = keyed.filter("n > 0").groupBy("key").agg(F.min(own_lead).alias("first"), F.min("block").alias("block"))
     chosen = classes.select("block", F.lit(0).cast("long").alias("bucket"), F.lit(-1).alias("kind"), F.col("key").alias("answer"))
 
     def asking(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -179,12 +197,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, order
     ))
     links = _links(postings, sets, percent, orders)
     joined = components(links).join(sets.select("id", "key"), "id").join(classes.select("key", "first"), "key")
-    smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_key = joined.join(smallest, "component").select("key", "component_id")
-    own = classes.select("key", "first").join(by_key, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id"))
-    found = keyed.join(own, "key", "left")
-    component = F.when(F.col("n") > 0, F.nullif("component_id", F.lit(_NO_ID))).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    smallest = joined.groupBy("component").agg(F.min("first").alias("lead"))
+    by_key = joined.join(smallest, "component").select("key", "lead")
+    leads = classes.select("key", "first").join(by_key, "key", "left").select("key", F.coalesce("lead", "first").alias("lead"))
+    return keyed.join(leads, "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("lead")).otherwise(own_lead).alias("lead"))
 
 
 def _links(postings: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:

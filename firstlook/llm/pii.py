@@ -331,18 +331,18 @@ def pii_spans(docs: DataFrame, tagger: Tagger | None, sure: float = 0.9) -> Data
     Takes doc_id and text; a row for each row, whatever its id; null and empty texts have no spans. The tagger's spans count from a
     probability of ``sure`` for each tag on, if they have the digits of their kind, and if they don't touch an inner edge of their window.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _span_batches(b, tagger, sure), SPANS)
+    names = ("kind", "start", "end", "by_rule")
+    kind = pa.list_(pa.struct(list(zip(names, (pa.int32(), pa.int32(), pa.int32(), pa.bool_())))))
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = all_spans([t or "" for t in part["text"].to_pylist()], tagger, sure)
+                lists = [[dict(zip(names, s)) for s in spans] for spans in found]
+                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "spans": pa.array(lists, kind)})
 
-def _span_batches(batches: Iterator[pa.RecordBatch], tagger: Tagger | None, sure: float) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("by_rule", pa.bool_())]))
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            lists = [
-                [dict(zip(("kind", "start", "end", "by_rule"), s)) for s in spans] for spans in all_spans([t or "" for t in part["text"].to_pylist()], tagger, sure)
-            ]
-            yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "spans": pa.array(lists, kind)})
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, SPANS)
 
 
 def all_spans(texts: list[str], tagger: Tagger | None, sure: float) -> list[list[tuple[int, int, int, bool]]]:
@@ -375,3 +375,21 @@ def redacted(text: str, spans: list[tuple[int, int]], names: list[str]) -> str:
             parts += [text[at:start], f"[{name}]"]
         at = max(at, end)
     return "".join(parts) + text[at:]
+
+
+def redact(docs: DataFrame, tagger: Tagger | None, sure: float = 0.9) -> DataFrame:
+    """docs with each span in the column text replaced by [EMAIL], [IP], [CARD] or [PHONE]; null texts become empty, other columns stay."""
+    place = docs.columns.index("text")
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [t or "" for t in part["text"].to_pylist()]
+                new = [
+                    redacted(text, [s[1:3] for s in spans], [KINDS[s[0]].upper() for s in spans]) if spans else text
+                    for text, spans in zip(texts, all_spans(texts, tagger, sure))
+                ]
+                yield part.set_column(place, "text", pa.array(new, pa.string()))
+
+    return docs.mapInArrow(replace, docs.schema)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from . import learning
 from .words import Texts, distinct, shingles_of, spans_print, texts_of, words_of
@@ -174,17 +175,18 @@ def fit_quality(
     return QualityModel(mean, spread, _train(positive, mixed, hidden, steps, decay / (n + m), non_negative), prior)
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, score): 0 to 1, higher for better text; from the text alone.
+def score_quality(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFrame:
+    """docs with a column of scores: 0 to 1, higher for better text; from the column text alone.
 
-    A row for each row, whatever its id; other columns are ignored. Null and empty texts have the score of a text of no characters.
+    A row for each row, with its other columns, whatever its id; null and empty texts have the score of a text of no characters. A column
+    with the name of the new one is replaced.
     """
+    docs = docs.drop(into)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in texts_of(batch["text"]):
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch["doc_id"].slice(texts.first, len(texts)), "score": pa.array(model.score(features(texts))),
-                })
+                yield batch.slice(texts.first, len(texts)).append_column(into, pa.array(model.score(features(texts))))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    schema = StructType([*docs.schema.fields])
+    return docs.mapInArrow(score, schema.add(into, "double"))

@@ -69,7 +69,7 @@ def quality_model(spark: SparkSession, sf_dir: str) -> QualityModel:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = score_quality(_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    scores = score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir))
     return scores.select(
         "doc_id", learning.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

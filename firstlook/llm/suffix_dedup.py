@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from firstlook.plans.written import written
 
@@ -255,14 +256,14 @@ def _first_windows(table: pa.Table) -> list[tuple]:
     return _answers(table, 2, edges, first[of])
 
 
-def without_repeats(docs: DataFrame, length: int = 50, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, block_bytes: int = B.BLOCK_BYTES, rest: bool = False) -> DataFrame:
     """Each row of docs (doc_id, text) without the bytes of strings of ``length`` bytes that start in a row with a smaller id as well.
 
     Texts are UTF-8 bytes, null as empty; strings don't cross rows; overlaps count; strings are judged on the input. starts and ends are the
     maximal removed runs, kept the remaining bytes. Rows with equal ids don't remove anything from each other, and a null id is larger than
-    all others. Texts shorter than ``length`` (16 at least) are kept whole. Other columns are ignored.
+    all others. Texts shorter than ``length`` (16 at least) are kept whole. Other columns are ignored, or come along as the struct ``rest``.
     """
-    rows, count = B.in_blocks(docs, block_bytes)
+    rows, count = B.in_blocks(docs, block_bytes, rest)
     buckets = B.buckets_for(count, 0.08, block_bytes)
     keyed = written(text_keys(rows).distinct())
     firsts = keyed.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("first"))
@@ -324,11 +325,13 @@ def without_repeats(docs: DataFrame, length: int = 50, block_bytes: int = B.BLOC
             out.append((size, int(mask.sum()), edge[::2].tolist(), edge[1::2].tolist(), part[~mask].tobytes()))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-        return pa.table([texts["doc_id"], *columns], names=["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"])
+        table = pa.table([texts["doc_id"], *columns], names=["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"])
+        return table.append_column("rest", texts["rest"]) if rest else table
 
     names = B.answer(B.told(rows, known, ask_names, B.ASKED), _shared_names)
     told = written(known.unionByName(names))
     variants = B.answer(B.told(rows, told, ask_variants, B.ASKED), _first_variants)
     told = written(told.unionByName(variants))
     windows = B.answer(B.told(rows, told, ask_windows, B.ASKED), _first_windows)
-    return B.told(rows, told.unionByName(windows), finish, KEPT)
+    schema = StructType.fromDDL(KEPT)
+    return B.told(rows, told.unionByName(windows), finish, schema.add(rows.schema["rest"]) if rest else schema)
