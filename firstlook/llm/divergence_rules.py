@@ -1,8 +1,9 @@
 """Quality rules: counts that reject a document outright, and divergence from its language.
 
 For each language the corpus itself gives two references: the shares of character classes and the shares of its commonest words. A
-document is rejected when the Jensen-Shannon distance of its own shares from a reference is too large. Short documents, whose
-shares say little, are spared by minimum lengths.
+document is rejected when the Jensen-Shannon distance of its own shares from a reference is much larger than the median distance of
+its language, which is above zero where the corpus itself holds much junk. Short documents, whose shares say little, are spared
+by minimum lengths.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from firstlook.plans.written import written
+
 from .words import Texts, Words, shingles_of, spans_print, texts_of, words_of
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -24,6 +27,7 @@ for _k, _chars in enumerate(_CLASSES):
 N_CLASSES = len(_CLASSES) + 2
 _SYMBOL = 7
 WORD_BINS = 8_192
+SMALL_LANGS = 2_000
 
 
 def counts_of(texts: Texts, words: Words) -> dict[str, np.ndarray]:
@@ -136,18 +140,17 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def quality_rules(
-    docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, common: int = 64, max_class_distance: float = 0.18,
-    max_word_distance: float = 0.46, min_chars: int = 200, min_common: int = 100,
+    docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, common: int = 64, class_margin: float = 0.15,
+    word_margin: float = 0.235, min_chars: int = 200, min_common: int = 100,
 ) -> DataFrame:
     """Counts, distances and the verdict for every row of docs (doc_id, text, lang); other columns are ignored.
 
     base_failed: fewer than min_words words, or more than repeat_percent of them in repeated windows of three. kept: base passes, and
-    neither distance is above its limit; the distance of classes counts from min_chars bytes on, that of words from min_common words on.
-    Null texts count as empty and fail; a null lang is a language of its own. Distances are null where there is nothing to compare.
+    neither distance is more than its margin above the median of its language (in steps of 0.001, of rows that pass base); the distance
+    of classes counts from min_chars bytes on, that of words from min_common words on. Null texts count as empty and fail; a null lang is a language of its own. Distances are null where there is nothing to compare.
     """
-    known = references(docs, common, min_words, repeat_percent).withColumnRenamed("lang", "known_lang")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rows = rows.join(known, rows["lang"].eqNullSafe(known["known_lang"]), "left").drop("known_lang")
+    known = references(docs, common, min_words, repeat_percent)
+    rows = _with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), known)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,12 +183,35 @@ def quality_rules(
                     some = total > 0
                     usual = np.append(told["word_shares"], 1 - sum(told["word_shares"]))
                     by_word[mine[some]] = distance(found[some] / total[some, None], np.maximum(usual, 0))
-                far = (np.diff(texts.bounds) >= min_chars) & (by_class > max_class_distance)
-                far |= (counts["n_words"] >= min_common) & (by_word > max_word_distance)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch["doc_id"].slice(texts.first, n), **{k: pa.array(v, pa.int64()) for k, v in counts.items()},
-                    "base_failed": pa.array(base), "kept": pa.array(~base & ~far),
+                    "doc_id": batch["doc_id"].slice(texts.first, n), "lang": batch["lang"].slice(texts.first, n),
+                    **{k: pa.array(v, pa.int64()) for k, v in counts.items()},
+                    "base_failed": pa.array(base), "long_text": pa.array(np.diff(texts.bounds) >= min_chars),
                     "class_distance": pa.array(by_class, mask=np.isnan(by_class)), "word_distance": pa.array(by_word, mask=np.isnan(by_word)),
                 })
 
-    return rows.mapInArrow(judge, f"doc_id long, {COUNTS}, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    schema = f"doc_id long, lang string, {COUNTS}, base_failed boolean, long_text boolean, class_distance double, word_distance double"
+    judged = written(rows.mapInArrow(judge, schema))
+    judged = _with_language(judged, _medians(judged.filter("NOT base_failed"), ["class_distance", "word_distance"]))
+    far = F.col("long_text") & (F.col("class_distance") > F.col("median_class_distance") + class_margin)
+    far |= (F.col("n_words") >= min_common) & (F.col("word_distance") > F.col("median_word_distance") + word_margin)
+    kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+    return judged.select("doc_id", *names, "base_failed", kept.alias("kept"), "class_distance", "word_distance")
+
+
+def _with_language(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with what is known of their lang. Few languages, some 2 KB each, are broadcast; more are joined by shuffling."""
+    known = written(known.withColumnRenamed("lang", "_lang"))
+    side = F.broadcast(known) if known.count() <= SMALL_LANGS else known
+    return rows.join(side, rows["lang"].eqNullSafe(known["_lang"]), "left").drop("_lang")
+
+
+def _medians(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(lang, median_...): exact medians by language of columns cut to steps of 0.001, from counts of each step."""
+    steps = rows.select("lang", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.floor(F.col(c) * 1000).alias("step")) for c in columns])).alias("v"))
+    counts = steps.filter("v.step IS NOT NULL").groupBy("lang", "v.name", "v.step").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("lang", "name")
+    reached = counts.withColumn("up_to", F.sum("n").over(of.orderBy("step"))).withColumn("all", F.sum("n").over(of)).filter("2 * up_to >= all")
+    least = reached.groupBy("lang", "name").agg((F.min("step") / 1000).alias("median"))
+    return least.groupBy("lang").agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"median_{c}") for c in columns])

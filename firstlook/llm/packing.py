@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences of fixed capacity.
 
 Only the histogram of piece lengths, as long as the capacity, reaches the driver. Patterns of one to three lengths that fill a sequence are
-enumerated, and non-negative least squares finds how often to repeat each so that together they use up the histogram. Counts are rounded,
-and what is left is packed best-fit decreasing, still by counts. Spark then deals each length's pieces out to the places planned for it.
+enumerated, and non-negative least squares finds how often to repeat each so that together they use up the histogram. Counts are rounded
+down, and what is left is packed best-fit decreasing, still by counts. Spark then deals each length's pieces out to the places planned for it.
 """
 
 from __future__ import annotations
@@ -88,11 +88,15 @@ def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def repeats(table: np.ndarray, histogram: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradients: how often to use each pattern (a row of lengths)."""
+def repeats(table: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Non-negative least squares by accelerated projected gradients: how often to use each pattern (a row of lengths).
+
+    A miss weighs as the square of its length: short pieces that are left over find a place later, long ones don't.
+    """
     size, flat = len(histogram), table.ravel()
     target = histogram.astype(float)
     target[0] = 0
+    weight = (np.arange(size) / size) ** 2
 
     def uses(x):
         total = np.bincount(flat, weights=np.repeat(x, table.shape[1]), minlength=size)
@@ -100,7 +104,7 @@ def repeats(table: np.ndarray, histogram: np.ndarray, steps: int = 200) -> np.nd
         return total
 
     def back(r):
-        return r[table].sum(1)
+        return (weight * r)[table].sum(1)
 
     probe = np.ones(len(table))
     for _ in range(15):
@@ -130,11 +134,10 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[Runs, int]]:
     table = patterns(present, capacity) if len(present) else np.zeros((0, 3), int)
     if len(table):
         often = repeats(table, left)
-        for k in np.argsort(-often, kind="stable"):
-            if often[k] < 0.5:
-                break
+        used = np.flatnonzero(often >= 1)
+        for k in used[np.lexsort((-often[used], -table[used, 0]))]:
             runs = _runs(table[k].tolist())
-            times = min(int(round(often[k])), *(left[n] // m for n, m in runs))
+            times = min(int(often[k]), *(int(left[n]) // m for n, m in runs))
             if times > 0:
                 planned.append((runs, times))
                 for n, m in runs:

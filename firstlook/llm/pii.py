@@ -21,7 +21,7 @@ from . import learning
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "doc_id long, spans array<struct<kind:int,start:int,end:int,by_rule:boolean>>"
-WINDOW = 96
+WINDOW = 64
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -272,7 +272,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit_tagger(
-    docs: DataFrame, most_docs: int = 2_000, most_windows: int = 4_000, embed: int = 8, hidden: int = 16, steps: int = 250, batch: int = 32,
+    docs: DataFrame, most_docs: int = 2_000, most_windows: int = 4_000, embed: int = 12, hidden: int = 24, steps: int = 300, batch: int = 32,
 ) -> Tagger | None:
     """A tagger trained on the patterns' spans in a sample of docs (doc_id, text); None if the sample has no span.
 
@@ -303,7 +303,7 @@ def fit_tagger(
         some = random.integers(0, len(codes), batch)
         return Tagger(now).gradients(codes[some], tags[some])
 
-    return Tagger(learning.adam(tagger.params, gradients, steps, 0.015))
+    return Tagger(learning.adam(tagger.params, gradients, steps, 0.03))
 
 
 def _plausible(kind: int, text: str) -> bool:
