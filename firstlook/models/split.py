@@ -19,10 +19,12 @@ class SplitError(ValueError):
     """The rows cannot be split the way asked."""
 
 
-def select_rows(df: DataFrame, target: str, key: str, max_rows: int = MAX_ROWS) -> tuple[DataFrame, int, int]:
-    """Rows with a target, at most ``max_rows`` of them, with the rows used and the rows there were."""
+def select_rows(df: DataFrame, target: str, key: str, max_rows: int | None = MAX_ROWS) -> tuple[DataFrame, int, int]:
+    """Rows with a target, at most ``max_rows`` of them (None: all), with the rows used and the rows there were."""
     present = df.where(q(target).isNotNull())
     total = present.count()
+    if max_rows is None:
+        return present, total, total
     return exact_sample(present, max_rows, key, rows=total, ordered=False), min(total, max_rows), total
 
 

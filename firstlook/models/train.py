@@ -29,7 +29,6 @@ BOOST_ROUNDS = 100
 BOOST_STEP = 0.1
 BOOST_DEPTH = 5
 BOOST_MIN_LEAF = 20
-EARLY_STOP_FROM = 10_000
 VALIDATION_SHARE = 0.1
 LOGISTIC_ROUNDS = 1_000
 # Boosting runs hundreds of tiny jobs; fewer, fuller tasks make each of them quicker.
@@ -82,13 +81,13 @@ class MLReport:
         return next((m for m in self.models if m.is_winner), None)
 
 
-def models_for(kind: str, train_rows: int, classes: int, early_stop: bool = False) -> list[tuple[str, Estimator]]:
+def models_for(kind: str, train_rows: int, classes: int, early_stop: bool = False, forest_depth: int = FOREST_DEPTH) -> list[tuple[str, Estimator]]:
     """The three models of a problem kind, in a fixed order."""
     boost = {
         "maxIter": BOOST_ROUNDS, "stepSize": BOOST_STEP, "maxDepth": BOOST_DEPTH,
         "minInstancesPerNode": BOOST_MIN_LEAF, "seed": SEED,
     }
-    forest = {"numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "seed": SEED}
+    forest = {"numTrees": FOREST_TREES, "maxDepth": forest_depth, "seed": SEED}
     if early_stop:
         boost["validationIndicatorCol"] = "is_validation"
     if kind == REGRESSION:
@@ -111,10 +110,14 @@ def models_for(kind: str, train_rows: int, classes: int, early_stop: bool = Fals
 
 def train_models(
     df: DataFrame, target: str, features: list[str], key: str, problem: ProblemInfo | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS, early_stop: bool = False, forest_depth: int | None = None,
 ) -> MLReport:
     """Sample, split, encode, fit three models, score them on the held-out rows, pick the winner.
 
+    ``max_rows=None`` uses all rows. ``early_stop`` keeps a tenth of the training rows from boosting and stops when the error on
+    them no longer falls; it is off at every size unless asked for. ``forest_depth`` bounds the depth of forest trees, 10 by
+    default; Spark allows up to 30, at a cost that grows with the leaves.
+
     ``key`` is a unique column that identifies a row; the sample and the split follow from it alone.
     Features are fitted and encoded once and cached for the three fits.
     """
@@ -154,7 +157,7 @@ def train_models(
         if not numeric and not categorical:
             return failed("none")
         try:
-            _fit_all(used, target, key, numeric, categorical, report, parts)
+            _fit_all(used, target, key, numeric, categorical, report, parts, early_stop, forest_depth or FOREST_DEPTH)
         except SplitError as reason:
             return failed("split", reason=reason)
     finally:
@@ -165,7 +168,8 @@ def train_models(
 
 
 def _fit_all(
-    used: DataFrame, target: str, key: str, numeric: list[str], categorical: list[str], report: MLReport, parts: int
+    used: DataFrame, target: str, key: str, numeric: list[str], categorical: list[str], report: MLReport, parts: int,
+    early_stop: bool, forest_depth: int,
 ) -> None:
     problem = report.problem
     if problem.is_classification:
@@ -191,8 +195,7 @@ def _fit_all(
     )
     train, test = ready.where(~F.col("is_test")), ready.where("is_test")
     try:
-        early = train_rows >= EARLY_STOP_FROM
-        for name, estimator in models_for(problem.kind, train_rows, len(classes), early):
+        for name, estimator in models_for(problem.kind, train_rows, len(classes), early_stop, forest_depth):
             report.models.append(_fit_one(name, estimator, train, test, problem))
     finally:
         ready.unpersist()
@@ -220,7 +223,7 @@ def _fit_one(name: str, estimator: Estimator, train: DataFrame, test: DataFrame,
             metrics |= roc_auc(scored).first().asDict()
         return ModelResult(name, {k: v for k, v in metrics.items() if v is not None}, seconds)
     except Exception as reason:  # any estimator failure is this model's result
-        return ModelResult(name, {}, time.perf_counter() - start, error=f"{type(reason).__name__}: {reason}"[:500])
+        return ModelResult(name, {}, time.perf_counter() - start, error=f"{type(reason).__name__}: {reason}")
 
 
 def comparison_figure(spark: SparkSession, report: MLReport) -> dict | None:

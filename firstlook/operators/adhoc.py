@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass, field
 from typing import Any, Callable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, types as T
 
 from ..functions.columns import TIME_TYPES
-from .charts import TooManyPoints, figure
+from .charts import figure
 
-# Fixed value: rows of a result that are shown.
+# Rows of a result that are shown, and seconds a query may take.
 MAX_RESULT_ROWS = 1_000
+TIMEOUT_S = 10.0
 
 Query = str | Callable[[DataFrame], Any]
 
@@ -23,6 +27,7 @@ class Result:
     value: Any = None
     columns: list[str] = field(default_factory=list)
     records: list[dict] = field(default_factory=list)
+    truncated: bool = False
 
 
 @dataclass
@@ -32,16 +37,32 @@ class Answer:
     error: str | None = None
 
 
-def run_query(df: DataFrame, query: Query) -> Answer:
+def run_query(df: DataFrame, query: Query, timeout_s: float = TIMEOUT_S) -> Answer:
     """Run SQL over the table, named ``{df}``, or a function of it, and format what comes back.
 
-    The query itself runs on the whole table; only the result shown is cut, to its first 1000 rows.
+    The query itself runs on the whole table; only the result shown is cut, to its first 1000 rows, and says so. After
+    ``timeout_s`` seconds its jobs are cancelled.
     """
+    spark, tag, late = df.sparkSession, f"adhoc-{uuid.uuid4().hex}", threading.Event()
+    context = spark.sparkContext
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(timeout_s, stop)
+    context.addJobTag(tag)
+    timer.start()
     try:
-        value = df.sparkSession.sql(query, df=df) if isinstance(query, str) else query(df)
+        value = spark.sql(query, df=df) if isinstance(query, str) else query(df)
         return format_result(value)
-    except (PySparkException, ValueError, TypeError, KeyError, ArithmeticError, AttributeError) as reason:
+    except (PySparkException, Py4JError, ValueError, TypeError, KeyError, ArithmeticError, AttributeError) as reason:
+        if late.is_set():
+            return Answer(Result(), error=f"TimeoutError: the query took longer than {timeout_s:g} seconds")
         return Answer(Result(), error=f"{type(reason).__name__}: {reason}")
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
 
 
 def format_result(value: Any) -> Answer:
@@ -60,8 +81,9 @@ def format_result(value: Any) -> Answer:
         return Answer(Result("scalar", value))
     if len(value.columns) == 1 and len(cell := value.select(json_value(value, value.columns[0])).take(2)) == 1:
         return format_result(cell[0][0]) if cell[0][0] is not None else Answer(Result("scalar"))
-    shown = [json.loads(r["record"]) for r in records(value.limit(MAX_RESULT_ROWS)).collect()]
-    return Answer(Result("dataframe", None, value.columns, shown), figure=auto_figure(value) if shown else None)
+    shown = [json.loads(r["record"]) for r in records(value.limit(MAX_RESULT_ROWS + 1)).collect()]
+    cut = len(shown) > MAX_RESULT_ROWS
+    return Answer(Result("dataframe", None, value.columns, shown[:MAX_RESULT_ROWS], cut), figure=auto_figure(value) if shown else None)
 
 
 def auto_figure(result: DataFrame) -> dict | None:
@@ -72,7 +94,4 @@ def auto_figure(result: DataFrame) -> dict | None:
     y = numeric[0]
     x = next(c for c in result.columns if c != y)
     kind = "line" if isinstance(result.schema[x].dataType, TIME_TYPES) else "bar"
-    try:
-        return figure(result, kind, x, y, "sum", f"{y} by {x}")
-    except TooManyPoints:
-        return None
+    return figure(result, kind, x, y, "sum", f"{y} by {x}")

@@ -8,17 +8,13 @@ from ..functions.columns import (
     REAL_TYPES, TEXT_TYPES, TIME_TYPES, WHOLE_TYPES, as_number, data_type, nan_to_null, q,
 )
 from ..functions.dates import iso_text
+from ..plans.ordered import numbered
 from ..plans.quantiles import grouped_quantile
 
 # Chart and aggregation kinds.
 CHART_TYPES = ("line", "bar", "pie")
 AGGREGATIONS = ("sum", "mean", "count", "median", "min", "max")
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
-MAX_FIGURE_POINTS = 50_000
-
-
-class TooManyPoints(ValueError):
-    """A chart has more points than one figure can show."""
 
 
 def chart_points(
@@ -33,7 +29,7 @@ def chart_points(
         raise ValueError(f"unknown x column '{x}'")
     if aggregation not in AGGREGATIONS:
         raise ValueError(f"unknown aggregation '{aggregation}'")
-    df = nan_to_null(df.select(*dict.fromkeys([x, y] if y in df.columns else [x])))
+    df = nan_to_null(df.select(*[q(c) for c in dict.fromkeys([x, y] if y in df.columns else [x])]))
     key = q(x)
     rows = df.where(key.isNotNull())
     if skip_null_y and isinstance(data_type(df, x), TEXT_TYPES):
@@ -88,22 +84,37 @@ def _plain(points: DataFrame) -> DataFrame:
     return points.withColumn("y", finite) if isinstance(points.schema["y"].dataType, REAL_TYPES) else points
 
 
+def _in_buckets(df: DataFrame, x: str, bucket: str | None) -> DataFrame:
+    if bucket is None:
+        return df
+    if not isinstance(data_type(df, x), TIME_TYPES):
+        raise ValueError(f"only dates have buckets, '{x}' holds none")
+    return df.withColumn(x, F.date_trunc(bucket, q(x)).cast("timestamp_ntz"))
+
+
+def figure_table(
+    df: DataFrame, x: str, y: str | None = None, aggregation: str = "count", chart_type: str | None = None,
+    edited: bool = False, bucket: str | None = None,
+) -> DataFrame:
+    """Rows (position, x, y) of a figure, from 0 on in display order, for charts of any size."""
+    points = chart_points(_in_buckets(df, x, bucket), x, y, aggregation, skip_null_y=edited)
+    return numbered(points, chart_order(points, chart_type, edited)).select("position", "x", "y")
+
+
 def figure(
     df: DataFrame, chart_type: str, x: str, y: str | None = None, aggregation: str = "count",
-    title: str = "", edited: bool = False, max_points: int = MAX_FIGURE_POINTS,
+    title: str = "", edited: bool = False, bucket: str | None = None,
 ) -> dict:
-    """A drawable figure: one trace and its titles.
+    """A drawable figure: one trace and its titles, with every point of the chart.
 
-    A figure lives in one browser, so only here points are bounded: more than ``max_points`` is an
-    error that names the way out, never a silent cut.
+    A figure lives in one browser. For a table with very many values of ``x``, ``bucket`` groups dates by a unit such as
+    ``month``, and ``figure_table`` gives the points as a table.
     """
     if chart_type not in CHART_TYPES:
         raise ValueError(f"unknown chart type '{chart_type}'")
     if chart_type == "line" and y is None:
         raise ValueError("a line chart needs a y column")
-    points = _plain(ordered_points(df, x, y, aggregation, chart_type, edited)).take(max_points + 1)
-    if len(points) > max_points:
-        raise TooManyPoints(f"more than {max_points} points: group '{x}' more coarsely, or use ordered_points")
+    points = _plain(ordered_points(_in_buckets(df, x, bucket), x, y, aggregation, chart_type, edited)).collect()
     if not points:
         return {"data": [], "layout": {"title": {"text": f"{title} (no data)"}}}
     xs, ys = [p["x"] for p in points], [p["y"] for p in points]

@@ -175,8 +175,8 @@ def fill_missing(
     if gaps:
         if order_by is None:
             raise ValueError(f"filling the dates of {', '.join(gaps)} needs a row order: pass order_by")
-        if order_by in gaps:
-            raise ValueError(f"the order column '{order_by}' has missing values")
+        if order_by != ROW_ORDER:
+            _check_order(df, order_by)
         table = fill_in_order(table, gaps, order_by)
     keep_order = [ROW_ORDER] if ROW_ORDER in hidden else []
     return Filled(
@@ -185,6 +185,16 @@ def fill_missing(
     )
 
 
+def _check_order(df: DataFrame, order_by: str) -> None:
+    """Every row needs a position of its own, else dates would be filled at random."""
+    places = nan_to_null(df.select(q(order_by).alias("place"))).groupBy("place").count()
+    found = places.agg(F.bool_or(F.col("place").isNull()).alias("gap"), F.max("count").alias("most")).first()
+    if found["gap"]:
+        raise ValueError(f"the order column '{order_by}' has missing values")
+    if (found["most"] or 0) > 1:
+        raise ValueError(f"the order column '{order_by}' repeats values")
+
+
 @dataclass
 class ColumnReport:
     name: str

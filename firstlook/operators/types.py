@@ -23,7 +23,6 @@ CATEGORY = ("categorical", "boolean")
 # A distinct sketch is a few percent off; only shares within eight of its deviations are counted exactly.
 SKETCH_DEVIATION = 0.05
 SKETCH_MARGIN = 8 * SKETCH_DEVIATION
-SMALL = 1000
 FIRST_ROWS = 100
 LONG_TEXT = 64
 
@@ -140,7 +139,7 @@ def profile(df: DataFrame) -> Profile:
             types[name] = "text"
         else:
             share = seen[f"distinct{i}"] / present[name]
-            if present[name] < SMALL or abs(share / CATEGORY_SHARE - 1) <= SKETCH_MARGIN:
+            if abs(share / CATEGORY_SHARE - 1) <= SKETCH_MARGIN:
                 unsure.append(name)
             types[name] = "categorical" if share < CATEGORY_SHARE else "text"
     for name, (rows, distinct) in exact_distinct(df, unsure).items():

@@ -18,7 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folders.setdefault(context.applicationId, tempfile.mkdtemp(prefix="firstlook-"))
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="firstlook-")
+    return _local_folders[context.applicationId]
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ MISSING_WORDS = [
 TRUE_WORDS = ["True", "TRUE", "true"]
 FALSE_WORDS = ["False", "FALSE", "false"]
 EXTENSIONS = (".csv", ".csv.gz")
+BEYOND = "_beyond"
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 
@@ -40,7 +41,8 @@ def header_names(line: str) -> list[str]:
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Read one CSV file or a folder of them (equal headers) as a typed table with its row order.
 
-    The column types come from one aggregate over the whole input. Quoted line breaks keep a file
+    The column types come from one aggregate over the whole input. Missing cells at the end of a row are NULL; a row with
+    a cell beyond the header is an error. Quoted line breaks keep a file
     from being split; ``multi_line=None`` looks whether there are any.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
@@ -57,10 +59,10 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     # Unique technical names: a table scan may not repeat a name, even one that differs only by case.
     cells = [f"_c{i}" for i in range(len(names))]
     raw = (
-        spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in cells]))
+        spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in [*cells, BEYOND]]))
         .options(header=True, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE")
         .csv(path)
-        .select(*[F.when(~q(c).isin(MISSING_WORDS), q(c)).alias(c) for c in cells], file_order())
+        .select(*[F.when(~q(c).isin(MISSING_WORDS), q(c)).alias(c) for c in cells], BEYOND, file_order())
     )
     typed = _with_types(raw, cells)
     return typed.toDF(*names, ROW_ORDER)
@@ -68,7 +70,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
 
 def _with_types(raw: DataFrame, cells: list[str]) -> DataFrame:
     """Cast every column to the first type all its values fit: long, double, boolean, else string."""
-    tests: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    tests: list[Column] = [F.count(F.lit(1)).alias("rows"), F.count(BEYOND).alias("beyond")]
     for c in cells:
         col = q(c)
         tests += [
@@ -81,6 +83,8 @@ def _with_types(raw: DataFrame, cells: list[str]) -> DataFrame:
     seen = raw.agg(*tests).first()
     if not seen["rows"]:
         raise SourceError("the input contains no rows")
+    if seen["beyond"]:
+        raise SourceError(f"{seen['beyond']} row(s) have more cells than the header")
 
     def typed(c: str) -> Column:
         col, present = q(c), seen[f"n{c}"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import REAL_TYPES, TIME_TYPES, data_type, q
 from ..functions.dates import iso_text
@@ -17,12 +17,21 @@ MOST_ROWS = 50_000
 
 
 def json_value(df: DataFrame, name: str) -> Column:
-    """A cell as JSON can hold it: no NaN or infinity, timestamps in ISO form."""
-    col, dtype = q(name), data_type(df, name)
+    """A cell as JSON can hold it, at any depth: no NaN or infinity, timestamps in ISO form."""
+    return _json_value(q(name), data_type(df, name))
+
+
+def _json_value(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, REAL_TYPES):
         return F.when(~F.isnan(col) & (F.abs(col) != float("inf")), col)
     if isinstance(dtype, TIME_TYPES):
         return iso_text(col)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: _json_value(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(col, lambda _, v: _json_value(v, dtype.valueType))
+    if isinstance(dtype, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[_json_value(col[f.name], f.dataType).alias(f.name) for f in dtype]))
     return col
 
 

@@ -1,7 +1,9 @@
 """Types, cleaning and its report, against values worked out with pandas."""
 
 import datetime as dt
+import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,29 +142,38 @@ def test_nested_columns_pass_through(spark):
     assert sorted(r["n"] for r in got.table.collect()) == [1.0, 2.0, 3.0]
 
 
-def test_whole_run(cleaned):
+def test_whole_run(cleaned, parcels):
     report = cleaned.report
-    assert (report.rows_in, report.rows_out, report.cols_in, report.cols_out, report.duplicates_removed) == (12, 11, 7, 6, 1)
-    assert report.dropped_columns == ["internal_note"]
-    assert report.renamed_columns["BookedOn"] == "booked_on" and report.renamed_columns["Guest  Name"] == "guest_name"
-    seen = {c.name: (c.detected_type, c.nulls_before, c.nulls_after, c.coerced_to_null) for c in report.columns}
-    assert seen == {
-        "booking_no": ("integer", 0, 0, 0), "guest_name": ("text", 1, 0, 0), "booked_on": ("datetime", 1, 0, 1),
-        "party_size": ("integer", 2, 0, 0), "room": ("categorical", 1, 0, 0), "paid": ("boolean", 1, 0, 0),
-        "internal_note": ("text", 10, 0, 0),
-    }
-    rows = {r["booking_no"]: r for r in cleaned.table.collect()}
-    assert len(rows) == 11 and all(v is not None for r in rows.values() for v in r)
-    assert rows[21]["guest_name"] == "Mara Quill" and rows[23]["guest_name"] == "unknown"
-    assert rows[24]["booked_on"] == rows[25]["booked_on"] == dt.datetime(2023, 4, 30)
-    assert rows[23]["party_size"] == 4.0 and rows[29]["room"] == "North" and rows[25]["paid"] == "yes"
+    assert (report.rows_in, report.rows_out, report.duplicates_removed) == (257, 240, 17)
+    assert report.dropped_columns == ["scratch_1", "scratch_2"] and (report.cols_in, report.cols_out) == (9, 7)
+    names = dict(zip(["sent_on", "weight_kg", "depot", "express", "label", "pieces", "parcel_no"],
+                     ["Sent On", "weightKg", "Depot", "Express?", "Label", "Pieces", "Parcel No"]))
+    assert {new: old for old, new in report.renamed_columns.items() if new in names} == names
+    kinds = {c.name: c.detected_type for c in report.columns}
+    assert [kinds[n] for n in names] == ["datetime", "float", "categorical", "boolean", "text", "integer", "integer"]
+    assert {c.name: c.nulls_before for c in report.columns if c.name in names} == {n: parcels[o].isna().sum() for n, o in names.items()}
+    assert all(c.nulls_after == 0 for c in report.columns if c.name in names)
+
+    dates = pd.to_datetime(parcels["Sent On"], format="%Y-%m-%d", errors="coerce")
+    lost = next(c.coerced_to_null for c in report.columns if c.name == "sent_on")
+    assert lost == dates.isna().sum() - parcels["Sent On"].isna().sum() > 0
+    want = pd.DataFrame({
+        "sent_on": dates.ffill().bfill(), "weight_kg": parcels["weightKg"].fillna(parcels["weightKg"].median()),
+        "depot": parcels["Depot"].fillna(parcels["Depot"].mode()[0]),
+        "express": parcels["Express?"].fillna(parcels["Express?"].mode()[0]).astype(str).str.lower(),
+        "label": parcels["Label"].fillna("unknown"), "pieces": parcels["Pieces"].fillna(parcels["Pieces"].median()).astype(float),
+        "parcel_no": parcels["Parcel No"],
+    })
+    got = cleaned.table.drop(ROW_ORDER).toPandas().sort_values("parcel_no")
+    got["express"], got["pieces"] = got["express"].astype(str).str.lower(), got["pieces"].astype(float)
+    assert got[list(want)].astype(str).values.tolist() == want.sort_values("parcel_no").astype(str).values.tolist()
 
 
 def test_report_tables(spark, cleaned):
     summary = cleaned.report.summary_table(spark).first()
-    assert summary["rows_out"] == 11 and summary["renamed_columns"]["Party Size"] == "party_size"
-    columns = cleaned.report.columns_table(spark).orderBy("position").collect()
-    assert columns[-1]["action"] == "dropped (91% null)"
+    assert summary["rows_out"] == 240 and summary["renamed_columns"]["weightKg"] == "weight_kg"
+    actions = {r["name"]: r["action"] for r in cleaned.report.columns_table(spark).collect()}
+    assert actions["scratch_1"] == "dropped (100% null)" and actions["scratch_2"] == "dropped (89% null)"
 
 
 def test_a_column_can_give_the_order(spark):
@@ -172,6 +183,15 @@ def test_a_column_can_give_the_order(spark):
 
 
 def test_cleaned_rows_as_records(cleaned):
-    first = records(cleaned.table.where("booking_no = 21")).first()["record"]
-    assert first.startswith('{"booking_no":21,"guest_name":"Mara Quill","booked_on":"2023-03-01T00:00:00"')
-    assert ROW_ORDER not in first
+    cells = json.loads(records(cleaned.table.where("parcel_no = 5000")).first()["record"])
+    assert list(cells) == ["sent_on", "weight_kg", "depot", "express", "label", "pieces", "parcel_no"]
+    assert cells["sent_on"] == "2022-01-01T00:00:00" and cells["parcel_no"] == 5000
+
+
+def test_the_order_column_must_have_every_position_once(spark):
+    types = {"o": "integer", "d": "datetime"}
+    with pytest.raises(ValueError, match="missing values"):
+        filled(spark, [(1, "2024-01-01"), (2, None), (None, "2024-05-05")], "o int, d string", types, order_by="o")
+    with pytest.raises(ValueError, match="repeats"):
+        filled(spark, [(1, "2024-01-01"), (2, None), (2, "2024-05-05")], "o int, d string", types, order_by="o")
+    assert filled(spark, [(1, "2024-01-01"), (None, "2024-05-05")], "o int, d string", types, order_by="o").table.count() == 2

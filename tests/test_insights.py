@@ -158,11 +158,11 @@ def test_plain_distributions_have_no_sentence():
 def test_insights_of_the_cleaned_table(spark, cleaned):
     report = insights(cleaned.table)
     frame = cleaned.table.toPandas()
-    assert report.schema == {"rows": 11, "cols": 6, "by_type": {"integer": 2, "text": 1, "datetime": 1, "categorical": 1, "boolean": 1}}
-    assert report.columns["party_size"]["stats"]["std"] == pytest.approx(frame.party_size.std())
-    assert report.columns["party_size"]["stats"]["skew"] == pytest.approx(frame.party_size.skew())
-    best = frame.groupby("room").party_size.mean().sort_values()
-    gap = next(g for g in report.category_breakdowns if (g["category_col"], g["numeric_col"]) == ("room", "party_size"))
+    assert report.schema["rows"] == 240 and report.schema["cols"] == 7
+    assert report.columns["weight_kg"]["stats"]["std"] == pytest.approx(frame.weight_kg.std())
+    assert report.columns["weight_kg"]["stats"]["skew"] == pytest.approx(frame.weight_kg.skew())
+    best = frame.groupby("depot").weight_kg.mean().sort_values()
+    gap = next(g for g in report.category_breakdowns if (g["category_col"], g["numeric_col"]) == ("depot", "weight_kg"))
     assert gap["bottom"]["mean"] == round(best.iloc[0], 4) and gap["top"]["mean"] == round(best.iloc[-1], 4)
-    assert report.trends[0]["period_col"] == "booked_on" and 0 < len(report.insight_sentences) <= 10
+    assert report.trends[0]["period_col"] == "sent_on" and 0 < len(report.insight_sentences) <= 10
     assert {r["section"] for r in report_table(spark, report.to_dict()).collect()} == set(report.to_dict())

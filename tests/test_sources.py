@@ -9,6 +9,7 @@ from firstlook.operators.types import infer_types
 from firstlook.sources.csv import SourceError, header_names, read_csv, write_csv
 from firstlook.sources.datasets import Datasets, UnknownDataset, write_report
 from firstlook.sources.order import ROW_ORDER
+from firstlook.sources.records import records
 
 
 def csv_of(tmp_path, text, name="t.csv"):
@@ -76,8 +77,8 @@ def test_written_csv_reads_back(spark, cleaned, tmp_path):
     write_csv(cleaned.table, path)
     back = read_csv(spark, path)
     assert [c for c in back.columns if c != ROW_ORDER] == [c for c in cleaned.table.columns if c != ROW_ORDER]
-    assert [r["booking_no"] for r in back.orderBy(ROW_ORDER).collect()] == list(range(21, 32))
-    assert infer_types(back.drop(ROW_ORDER))["booked_on"] == "datetime"
+    assert [r["parcel_no"] for r in back.orderBy(ROW_ORDER).collect()] == list(range(5000, 5240))
+    assert infer_types(back.drop(ROW_ORDER))["sent_on"] == "datetime"
 
 
 def test_datasets(spark, tmp_path):
@@ -93,4 +94,18 @@ def test_datasets(spark, tmp_path):
 def test_report_files(spark, cleaned, tmp_path):
     path = str(tmp_path / "report")
     write_report(cleaned.report.columns_table(spark), path)
-    assert spark.read.json(path).where("detected_type = 'datetime'").first()["name"] == "booked_on"
+    assert spark.read.json(path).where("detected_type = 'datetime'").first()["name"] == "sent_on"
+
+
+def test_cells_beyond_the_header_are_an_error(spark, tmp_path):
+    (tmp_path / "ragged.csv").write_text("a,b\n1,x\n2,y,EXTRA\n3\n")
+    with pytest.raises(SourceError, match="1 row"):
+        read_csv(spark, str(tmp_path / "ragged.csv"))
+    (tmp_path / "short.csv").write_text("a,b\n1,x\n3\n")
+    assert [(r["a"], r["b"]) for r in read_csv(spark, str(tmp_path / "short.csv")).orderBy("a").collect()] == [(1, "x"), (3, None)]
+
+
+def test_nested_cells_hold_no_nan(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([([1.5, nan], (inf, "x"), {"k": -inf})], "a array<double>, s struct<d:double,t:string>, m map<string,double>")
+    assert records(df).first()["record"] == '{"a":[1.5,null],"s":{"d":null,"t":"x"},"m":{"k":null}}'
