@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from firstlook.operators.charts import chart_points, figure, ordered_points
+from firstlook.operators.charts import chart_points, figure, figure_table, ordered_points
 from firstlook.operators.suggest import chart_scores, suggest_charts
 
 from .insights import KINDS, of_kind
@@ -96,6 +96,17 @@ def _suggest_sql(name: str, charts: int) -> str:
 HALF_KNOWN = """(SELECT CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS priority,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'n/a' WHEN o_orderstatus <> 'F' THEN CAST(o_custkey AS VARCHAR) END AS amount FROM orders)"""
 
+def chart_figure_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line with a point for every order line: its value over the order and line number."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("line", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return figure_table(lines, "line", "l_quantity", "sum", "line")
+
+
+def chart_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = figure_table(table(spark, sf_dir, "lineitem"), "l_shipdate", "l_quantity", "sum", "line", bucket="month")
+    return drawn.withColumn("x", F.date_format("x", "yyyy-MM-dd"))
+
+
 QUERIES = {
     "chart_count": (chart_count, "SELECT o_orderpriority AS x, count(*) AS y FROM orders GROUP BY 1"),
     **{
@@ -109,6 +120,10 @@ QUERIES = {
         WHERE priority <> '' AND try_cast(amount AS DOUBLE) IS NOT NULL GROUP BY 1"""),
     "chart_figure": (chart_figure, """SELECT CAST(row_number() OVER (ORDER BY sum(user_id) DESC, event_type) - 1 AS INTEGER) AS position,
         event_type AS x, CAST(sum(user_id) AS DOUBLE) AS y FROM events GROUP BY event_type"""),
+    "chart_figure_points": (chart_figure_points, """SELECT row_number() OVER (ORDER BY x) - 1 AS position, x, y FROM (
+        SELECT l_orderkey * 8 + l_linenumber AS x, sum(l_quantity) AS y FROM lineitem GROUP BY 1)"""),
+    "chart_bucketed": (chart_bucketed, """SELECT row_number() OVER (ORDER BY x) - 1 AS position, x, y FROM (
+        SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS x, sum(l_quantity) AS y FROM lineitem GROUP BY 1)"""),
     "suggest_charts": (_suggest("orders", 8), _suggest_sql("orders", 8)),
     "suggest_charts_events": (_suggest("events", 20), _suggest_sql("events", 20)),
     "chart_scores": (chart_scores_lineitem, f"SELECT x_column, y_column, aggregation, round(score, 6) AS score FROM ({scores_sql('lineitem')})"),

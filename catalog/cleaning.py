@@ -12,7 +12,7 @@ from firstlook.operators.clean import (
 from firstlook.operators.stats import overview
 from firstlook.operators.types import infer_types, types_table
 from firstlook.plans.written import shared_folder
-from firstlook.sources.csv import read_csv, write_csv
+from firstlook.sources.csv import SourceError, read_csv, write_csv
 from firstlook.sources.datasets import Datasets
 from firstlook.sources.order import ROW_ORDER
 from firstlook.sources.records import records
@@ -82,6 +82,29 @@ def clean_fill_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_filled(spark, sf_dir, "total_price", "float"))
 
 
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading says about nation lines of which those of even keys have a cell too many."""
+    path = _scratch(spark)
+    line = F.concat_ws(",", "n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.lit("extra")))
+    header = spark.range(1).select(F.lit("n_nationkey,n_name").alias("value"))
+    header.union(table(spark, sf_dir, "nation").select(line)).coalesce(1).write.text(path)
+    try:
+        read_csv(spark, path)
+        said = "read"
+    except SourceError as reason:
+        said = str(reason)
+    return spark.createDataFrame([(said,)], "said string")
+
+
+def clean_ffill_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates filled in the order of a column that is itself data and has a fill rule of its own."""
+    gaps = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate")).alias("o_orderdate")
+    )
+    filled = fill_missing(gaps, {"o_orderkey": "integer", "o_orderdate": "datetime"}, order_by="o_orderkey").table
+    return filled.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+
+
 def clean_fill_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir, "order_status", "categorical")
 
@@ -210,7 +233,14 @@ mode_of AS (SELECT order_status AS top FROM firsts WHERE order_status IS NOT NUL
 _FFILL = """coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY {o} ROWS UNBOUNDED PRECEDING),
     first_value({c} IGNORE NULLS) OVER (ORDER BY {o} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 
+_GAPS = "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END AS d FROM orders"
+
 QUERIES = {
+    "csv_ragged": (csv_ragged, "SELECT count(*) || ' row(s) have more cells than the header' AS said FROM nation WHERE n_nationkey % 2 = 0"),
+    "clean_ffill_by_number": (
+        clean_ffill_by_number,
+        f"SELECT o_orderkey, strftime({_FFILL.format(c='d', o='o_orderkey')}, '%Y-%m-%d') AS o_orderdate FROM ({_GAPS})",
+    ),
     "csv_roundtrip": (csv_roundtrip, "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part"),
     "dataset_roundtrip": (dataset_roundtrip, "SELECT * FROM customer"),
     "records_json": (records_json, """

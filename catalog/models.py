@@ -61,6 +61,13 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def training_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, used, total = select_rows(table(spark, sf_dir, "lineitem"), "l_quantity", "l_orderkey", max_rows=None)
+    return chosen.agg(
+        F.count("l_quantity").alias("rows"), F.lit(used).cast("long").alias("rows_used"), F.lit(total).cast("long").alias("rows_total")
+    )
+
+
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = split_rows(table(spark, sf_dir, "labels"), "doc_id", "quality")
     return split.groupBy("quality", "is_test").agg(F.count("doc_id").alias("rows"))
@@ -179,6 +186,7 @@ QUERIES = {
             unnest(['c_custkey', 'c_nationkey', 'c_acctbal']) AS feature, 'numeric' AS feature_kind FROM customer"""),
     "training_rows": (training_rows, """
         SELECT least(count(*), 20000) AS rows, least(count(*), 20000) AS rows_used, count(*) AS rows_total FROM lineitem WHERE l_returnflag <> 'N'"""),
+    "training_rows_all": (training_rows_all, "SELECT count(*) AS rows, count(*) AS rows_used, count(*) AS rows_total FROM lineitem"),
     "split_sizes": (split_sizes, _split_sql("labels", "quality")),
     "split_sizes_plain": (split_sizes_plain, """
         SELECT true AS is_test, CAST(ceil(0.2 * count(*)) AS BIGINT) AS rows FROM orders
