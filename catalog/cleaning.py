@@ -17,7 +17,7 @@ from firstlook.sources.datasets import Datasets
 from firstlook.sources.order import ROW_ORDER
 from firstlook.sources.records import records
 
-from .tables import faulty_orders, faulty_sql, rounded, table, union_all
+from .tables import faulty_orders, faulty_sql, read_back, rounded, table, union_all
 
 FAULTY = f"WITH faulty AS ({faulty_sql('duckdb')})"
 BOOLEAN_WORDS = "('true','false','yes','no','y','n','t','f','1','0')"
@@ -43,6 +43,12 @@ def records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(events.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")))
 
 
+def records_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and times as records hold them, with NaN and infinite numbers among them."""
+    odd = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 1, F.lit(float("-inf")))
+    return read_back(records(table(spark, sf_dir, "events").withColumn("value", odd.otherwise(F.col("value")))))
+
+
 def clean_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     padded = F.concat(F.lit(" \t"), F.col("o_orderpriority"), F.lit("  \n"))
@@ -246,6 +252,8 @@ QUERIES = {
     "records_json": (records_json, """
         SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","user_id":' || user_id
             || ',"event_type":"' || event_type || '","props":' || to_json(props) || '}' AS record FROM events"""),
+    "records_values": (records_values, """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts,
+        CASE WHEN event_id % 7 > 1 THEN value END AS value, event_type FROM events"""),
     "clean_trim": (clean_trim, "SELECT o_orderkey, trim(' ' || chr(9) || o_orderpriority || chr(160) || ' ' || chr(10), ' ' || chr(9) || chr(10) || chr(160)) AS priority FROM orders"),
     "clean_rename": (clean_rename, "SELECT o_orderkey AS order_key, o_custkey AS order_key_1, o_totalprice AS total_price_usd FROM orders"),
     "clean_dedupe": (clean_dedupe, "SELECT min(doc_id) AS first_doc, lang, CAST(length(text) AS INTEGER) AS chars FROM documents GROUP BY text, lang"),

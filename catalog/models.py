@@ -10,11 +10,12 @@ from firstlook.models.metrics import (
 from firstlook.models.problem import candidate_features, default_target, detect_problem, split_features, suggest_model
 from firstlook.models.results import Results
 from firstlook.models.split import select_rows, split_rows
-from firstlook.models.train import train_models
+from firstlook.models.features import fit_features
+from firstlook.models.train import models_for, train_models
 from firstlook.operators.types import infer_types
 from firstlook.plans.written import shared_folder
 
-from .tables import rounded, table, union_all
+from .tables import md5_place, rounded, table, union_all
 
 # (table, target, semantic type, problem kind, reason) with {n} for the distinct count.
 TARGETS = [
@@ -84,6 +85,16 @@ def _training(spark: SparkSession, report) -> DataFrame:
     return rounded(report.results_table(spark).drop("train_seconds"))
 
 
+def train_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of a straight line from quantity to price, fitted on the training rows of a split and scored on the others."""
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("x"), F.col("o_totalprice").alias("label"))
+    split = split_rows(lines, "o_orderkey")
+    ready = fit_features(split.where(~F.col("is_test")), ["x"], []).transform(split)
+    _, estimator = models_for("regression", 0, 0)[0]
+    model = estimator.fit(ready.where(~F.col("is_test")))
+    return rounded(regression_metrics(model.transform(ready.where("is_test"))).select("mae", "rmse"), 3)
+
+
 def train_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return _training(spark, train_models(orders, "o_totalprice", ["o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey"))
@@ -187,6 +198,12 @@ QUERIES = {
     "training_rows": (training_rows, """
         SELECT least(count(*), 20000) AS rows, least(count(*), 20000) AS rows_used, count(*) AS rows_total FROM lineitem WHERE l_returnflag <> 'N'"""),
     "training_rows_all": (training_rows_all, "SELECT count(*) AS rows, count(*) AS rows_used, count(*) AS rows_total FROM lineitem"),
+    "train_linear": (train_linear, f"""
+        WITH placed AS (SELECT o_custkey AS x, o_totalprice AS y, row_number() OVER (ORDER BY {md5_place('o_orderkey')}, o_orderkey) AS place,
+            ceil(0.2 * count(*) OVER ()) AS n FROM orders),
+        line AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS start FROM placed WHERE place > n)
+        SELECT round(avg(abs(y - start - slope * x)), 3) AS mae, round(sqrt(avg((y - start - slope * x) ** 2)), 3) AS rmse
+        FROM placed, line WHERE place <= n"""),
     "split_sizes": (split_sizes, _split_sql("labels", "quality")),
     "split_sizes_plain": (split_sizes_plain, """
         SELECT true AS is_test, CAST(ceil(0.2 * count(*)) AS BIGINT) AS rows FROM orders

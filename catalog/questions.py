@@ -10,7 +10,7 @@ from firstlook.operators.sample import exact_sample
 from firstlook.operators.sessions import parse_replies, prompts, recent_history, system_prompt
 from firstlook.sources.records import preview
 
-from .tables import table, union_all
+from .tables import md5_place, read_back, table, union_all
 
 DESCRIPTION = "The table has the columns conv_id, turn, role and text."
 
@@ -20,6 +20,15 @@ def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_sample(lines, 5000, "line_key")
 
 
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_sample(table(spark, sf_dir, "orders"), 5000, "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the records of a preview hold, read back from their JSON."""
+    return read_back(preview(table(spark, sf_dir, "events"), "event_id").records)
+
+
 def sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = exact_sample(table(spark, sf_dir, "events"), 2500, "event_id")
     return picked.agg(F.count("event_id").alias("rows"), F.count_distinct("event_id").alias("distinct_rows"))
@@ -107,6 +116,9 @@ _RECENT = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC
 
 QUERIES = {
     "sample_exact": (sample_exact, None),
+    "sample_rows": (sample_rows, f"SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY {md5_place('o_orderkey')}, o_orderkey LIMIT 5000"),
+    "preview_rows": (preview_rows, f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value, event_type
+        FROM (SELECT * FROM events ORDER BY {md5_place('event_id')}, event_id LIMIT 5000)"""),
     "sample_size": (sample_size, "SELECT least(count(*), 2500) AS rows, least(count(*), 2500) AS distinct_rows FROM events"),
     "preview_records": (preview_records, None),
     "preview_counts": (preview_counts, union_all([

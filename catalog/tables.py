@@ -46,3 +46,15 @@ def faulty_sql(engine: str) -> str:
 def faulty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return spark.sql(faulty_sql("spark").replace("FROM orders", "FROM {orders}"), orders=orders)
+
+
+def md5_place(key: str, seed: int = 42) -> str:
+    """In SQL, the position that samples and splits give a row: 15 hex digits of an MD5, which sort as the number does."""
+    return f"substr(md5('{seed}|' || {key}), 1, 15)"
+
+
+def read_back(lines: DataFrame) -> DataFrame:
+    """Event records as columns again, times with microseconds."""
+    cells = F.from_json("record", "event_id long, ts string, value double, event_type string")
+    stamp = F.date_format(F.col("r.ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return lines.select(cells.alias("r")).select("r.event_id", stamp.alias("ts"), "r.value", "r.event_type")

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import q
 
 SEED = 42
-HASH_SPAN = 2**64
+HASH_SPAN = 2**60
 
 
 def row_hash(key: str, seed: int = SEED) -> Column:
-    """Pseudo-random position of a row among all 64-bit numbers, fixed by its key and the seed."""
-    return F.xxhash64(F.lit(seed), q(key))
+    """Pseudo-random position of a row below 2**60, fixed by its key as text and the seed: 15 hex digits of their MD5."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), q(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def exact_sample(df: DataFrame, limit: int, key: str, seed: int = SEED, rows: int | None = None, ordered: bool = True) -> DataFrame:
@@ -28,8 +29,8 @@ def exact_sample(df: DataFrame, limit: int, key: str, seed: int = SEED, rows: in
     if total <= limit:
         return df.orderBy(q(key)) if ordered else df
     spare = limit + 10 * math.isqrt(limit) + 100
-    cuts = [-(HASH_SPAN // 2) + math.ceil(HASH_SPAN * min(1.0, spare * 2**i / total)) for i in range(4)]
-    cuts = [c for c in cuts if c < HASH_SPAN // 2 - 1]
+    cuts = [math.ceil(HASH_SPAN * min(1.0, spare * 2**i / total)) for i in range(4)]
+    cuts = [c for c in cuts if c < HASH_SPAN]
     candidates = df.withColumn("_hash", row_hash(key, seed))
     if cuts:
         counts = df.select(row_hash(key, seed).alias("h")).agg(
