@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from firstlook.operators.charts import chart_points, figure, figure_table, ordered_points
+from firstlook.plans.quantiles import grouped_quantile
 from firstlook.operators.suggest import chart_scores, suggest_charts
 
 from .insights import KINDS, of_kind
@@ -107,12 +108,20 @@ def chart_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumn("x", F.date_format("x", "yyyy-MM-dd"))
 
 
+def chart_median_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of two groups, one of which holds most lines, by the way of large groups."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") == 7).alias("x"), F.col("l_extendedprice").alias("y"))
+    found = grouped_quantile(lines, "x", "y", 0.5, limit=100)
+    return found.select("x", F.round("quantile", 4).alias("y"))
+
+
 QUERIES = {
     "chart_count": (chart_count, "SELECT o_orderpriority AS x, count(*) AS y FROM orders GROUP BY 1"),
     **{
         f"chart_{a}": (_chart(a), f"SELECT o_orderpriority AS x, {sql} AS y FROM orders GROUP BY 1")
         for a, sql in SQL_AGGREGATES.items()
     },
+    "chart_median_hot": (chart_median_hot, "SELECT l_linenumber = 7 AS x, round(quantile_cont(l_extendedprice, 0.5), 4) AS y FROM lineitem GROUP BY 1"),
     "chart_median_high": (chart_median_high, "SELECT l_partkey AS x, round(quantile_cont(l_extendedprice, 0.5), 4) AS y FROM lineitem GROUP BY 1"),
     "chart_points_sorted": (chart_points_sorted, "SELECT strftime(o_orderdate, '%Y-%m-%d') AS x, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY o_orderdate"),
     "chart_null_y": (chart_null_y, f"SELECT priority AS x, round(coalesce(sum(try_cast(amount AS DOUBLE)), 0), 6) AS y FROM {HALF_KNOWN} GROUP BY 1"),

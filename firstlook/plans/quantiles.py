@@ -188,12 +188,8 @@ def grouped_quantile(
     last = F.col("before") + F.col("count")
     low = F.min(F.when(last > lower, q(value)))
     high = F.max(F.when(F.col("before") <= upper, q(value)))
-    joined = rows.join(placed, F.col("_group").eqNullSafe(q(by)), "left")
-    return (
-        joined.groupBy(F.col("_group").alias(by), "_rows")
-        .agg(low.alias("_low"), high.alias("_high"))
-        .select(
-            q(by),
-            (F.col("_low") + (F.col("_high") - F.col("_low")) * (position - lower)).alias("quantile"),
-        )
-    )
+    # Inner, with the large side first: only so can a hot group's values be split over tasks. The aggregate combines map-side.
+    joined = placed.join(rows, q(by).eqNullSafe(F.col("_group")))
+    ends = joined.groupBy("_group", "_rows").agg(low.alias("_low"), high.alias("_high"))
+    found = ends.select(F.col("_group").alias("_found"), (F.col("_low") + (F.col("_high") - F.col("_low")) * (position - lower)).alias("quantile"))
+    return rows.join(found, F.col("_group").eqNullSafe(F.col("_found")), "left").select(F.col("_group").alias(by), "quantile")
