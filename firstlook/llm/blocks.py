@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-BLOCK_BYTES = 16 << 20
-BUCKET_NAMES = 2_000_000
+BLOCK_BYTES = 8 << 20
+BUCKET_NAMES = 500_000
 ASKED = "bucket long, block long, kind int, names binary, extra binary"
 ANSWERED = "block long, bucket long, kind int, answer binary"
 
