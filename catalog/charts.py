@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from firstlook.operators.adhoc import run_query
 from firstlook.operators.charts import chart_points, figure, figure_table, ordered_points
 from firstlook.plans.quantiles import grouped_quantile
 from firstlook.operators.suggest import chart_scores, suggest_charts
@@ -97,6 +98,36 @@ def _suggest_sql(name: str, charts: int) -> str:
 HALF_KNOWN = """(SELECT CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS priority,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'n/a' WHEN o_orderstatus <> 'F' THEN CAST(o_custkey AS VARCHAR) END AS amount FROM orders)"""
 
+def _drawn(spark: SparkSession, drawn: dict) -> DataFrame:
+    """A figure's points with its kind and title."""
+    title = drawn["layout"]["title"]["text"]
+    if not drawn["data"]:
+        return spark.createDataFrame([("none", title, None, None)], "kind string, title string, x string, y double")
+    trace = drawn["data"][0]
+    pairs = zip(trace["labels"], trace["values"]) if trace["type"] == "pie" else zip(trace["x"], trace["y"])
+    rows = [(trace["type"], title, str(x), round(float(y), 2)) for x, y in pairs]
+    return spark.createDataFrame(rows, "kind string, title string, x string, y double")
+
+
+def chart_figure_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn(spark, figure(table(spark, sf_dir, "orders"), "line", "o_orderdate", "o_totalprice", "sum", "Prices"))
+
+
+def chart_figure_pie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn(spark, figure(table(spark, sf_dir, "lineitem"), "pie", "l_returnflag", title="Flags"))
+
+
+def chart_figure_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nothing = table(spark, sf_dir, "lineitem").where("l_quantity < 0")
+    return _drawn(spark, figure(nothing, "bar", "l_returnflag", "l_quantity", "sum", "Flags"))
+
+
+def auto_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chart that an ad-hoc result of one text and one number brings along."""
+    answer = run_query(table(spark, sf_dir, "part"), "SELECT p_brand, sum(p_size) AS size FROM {df} GROUP BY p_brand", timeout_s=300)
+    return _drawn(spark, answer.figure)
+
+
 def chart_figure_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line with a point for every order line: its value over the order and line number."""
     lines = table(spark, sf_dir, "lineitem").withColumn("line", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
@@ -129,6 +160,12 @@ QUERIES = {
         WHERE priority <> '' AND try_cast(amount AS DOUBLE) IS NOT NULL GROUP BY 1"""),
     "chart_figure": (chart_figure, """SELECT CAST(row_number() OVER (ORDER BY sum(user_id) DESC, event_type) - 1 AS INTEGER) AS position,
         event_type AS x, CAST(sum(user_id) AS DOUBLE) AS y FROM events GROUP BY event_type"""),
+    "chart_figure_line": (chart_figure_line, """SELECT 'scatter' AS kind, 'Prices' AS title, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS x,
+        round(sum(o_totalprice), 2) AS y FROM orders GROUP BY o_orderdate"""),
+    "chart_figure_pie": (chart_figure_pie, "SELECT 'pie' AS kind, 'Flags' AS title, l_returnflag AS x, CAST(count(*) AS DOUBLE) AS y FROM lineitem GROUP BY 3"),
+    "chart_figure_empty": (chart_figure_empty, """SELECT 'none' AS kind, 'Flags (no data)' AS title, CAST(NULL AS VARCHAR) AS x, CAST(NULL AS DOUBLE) AS y
+        FROM lineitem HAVING count(*) FILTER (l_quantity < 0) = 0"""),
+    "auto_chart": (auto_chart, "SELECT 'bar' AS kind, 'size by p_brand' AS title, p_brand AS x, CAST(sum(p_size) AS DOUBLE) AS y FROM part GROUP BY p_brand"),
     "chart_figure_points": (chart_figure_points, """SELECT row_number() OVER (ORDER BY x) - 1 AS position, x, y FROM (
         SELECT l_orderkey * 8 + l_linenumber AS x, sum(l_quantity) AS y FROM lineitem GROUP BY 1)"""),
     "chart_bucketed": (chart_bucketed, """SELECT row_number() OVER (ORDER BY x) - 1 AS position, x, y FROM (

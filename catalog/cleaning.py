@@ -13,7 +13,7 @@ from firstlook.operators.stats import overview
 from firstlook.operators.types import infer_types, types_table
 from firstlook.plans.written import shared_folder
 from firstlook.sources.csv import SourceError, read_csv, write_csv
-from firstlook.sources.datasets import Datasets
+from firstlook.sources.datasets import Datasets, write_report
 from firstlook.sources.order import ROW_ORDER
 from firstlook.sources.records import records
 
@@ -43,6 +43,13 @@ def records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(events.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")))
 
 
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as JSON and read back."""
+    path = _scratch(spark)
+    write_report(null_profile(table(spark, sf_dir, "lineitem")), path)
+    return spark.read.schema("column string, nulls long, null_ratio double").json(path)
+
+
 def records_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and times as records hold them, with NaN and infinite numbers among them."""
     odd = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 1, F.lit(float("-inf")))
@@ -252,6 +259,8 @@ QUERIES = {
     "records_json": (records_json, """
         SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","user_id":' || user_id
             || ',"event_type":"' || event_type || '","props":' || to_json(props) || '}' AS record FROM events"""),
+    "report_json": (report_json, """SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice',
+        'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate']) AS "column", 0::BIGINT AS nulls, 0::DOUBLE AS null_ratio"""),
     "records_values": (records_values, """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts,
         CASE WHEN event_id % 7 > 1 THEN value END AS value, event_type FROM events"""),
     "clean_trim": (clean_trim, "SELECT o_orderkey, trim(' ' || chr(9) || o_orderpriority || chr(160) || ' ' || chr(10), ' ' || chr(9) || chr(10) || chr(160)) AS priority FROM orders"),

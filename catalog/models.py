@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from firstlook.models.metrics import (
     best_per_metric, classification_metrics, comparison, metrics_long, regression_metrics, roc_auc,
 )
-from firstlook.models.problem import candidate_features, default_target, detect_problem, split_features, suggest_model
+from firstlook.models.problem import ProblemInfo, candidate_features, default_target, detect_problem, split_features, suggest_model
 from firstlook.models.results import Results
 from firstlook.models.split import select_rows, split_rows
 from firstlook.models.features import fit_features
@@ -85,6 +85,20 @@ def _training(spark: SparkSession, report) -> DataFrame:
     return rounded(report.results_table(spark).drop("train_seconds"))
 
 
+GUARDS = {
+    "unknown target": ("no_such", ["o_custkey"]), "unknown feature": ("o_totalprice", ["o_custkey", "nope"]),
+    "no feature": ("o_totalprice", []), "leak": ("o_totalprice", ["o_totalprice"]), "few rows": ("rare", ["o_custkey"]),
+}
+
+
+def train_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What training says about requests it cannot serve; the last one has a target in three rows only."""
+    orders = table(spark, sf_dir, "orders").withColumn("rare", F.when(F.col("o_orderkey") <= 3, F.col("o_totalprice")))
+    problem = ProblemInfo("regression", "", None)
+    rows = [(name, train_models(orders, target, features, "o_orderkey", problem).error) for name, (target, features) in GUARDS.items()]
+    return spark.createDataFrame(rows, "request string, error string")
+
+
 def train_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of a straight line from quantity to price, fitted on the training rows of a split and scored on the others."""
     lines = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("x"), F.col("o_totalprice").alias("label"))
@@ -198,6 +212,12 @@ QUERIES = {
     "training_rows": (training_rows, """
         SELECT least(count(*), 20000) AS rows, least(count(*), 20000) AS rows_used, count(*) AS rows_total FROM lineitem WHERE l_returnflag <> 'N'"""),
     "training_rows_all": (training_rows_all, "SELECT count(*) AS rows, count(*) AS rows_used, count(*) AS rows_total FROM lineitem"),
+    "train_guards": (train_guards, """
+        SELECT 'unknown target' AS request, 'Target column ''no_such'' not in DataFrame' AS error
+        UNION ALL SELECT 'unknown feature', 'Unknown feature column(s): nope'
+        UNION ALL SELECT 'no feature', 'No usable features (target excluded, no numeric or categorical columns left).'
+        UNION ALL SELECT 'leak', 'Target column ''o_totalprice'' cannot also be a feature.'
+        UNION ALL SELECT 'few rows', 'Dataset too small to train (need ≥ 20 non-null target rows, got ' || count(*) || ').' FROM orders WHERE o_orderkey <= 3"""),
     "train_linear": (train_linear, f"""
         WITH placed AS (SELECT o_custkey AS x, o_totalprice AS y, row_number() OVER (ORDER BY {md5_place('o_orderkey')}, o_orderkey) AS place,
             ceil(0.2 * count(*) OVER ()) AS n FROM orders),
