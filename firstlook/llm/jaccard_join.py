@@ -2,9 +2,10 @@
 
 Documents with equal sets form a class at once. For the classes' sets, the corpus tells how many sets hold each shingle. Under several global
 orders, all with rare shingles first, a set's prefix is so long that two similar sets share a shingle of both prefixes under every order.
-A pair is verified only if it passes all of these filters, and the bounds on sizes and positions. First, each class is verified
-against the most central class for each of its prefix shingles, which settles groups of near copies with a few pairs a class; the filters are
-then intersected for the pairs of classes that are not yet connected, and all survivors are verified.
+A pair is verified only if it passes all of these filters, and bounds on sizes and positions. First, each class is verified
+against the hub of each of its prefix shingles, the most central class that holds it; that settles groups of near copies with a few pairs
+a class. What is known of two classes and their hub bounds what they can share with each other, so that few other pairs arise
+from large groups. Of those that do, in classes not yet connected, the filters are intersected and all survivors verified.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .components import components
 from .words import distinct, mix, shingles_of, texts_of, words_of
 
 _NO_ID = (1 << 63) - 1
-_LIKELY = "key binary, n int, centre double, shared binary, order int, tokens binary, places binary"
+_LIKELY = "key binary, n int, alone int, centre double, shared binary, tokens binary, places binary, heads binary"
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -71,9 +72,13 @@ def _chosen(texts: pa.Table, chosen: pa.Table, words: int) -> tuple[list[bytes],
 
 
 def _orders(prints: np.ndarray, spread: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sort keys of several global orders of shingles: rare first, by classes of rarity that get wider, then by unlike hashes."""
+    """Sort keys of several global orders of shingles: rare first, by classes of rarity that get wider, then by unlike hashes.
+
+    Under each order, shingles that no other set holds come first.
+    """
     for k in range(count):
-        yield mix(prints + np.uint64(0x9E37 * k)), np.floor(np.log2(spread) / k).astype(np.int64) if k else spread
+        rarity = np.where(spread > 1, 1 + np.log2(spread) // k, 0) if k else spread
+        yield mix(prints + np.uint64(0x9E37 * k)), rarity
 
 
 def _likely(words: int, percent: int, orders: int, buckets: int):
@@ -100,13 +105,15 @@ def _likely(words: int, percent: int, orders: int, buckets: int):
             heads.append((row[head], prints[order[head]], place[head]))
         can = np.all([np.bincount(h[0], minlength=len(keys)) > 0 for h in heads], axis=0) if len(keys) else np.zeros(0, bool)
         cuts = [np.searchsorted(h[0], np.arange(len(keys) + 1)) for h in heads]
+        alone = np.bincount(row[spread == 1], minlength=len(keys))
         centre = np.bincount(row, weights=np.log(spread), minlength=len(keys)) / np.maximum(size, 1)
         for i in np.flatnonzero(can):
             own = slice(bounds[i], bounds[i + 1])
             shared = B.packed_names(prints[own][spread[own] > 1])
-            for k, (h, cut) in enumerate(zip(heads, cuts)):
-                part = slice(cut[i], cut[i + 1])
-                rows.append((keys[i], int(size[i]), float(centre[i]), shared if k == 0 else None, k, h[1][part].tobytes(), h[2][part].astype(np.int32).tobytes()))
+            parts = [(h[1][cut[i] : cut[i + 1]], h[2][cut[i] : cut[i + 1]]) for h, cut in zip(heads, cuts)]
+            prefixes = b"".join(len(t).to_bytes(8, "little") + t.tobytes() for t, _ in parts)
+            known = (keys[i], int(size[i]), int(alone[i]), float(centre[i]), shared)
+            rows.append((*known, parts[0][0].tobytes(), parts[0][1].astype(np.int32).tobytes(), prefixes))
         return B.table_of(rows, _LIKELY)
 
     return using
@@ -120,26 +127,45 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         repeat = np.repeat(np.arange(batch.num_rows), [len(x) for x in tokens])
         yield pa.RecordBatch.from_pydict({
-            **{c: batch[c].take(pa.array(repeat)) for c in ("id", "n", "centre", "order")},
+            **{c: batch[c].take(pa.array(repeat)) for c in ("id", "n", "alone", "centre")},
             "token": pa.array(np.concatenate(tokens)), "place": pa.array(np.concatenate(places)),
         })
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
+def _heads(data: bytes) -> list[np.ndarray]:
+    """A set's prefix shingles under each order."""
+    found, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        found.append(np.frombuffer(data, np.uint64, n, at + 8))
+        at += 8 + 8 * n
+    return found
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, keep, other, b = batch["n_a"].to_numpy() + batch["n_b"].to_numpy(), [], None, None
-            for i, (one, two) in enumerate(zip(batch["shared_a"], batch["shared_b"])):
-                if two != other:
-                    other, b = two, B.unpacked_names(two.as_py())
-                common = len(np.intersect1d(B.unpacked_names(one.as_py()), b, assume_unique=True))
-                keep.append(100 * common >= percent * (int(n[i]) - common))
-            yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"]}).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shared").alias(f"shared_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool) -> DataFrame:
+    """(a, b, n_a, n_b, common) for each pair: how many shingles both sets hold.
+
+    filtered: a pair is only compared if it passes the filter of every order. Common shingles are in both prefixes, or after
+    the prefix of the set whose prefix ends first; so the prefixes must share what the rest cannot make up.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch["n_a"].to_numpy().astype(np.int64), batch["n_b"].to_numpy().astype(np.int64)
+            needed = -(-percent * (n_a + n_b) // (100 + percent)) + 1 - (percent * np.maximum(n_a, n_b) + 99) // 100
+            common, keep, last, b, heads_b = [], [], None, None, None
+            columns = [batch[c] for c in ("shared_a", "shared_b", "heads_a", "heads_b")]
+            for least, one, two, h_a, h_b in zip(needed, *columns):
+                if two != last:
+                    last, b, heads_b = two, B.unpacked_names(two.as_py()), _heads(h_b.as_py())
+                near = not filtered or all(len(np.intersect1d(x, y)) >= max(1, least) for x, y in zip(_heads(h_a.as_py()), heads_b))
+                keep.append(near)
+                common.append(len(np.intersect1d(B.unpacked_names(one.as_py()), b, assume_unique=True)) if near else 0)
+            same = {c: batch[c] for c in ("a", "b", "n_a", "n_b")}
+            yield pa.RecordBatch.from_pydict(same | {"common": pa.array(common, pa.int64())}).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda s: sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "shared", "heads")]).withColumnRenamed(f"id_{s}", s)
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(count, "a long, b long, n_a int, n_b int, common long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, orders: int = 3, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -189,13 +215,12 @@ def _grouped(docs: DataFrame, words: int, percent: int, orders: int, block_bytes
         return [(b, bucket, 0, B.packed(total[s:e])) for b, s, e in zip(table["block"].to_pylist(), edges, edges[1:])]
 
     answers = B.answer(B.told(rows, chosen, asking, B.ASKED), answering)
-    likely = written(B.told(rows, answers.unionByName(chosen), _likely(words, percent, orders, buckets), _LIKELY))
-    sets = written(likely.filter("order = 0").select("key", "n", "centre", "shared").withColumn("id", F.monotonically_increasing_id()))
-    numbered = likely.select("key", "order", "tokens", "places").join(sets.select("key", "id", "n", "centre"), "key")
-    postings = written(numbered.select("id", "n", "centre", "order", "tokens", "places").mapInArrow(
-        _postings, "id long, n int, centre double, order int, token long, place int"
+    likely = B.told(rows, answers.unionByName(chosen), _likely(words, percent, orders, buckets), _LIKELY)
+    sets = written(likely.withColumn("id", F.monotonically_increasing_id()))
+    postings = written(sets.select("id", "n", "alone", "centre", "tokens", "places").mapInArrow(
+        _postings, "id long, n int, alone int, centre double, token long, place int"
     ))
-    links = _links(postings, sets, percent, orders)
+    links = _links(postings, sets, percent)
     joined = components(links).join(sets.select("id", "key"), "id").join(classes.select("key", "first"), "key")
     smallest = joined.groupBy("component").agg(F.min("first").alias("lead"))
     by_key = joined.join(smallest, "component").select("key", "lead")
@@ -203,22 +228,36 @@ def _grouped(docs: DataFrame, words: int, percent: int, orders: int, block_bytes
     return keyed.join(leads, "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("lead")).otherwise(own_lead).alias("lead"))
 
 
-def _links(postings: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Links that connect all similar sets: with the centres of their shingles, then between what is still apart."""
-    first = postings.filter("order = 0")
-    hubs = first.groupBy("token").agg(F.max(F.struct("centre", F.col("id").alias("b"), F.col("n").alias("n_b"))).alias("hub")).select("token", "hub.b", "hub.n_b")
-    fits = (F.lit(100) * F.least("n", "n_b") >= F.lit(percent) * F.greatest("n", "n_b")) & (F.col("a") != F.col("b"))
-    to_hub = first.select("token", F.col("id").alias("a"), "n").join(hubs, "token").filter(fits).select("a", "b").distinct()
-    links = written(_verified(to_hub, sets, percent))
-    labelled = postings.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = written(labelled.select("order", "token", "id", "n", "place", "component"))
-    apart = labelled.groupBy("order", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    mixed = labelled.join(apart.select("order", "token"), ["order", "token"])
-    one = mixed.select("order", "token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("at_a"), F.col("component").alias("c_a"))
-    two = mixed.select("order", "token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("at_b"), F.col("component").alias("c_b"))
-    most = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    needed = (F.lit(percent) * (F.col("n_a") + F.col("n_b"))) <= F.lit(100 + percent) * most
+def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect all similar sets: with the hubs of their shingles, then between what is still apart."""
+    similar = (F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common")))
     in_size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    pairs = one.join(two, ["order", "token"]).filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & in_size & needed)
-    every = pairs.select("a", "b", "order").distinct().groupBy("a", "b").agg(F.count("*").alias("passed")).filter(F.col("passed") == orders)
-    return links.union(written(_verified(every.select("a", "b"), sets, percent)))
+
+    hub = F.max(F.struct("centre", F.col("id").alias("hub"), F.col("n").alias("n_hub"))).alias("best")
+    hubs = postings.groupBy("token").agg(hub).select("token", "best.hub", "best.n_hub")
+    at_hub = postings.join(hubs, "token")
+    to_hub = at_hub.select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a"), F.col("n_hub").alias("n_b"))
+    shares = written(_overlaps(to_hub.filter(in_size & (F.col("a") != F.col("b"))).select("a", "b").distinct(), sets, percent, False))
+    links = shares.filter(similar).select("a", "b")
+
+    with_hub = shares.select(F.col("a").alias("id"), F.col("b").alias("hub"), "common")
+    labelled = at_hub.join(with_hub, ["id", "hub"], "left").join(components(links), "id", "left")
+    held = F.when(F.col("id") == F.col("hub"), F.col("n")).otherwise(F.col("common"))
+    labelled = written(labelled.select(
+        "token", "id", "n", "place", F.coalesce("component", "id").alias("component"),
+        held.alias("held"), F.greatest(F.lit(0), F.col("n") - F.col("alone") - held).alias("beside"),
+    ))
+    apart = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    mixed = labelled.join(apart.select("token"), "token")
+    one, two = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in mixed.columns if c != "token"]) for s in "ab")
+    least = F.lit(percent) * (F.col("n_a") + F.col("n_b"))  # of 100 + percent times the common shingles
+    # Of all common shingles, one comes first; both sets have all others after it.
+    by_place = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    # Common shingles are among those that both share with the hub, or among those that both share with others.
+    by_hub = F.least("held_a", "held_b") + F.least("beside_a", "beside_b")
+    known = F.col("held_a").isNotNull() & F.col("held_b").isNotNull()
+    most = F.when(known, F.least(by_place, by_hub)).otherwise(by_place)
+    unlike = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    pairs = one.join(two, "token").filter(unlike & in_size & (least <= F.lit(100 + percent) * most))
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return links.union(written(_overlaps(pairs, sets, percent, True).filter(similar).select("a", "b")))
