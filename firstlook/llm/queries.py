@@ -48,6 +48,34 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REPEATS_SQL = """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), placed AS (
+    SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM texts WHERE n >= 50
+), strings AS (
+    SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM placed
+), firsts AS (
+    SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s
+), hits AS (
+    SELECT doc_id, p, p > lag(p, 1, -100) OVER (PARTITION BY doc_id ORDER BY p) + 50 AS opens
+    FROM strings JOIN firsts USING (s) WHERE first_id < doc_id
+), runs AS (
+    SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+    FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits) GROUP BY doc_id, run
+), gaps AS (
+    SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs
+), cut AS (
+    SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+        string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+    FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+    sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), learning.held_out(F.col("doc_id"), 7, 2))
 
@@ -91,6 +119,31 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+NEAR_COPIES_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), placed AS (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM placed
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach AS (
+    SELECT doc_id AS id, doc_id AS r FROM sizes
+    UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r
+), least AS (
+    SELECT id, min(r) AS component_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.id = d.doc_id
+"""
+
+
 def op8_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -110,13 +163,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_suffix_dedup": (op1_suffix_dedup, None),
+    "op1_suffix_dedup": (op1_suffix_dedup, REPEATS_SQL),
     "op2_backoff_lm": (op2_backoff_lm, None),
     "op3_exact_topk": (op3_exact_topk, TOPK_SQL),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_pii": (op6_pii, None),
-    "op7_jaccard_join": (op7_jaccard_join, None),
+    "op7_jaccard_join": (op7_jaccard_join, NEAR_COPIES_SQL),
     "op8_piece_tokens": (op8_piece_tokens, None),
     "op9_divergence_rules": (op9_divergence_rules, None),
     "op10_toxicity": (op10_toxicity, None),
