@@ -82,6 +82,8 @@ def split_sizes_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _training(spark: SparkSession, report) -> DataFrame:
     if report.error:
         raise RuntimeError(report.error)
+    if errors := [f"{m.name}: {m.error}" for m in report.models if m.error]:
+        raise RuntimeError("; ".join(errors))
     return rounded(report.results_table(spark).drop("train_seconds"))
 
 
