@@ -32,6 +32,7 @@ def _kind_of_byte() -> np.ndarray:
 
 _KIND = _kind_of_byte()
 N_KINDS = len(_KINDS) + 2
+SCORED_BYTES = 1 << 19
 
 
 def features(texts: Texts) -> np.ndarray:
@@ -185,7 +186,7 @@ def score_quality(docs: DataFrame, model: QualityModel, into: str = "score") ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in texts_of(batch["text"]):
+            for texts in texts_of(batch["text"], SCORED_BYTES):
                 yield batch.slice(texts.first, len(texts)).append_column(into, pa.array(model.score(features(texts))))
 
     schema = StructType([*docs.schema.fields])

@@ -59,11 +59,13 @@ class Texts:
 
 def texts_of(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Texts]:
     """The column in pieces of about so many bytes, a row never split; null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return
     _, offsets, values = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
     start = 0
     while start < len(column):
