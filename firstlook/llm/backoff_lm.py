@@ -152,7 +152,7 @@ class Automaton:
         return np.bincount(row, weights=total, minlength=len(lengths))
 
 
-def lm_scores(docs: DataFrame, held_out: Column, order: int = 2, weight: float = 64.0, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, order: int = 2, weight: float = 64.0, block_bytes: int = 2 * B.BLOCK_BYTES) -> DataFrame:
     """Each row's counts and log10 probabilities: under single words with one added to each count, and under the automaton.
 
     Takes doc_id and text; held_out is a condition on doc_id that keeps a row out of training. A null or empty text is its end alone. Rows

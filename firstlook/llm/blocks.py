@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_NAMES = 500_000
 ASKED = "bucket long, block long, kind int, names binary, extra binary"
 ANSWERED = "block long, bucket long, kind int, answer binary"
@@ -96,20 +96,26 @@ def texts_in(table: pa.Table) -> Iterator[tuple[int, pa.Array]]:
         at += len(chunk)
 
 
+def _freed(table: pa.Table) -> pa.Table:
+    """The table, after Arrow has given back what earlier groups left in its pool: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 def ask(blocks: DataFrame, asking: Callable[[pa.Table], list[tuple]]) -> DataFrame:
     """Each block's questions: asking gives rows of ASKED."""
-    return blocks.groupBy("block").applyInArrow(lambda table: table_of(asking(table), ASKED), ASKED)
+    return blocks.groupBy("block").applyInArrow(lambda table: _freed(table_of(asking(table), ASKED)), ASKED)
 
 
 def answer(asked: DataFrame, answering: Callable[[pa.Table], list[tuple]]) -> DataFrame:
     """Each bucket's answers: answering gives rows of ANSWERED."""
-    return asked.groupBy("bucket").applyInArrow(lambda table: table_of(answering(table), ANSWERED), ANSWERED)
+    return asked.groupBy("bucket").applyInArrow(lambda table: _freed(table_of(answering(table), ANSWERED)), ANSWERED)
 
 
 def told(blocks: DataFrame, answers: DataFrame, using: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """What each block makes of its texts and the answers to it. Only blocks with texts are ever answered."""
 
     def use(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        return using(texts, answers)
+        return _freed(using(texts, answers))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(use, schema)
