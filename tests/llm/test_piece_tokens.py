@@ -1,8 +1,10 @@
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from hypothesis import given, settings, strategies as st
 
 from firstlook.llm.piece_tokens import Pieces, _stream, decode_ids, encode_texts, piece_counts
@@ -60,3 +62,31 @@ def test_odd_rows(odd_docs, odd, no_docs):
     assert all(r.round_trip for r in counts) and len(counts) == len(odd)
     assert sum(r.n_ids == 0 for r in counts) == sum(t == "" for _, t in odd)
     assert piece_counts(no_docs, MODEL).count() == 0 and decode_ids(encode_texts(no_docs, MODEL), MODEL).count() == 0
+
+
+def own_ids(texts):
+    pieces = Pieces.load(MODEL)
+    data = [t.encode() for t in texts]
+    stream, bounds = _stream(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+    ids, edges = pieces.encode(stream, bounds, own=True)
+    return [ids[a:b].tolist() for a, b in zip(edges, edges[1:])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(
+    st.text(st.characters(codec="utf-8", exclude_characters="▁"), max_size=40), st.text(alphabet="thes anditrlo\n", max_size=80), st.text(alphabet=" a", max_size=30),
+), max_size=6))
+def test_ids_are_those_of_sentencepiece(texts):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert own_ids(texts) == [model.encode(t) for t in texts]
+
+
+def test_documents_have_the_ids_of_sentencepiece(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = {r.doc_id: model.encode(r.text) for r in rows if "▁" not in r.text}
+    got = {r.doc_id: r.ids for r in encode_texts(docs, MODEL).collect()}
+    assert want and all(got[i] == ids for i, ids in want.items())
+    crc = {r.doc_id: r.ids_crc32 for r in piece_counts(docs, MODEL).collect()}
+    assert all(crc[i] == zlib.crc32(np.array(ids, "<u4").tobytes()) for i, ids in want.items())
