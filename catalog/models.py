@@ -113,7 +113,7 @@ def train_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return _training(spark, train_models(orders, "o_totalprice", ["o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey"))
+    return _training(spark, train_models(orders, "o_totalprice", ["o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey", max_rows=None))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

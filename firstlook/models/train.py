@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -13,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import as_number, data_type, nan_to_null, q
-from ..operators.sample import SEED, row_hash
+from ..operators.sample import SEED, exact_sample, row_hash
 from ..operators.types import infer_types
 from ..sources.order import ROW_ORDER
 from .features import fit_features
 from .metrics import classification_metrics, comparison, headline_metric, regression_metrics, roc_auc
 from .problem import BINARY, REGRESSION, ProblemInfo, detect_problem, split_features
-from .split import MAX_ROWS, SplitError, select_rows, split_rows
+from .split import MAX_ROWS, TEST_SHARE, SplitError, select_rows, split_rows
 
 # The smallest training set, model sizes, messages and metric titles.
 MIN_ROWS = 20
@@ -33,6 +34,7 @@ VALIDATION_SHARE = 0.1
 LOGISTIC_ROUNDS = 1_000
 # Boosting runs hundreds of tiny jobs; fewer, fuller tasks make each of them quicker.
 ROWS_PER_TASK = 5_000
+MOST_ROWS_PER_TASK = 1_000_000
 ERRORS = {
     "target": "Target column '{target}' not in DataFrame",
     "unknown": "Unknown feature column(s): {names}",
@@ -56,6 +58,8 @@ class ModelResult:
 
 @dataclass
 class MLReport:
+    """rows_used: the table's rows, or the bound for a classifier, of which all but the held-out share fit; rows_fitted and rows_scored say how many did."""
+
     target: str
     problem: ProblemInfo
     features: list[str]
@@ -65,6 +69,8 @@ class MLReport:
     models: list[ModelResult] = field(default_factory=list)
     note: str | None = None
     error: str | None = None
+    rows_fitted: int = 0
+    rows_scored: int = 0
 
     def results_table(self, spark: SparkSession) -> DataFrame:
         """Rows (position, model, metric, value, train_seconds, is_winner, error); an error has no metric."""
@@ -112,9 +118,10 @@ def train_models(
     df: DataFrame, target: str, features: list[str], key: str, problem: ProblemInfo | None = None,
     max_rows: int | None = MAX_ROWS, early_stop: bool = False, forest_depth: int | None = None,
 ) -> MLReport:
-    """Sample, split, encode, fit three models, score them on the held-out rows, pick the winner.
+    """Split, encode, fit three models, score them on all held-out rows, pick the winner.
 
-    ``max_rows=None`` uses all rows. ``early_stop`` keeps a tenth of the training rows from boosting and stops when the error on
+    All rows are split. ``max_rows`` bounds the rows that fit a classifier: no more than the training rows of a table of so many rows,
+    drawn exactly from the training rows there are; None takes all. Regressions always fit on all training rows. ``early_stop`` keeps a tenth of the training rows from boosting and stops when the error on
     them no longer falls; it is off at every size unless asked for. ``forest_depth`` bounds the depth of forest trees, 10 by
     default; Spark allows up to 30, at a cost that grows with the leaves.
 
@@ -144,12 +151,14 @@ def train_models(
 
     needed = list(dict.fromkeys([key, target, *features]))
     df = nan_to_null(df.select(*[q(c) for c in needed]))
-    used, report.rows_used, report.rows_total = select_rows(df, target, key, max_rows)
+    used, _, report.rows_total = select_rows(df, target, key, None)
+    bound = max_rows if problem.is_classification else None
+    report.rows_used = report.rows_total if bound is None else min(report.rows_total, bound)
     report.downsampled = report.rows_used < report.rows_total
     if report.rows_used < MIN_ROWS:
         return failed("small", least=MIN_ROWS, rows=report.rows_used)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = min(32, cores, 1 + report.rows_used // ROWS_PER_TASK)
+    parts = max(min(32, cores, 1 + report.rows_total // ROWS_PER_TASK), report.rows_total // MOST_ROWS_PER_TASK)
     used = used.repartition(parts, q(key)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         types = infer_types(used.select(*[q(f) for f in features]))
@@ -184,22 +193,26 @@ def _fit_all(
     labelled = used.withColumn("label", label)
     split = split_rows(labelled, key, "label" if problem.is_classification else None)
     split = split.repartition(parts, q(key)).persist(StorageLevel.MEMORY_AND_DISK)
-    train = split.where(~F.col("is_test"))
+    train, test = split.where(~F.col("is_test")), split.where("is_test")
+    report.rows_fitted, report.rows_scored = train.count(), test.count()
+    if report.downsampled:
+        most = report.rows_used - math.ceil(TEST_SHARE * report.rows_used)
+        train = exact_sample(train, most, key, rows=report.rows_fitted, ordered=False)
+        report.rows_fitted = min(report.rows_fitted, most)
+        # The sample is used by every fit; drawing it ends in one task.
+        train = train.repartition(parts, q(key)).persist(StorageLevel.MEMORY_AND_DISK)
     fitted = fit_features(train, numeric, categorical)
-    train_rows = train.count()
     held_back = F.pmod(row_hash(key, SEED + 1), F.lit(1000)) < int(1000 * VALIDATION_SHARE)
-    ready = (
-        fitted.transform(split)
-        .select("label", "features", "is_test", held_back.alias("is_validation"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    train, test = ready.where(~F.col("is_test")), ready.where("is_test")
+    encoded = [
+        fitted.transform(rows).select("label", "features", held_back.alias("is_validation")).persist(StorageLevel.MEMORY_AND_DISK)
+        for rows in (train, test)
+    ]
     try:
-        for name, estimator in models_for(problem.kind, train_rows, len(classes), early_stop, forest_depth):
-            report.models.append(_fit_one(name, estimator, train, test, problem))
+        for name, estimator in models_for(problem.kind, report.rows_fitted, len(classes), early_stop, forest_depth):
+            report.models.append(_fit_one(name, estimator, *encoded, problem))
     finally:
-        ready.unpersist()
-        split.unpersist()
+        for rows in (*encoded, train, split):
+            rows.unpersist()
     spark = used.sparkSession
     scored = report.results_table(spark).where("error is null")
     metric = headline_metric(problem.kind, scored)

@@ -180,6 +180,18 @@ def test_train_multiclass_samples_rows(samples):
     assert report.winner().metrics["accuracy"] > 0.8 and all("roc_auc" not in m.metrics for m in report.models)
 
 
+@pytest.mark.parametrize("target, max_rows, fitted", [("y", 100, 192), ("yes", 100, 80), ("yes", None, 192), ("three", 300, 192)])
+def test_all_rows_are_split_and_only_classifiers_fit_on_a_bound(samples, monkeypatch, target, max_rows, fitted):
+    from firstlook.models import train
+
+    seen, fit_one = [], train._fit_one
+    monkeypatch.setattr(train, "_fit_one", lambda n, e, fit, test, p: seen.append((fit.count(), test.count())) or fit_one(n, e, fit, test, p))
+    report = train_models(samples, target, ["f1", "f2"], "id", max_rows=max_rows)
+    assert report.error is None and seen == [(fitted, 48)] * 3
+    assert (report.rows_fitted, report.rows_scored, report.rows_total) == (fitted, 48, 240)
+    assert report.downsampled == (fitted < 192) and report.rows_used == (100 if fitted < 192 else 240)
+
+
 @pytest.mark.parametrize("target, features, words", [
     ("zz", ["f1"], "not in DataFrame"), ("y", ["f1", "zz"], "Unknown feature"), ("y", [], "No usable features"),
     ("y", ["y", "f1"], "cannot also be a feature"), ("y", ["word"], "No usable features"), ("word", ["f1"], "Text targets"),
