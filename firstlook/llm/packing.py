@@ -19,27 +19,32 @@ from firstlook.plans.written import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Runs = tuple[tuple[int, int], ...]
-_encoders: dict[str, object] = {}
+#: The added token of byte_bpe_50k.json, which a file of ranks doesn't name.
+SPECIAL = {"<|endoftext|>": 50256}
+_encoders: dict[tuple[str, bool], object] = {}
 
 
-def encoder(path: str):
-    """A function from texts to lists of ids: of a .tiktoken file of ranks by tiktoken, of any other by tokenizers. Made once a process."""
-    if path not in _encoders:
+def encoder(path: str, special: bool = False):
+    """A function from texts to lists of ids: of a .tiktoken file of ranks by tiktoken, of any other by tokenizers. Made once a process.
+
+    special: the name of a special token in a text is that token, as tokenizers has it by default; otherwise it is text.
+    """
+    if (path, special) not in _encoders:
         if path.endswith(".tiktoken"):
             import public_tokenizers
             import tiktoken
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-            bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = lambda texts: [bpe.encode_ordinary(t) for t in texts]
+            bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
+            _encoders[path, special] = lambda texts: [bpe.encode(t, allowed_special="all") for t in texts]
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            _encoders[path] = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    return _encoders[path]
+            tokenizer.encode_special_tokens = not special
+            _encoders[path, special] = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return _encoders[path, special]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -51,11 +56,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Each document's ids and then end_id, cut into pieces of at most ``capacity``: (doc_id, piece, start, length, ids_crc32[, ids]).
 
-    A row for each piece of each row; other columns are ignored. A null or empty text is one piece with end_id alone.
+    Special tokens that a text names are single ids. A row for each piece of each row; other columns are ignored. A null or empty text is one piece with end_id alone.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(tokenizer_path)
+        encode_all = encoder(tokenizer_path, special=True)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

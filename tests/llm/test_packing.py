@@ -85,5 +85,22 @@ def test_documents(odd_docs, odd):
     assert len(places) <= -(-sum(r.length for r in rows) // 64) + 2
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.text(max_size=20), st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " "])), max_size=6).map("".join), max_size=5))
+def test_both_libraries_know_special_tokens(texts):
+    default = Tokenizer.from_file(JSON)
+    want = [default.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder(RANKS, special=True)(texts) == want and encoder(JSON, special=True)(texts) == want
+
+
+@pytest.mark.parametrize("path", [RANKS, JSON])
+def test_documents_with_special_tokens(spark, path):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> c"]
+    default = Tokenizer.from_file(JSON)
+    packed = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, keep_ids=True)
+    got = {r.doc_id: r.ids for r in packed.collect()}
+    assert got == {k: default.encode(t, add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+
+
 def test_no_rows(no_docs):
     assert pack_documents(no_docs, RANKS).count() == 0
