@@ -1,11 +1,12 @@
-"""N-gram Jaccard join: all links between documents whose sets of word shingles are similar, without comparing all pairs.
+"""N-gram Jaccard join of documents whose sets of word shingles are similar, without comparing all pairs: components, or all links.
 
 Documents with equal sets form a class at once. For the classes' sets, the corpus tells how many sets hold each shingle. Under several global
 orders, all with rare shingles first, a set's prefix is so long that two similar sets share a shingle of both prefixes under every order.
 A pair is verified only if it passes all of these filters, and bounds on sizes and positions. First, each class is verified
 against the hub of each of its prefix shingles, the most central class that holds it; that settles groups of near copies with a few pairs
 a class. What is known of two classes and their hub bounds what they can share with each other, so that few other pairs arise
-from large groups. Of those that do, in classes not yet connected, the filters are intersected and all survivors verified.
+from large groups. Of those that do, the filters are intersected and all survivors verified. Components need only those in classes
+not yet connected; links inside a component are found by jaccard_links alone.
 """
 
 from __future__ import annotations
@@ -180,6 +181,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, order
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.nullif("lead.id", F.lit(_NO_ID)).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80, orders: int = 3, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """The rows of jaccard_components with n_links, the number of other rows that each row links with.
+
+    All similar pairs of classes are verified, also inside a component: their number grows with the square of a group of near copies
+    that are not equal. Pairs of rows are not written; rows with equal sets are counted by class.
+    """
+    found = _grouped(docs, words, percent, orders, block_bytes, every=True)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.nullif("lead.id", F.lit(_NO_ID)).alias("component_id"), "n_links")
+
+
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, orders: int = 3, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that have the smallest id of their component; equal (doc_id, text) stay once.
 
@@ -191,8 +202,8 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, orde
     return rows.join(leads, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
 
 
-def _grouped(docs: DataFrame, words: int, percent: int, orders: int, block_bytes: int) -> DataFrame:
-    """(doc_id, n, lead): lead is the smallest (id, text_hash) of the row's component."""
+def _grouped(docs: DataFrame, words: int, percent: int, orders: int, block_bytes: int, every: bool = False) -> DataFrame:
+    """(doc_id, n, lead[, n_links]): lead is the smallest (id, text_hash) of the row's component; n_links if every link is asked for."""
     rows, count = B.in_blocks(docs, block_bytes)
     buckets = B.buckets_for(count, 0.16, block_bytes)
     keyed = written(set_keys(rows, words))
@@ -220,16 +231,28 @@ def _grouped(docs: DataFrame, words: int, percent: int, orders: int, block_bytes
     postings = written(sets.select("id", "n", "alone", "centre", "tokens", "places").mapInArrow(
         _postings, "id long, n int, alone int, centre double, token long, place int"
     ))
-    links = _links(postings, sets, percent)
+    links = _links(postings, sets, percent, every)
+    if every:
+        links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     joined = components(links).join(sets.select("id", "key"), "id").join(classes.select("key", "first"), "key")
     smallest = joined.groupBy("component").agg(F.min("first").alias("lead"))
     by_key = joined.join(smallest, "component").select("key", "lead")
     leads = classes.select("key", "first").join(by_key, "key", "left").select("key", F.coalesce("lead", "first").alias("lead"))
-    return keyed.join(leads, "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("lead")).otherwise(own_lead).alias("lead"))
-
-
-def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect all similar sets: with the hubs of their shingles, then between what is still apart."""
+    lead = F.when(F.col("n") > 0, F.col("lead")).otherwise(own_lead).alias("lead")
+    if not every:
+        return keyed.join(leads, "key", "left").select("doc_id", "n", lead)
+    rows_of = keyed.filter("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
+    numbered = sets.select("id", "key").join(rows_of, "key")
+    ends = links.select("a", "b").union(links.select("b", "a"))
+    beside = ends.join(numbered.select(F.col("id").alias("b"), "n_rows"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n_rows").alias("beside"))
+    by_class = rows_of.join(numbered.select("id", "key").join(beside, "id"), "key", "left")
+    counts = by_class.select("key", (F.col("n_rows") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    found = keyed.join(leads, "key", "left").join(counts, "key", "left")
+    return found.select("doc_id", "n", lead, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _links(postings: DataFrame, sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Links that connect all similar sets: with the hubs of their shingles, then between what is still apart. every: all links there are."""
     similar = (F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common")))
     in_size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
 
@@ -248,7 +271,7 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         held.alias("held"), F.greatest(F.lit(0), F.col("n") - F.col("alone") - held).alias("beside"),
     ))
     apart = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    mixed = labelled.join(apart.select("token"), "token")
+    mixed = labelled if every else labelled.join(apart.select("token"), "token")
     one, two = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in mixed.columns if c != "token"]) for s in "ab")
     least = F.lit(percent) * (F.col("n_a") + F.col("n_b"))  # of 100 + percent times the common shingles
     # Of all common shingles, one comes first; both sets have all others after it.
@@ -257,7 +280,9 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     by_hub = F.least("held_a", "held_b") + F.least("beside_a", "beside_b")
     known = F.col("held_a").isNotNull() & F.col("held_b").isNotNull()
     most = F.when(known, F.least(by_place, by_hub)).otherwise(by_place)
-    unlike = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    unlike = F.col("id_a") < F.col("id_b")
+    if not every:
+        unlike &= F.col("component_a") != F.col("component_b")
     pairs = one.join(two, "token").filter(unlike & in_size & (least <= F.lit(100 + percent) * most))
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     return links.union(written(_overlaps(pairs, sets, percent, True).filter(similar).select("a", "b")))

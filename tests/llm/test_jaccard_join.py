@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 from firstlook.llm.components import components
-from firstlook.llm.jaccard_join import jaccard_components, without_near_copies
+from firstlook.llm.jaccard_join import jaccard_components, jaccard_links, without_near_copies
 
 from .conftest import lower, words
 
@@ -48,6 +48,37 @@ def test_chains_without_a_centre(spark):
     assert Counter(tuple(r) for r in jaccard_components(docs).collect()) == plain(rows, 5, 80)
 
 
+def link_counts(rows, size, percent):
+    sets = []
+    for _, text in rows:
+        w = words(lower(text))
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    near = lambda s, o: s and o and 100 * len(s & o) >= percent * len(s | o)
+    return [sum(bool(near(s, o)) for o in sets) - bool(s) for s in sets]
+
+
+@pytest.mark.parametrize("size, percent", [(5, 80), (2, 40)])
+def test_all_links(odd_docs, odd, size, percent):
+    got = jaccard_links(odd_docs, size, percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(odd, size, percent)
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((i, n) for (i, _), n in zip(odd, link_counts(odd, size, percent)))
+
+
+def test_all_links_inside_a_group_of_near_copies(spark):
+    """Each text is the same one with one word or two changed: most pairs are similar, and all are in one component."""
+    rows = []
+    for k in range(24):
+        w = [f"w{j}" for j in range(100)]
+        w[4 * k] = f"x{k}"
+        if k % 3 == 0:
+            w[99 - 4 * k] = f"y{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(100, rows[0][1]), (101, rows[0][1])]
+    got = {r.doc_id: r.n_links for r in jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: n for (i, _), n in zip(rows, link_counts(rows, 5, 80))}
+    assert got == want and sum(want.values()) > 6 * len(rows)
+
+
 def test_rows_that_stay(odd_docs, odd):
     got = [(r.doc_id, r.text or "") for r in without_near_copies(odd_docs).collect()]
     assert len(got) == len(set(got))
