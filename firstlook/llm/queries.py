@@ -9,6 +9,7 @@ from . import learning
 from .backoff_lm import lm_scores
 from .divergence_rules import quality_rules
 from .jaccard_join import jaccard_components
+from .line_dedup import keep_bitmaps, kept_text
 from .packing import pack_documents
 from .pii import KINDS, fit_tagger, pii_spans
 from .piece_tokens import piece_counts
@@ -162,6 +163,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("rest.text", F.lit(""))
+    kept = F.when(F.col("n_dropped") == 0, text).otherwise(kept_text(text, F.col("keep")))
+    return keep_bitmaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), 40, 5, rest=True).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256")
+    )
+
+
+LINES_SQL = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents
+), keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), shared AS (
+    SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+    SELECT doc_id, place, line, coalesce(doc_id < top, false) AS gone FROM keyed LEFT JOIN shared USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 QUERIES = {
     "op1_suffix_dedup": (op1_suffix_dedup, REPEATS_SQL),
     "op2_backoff_lm": (op2_backoff_lm, None),
@@ -173,4 +199,5 @@ QUERIES = {
     "op8_piece_tokens": (op8_piece_tokens, None),
     "op9_divergence_rules": (op9_divergence_rules, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op12_line_dedup": (op12_line_dedup, LINES_SQL),
 }
