@@ -54,7 +54,10 @@ def add_chunk(df: DataFrame, order_by: str, chunks: int | None = None) -> DataFr
         return df.withColumn(CHUNK, F.struct(q(order_by)["file"], q(order_by)["block"]))
     wanted = chunks or chunk_count(df)
     placed = df.withColumn("_position", _order_position(df, order_by))
-    splits = [float("-inf"), *_cuts(placed.select("_position"), wanted), float("inf")]
+    cuts = _cuts(placed.select("_position"), wanted)
+    if not cuts:  # no rows, or one chunk
+        return df.withColumn(CHUNK, F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
     bucketed = Bucketizer(
         splits=splits, inputCol="_position", outputCol=CHUNK, handleInvalid="keep"
     ).transform(placed)

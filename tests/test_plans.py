@@ -17,6 +17,11 @@ def test_chunks_rise_with_the_order(spark):
     assert max(r[2] for r in rows) < 3 * 10_000 / 16
 
 
+def test_no_rows_have_chunks_too(spark):
+    none = spark.range(0).select(F.col("id").alias("k"), F.lit(None).cast("int").alias("v"))
+    assert add_chunk(none, "k").collect() == [] == fill_in_order(none, ["v"], "k").collect()
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_fill_matches_pandas(spark, seed):
     rng = np.random.default_rng(seed)
