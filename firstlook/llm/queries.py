@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +14,9 @@ from .jaccard_join import jaccard_components
 from .line_dedup import keep_bitmaps, kept_text
 from .packing import pack_documents
 from .pii import KINDS, fit_tagger, pii_spans
+from .periodic_runs import periodic_runs, strongest, with_repeated_tails
 from .piece_tokens import piece_counts
+from .prefix_trie import prefix_trie
 from .quality_classifier import QualityModel, fit_quality, score_quality
 from .suffix_dedup import without_repeats
 from .topk import exact_top_k, whole_weights
@@ -163,6 +167,50 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def first_turns_shared(conv_id: int) -> int:
+    return zlib.crc32(str(conv_id).encode()) % 9
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.col("conv_id") - F.col("conv_id") % 5
+    return prefix_trie(_table(spark, sf_dir, "conversations"), group, first_turns_shared)
+
+
+PREFIXES_SQL = """
+WITH own AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+        md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS bytes
+    FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (
+    SELECT DISTINCT conv_id, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+        lambda d: list_transform(range(8), lambda b: (ascii(d) >> CAST(b AS INTEGER)) & 1))) AS bits
+    FROM own
+), heads AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS head, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bits, lambda b: b::BIGINT)),
+        lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) % 9 AS h
+    FROM bits
+), rebuilt AS (
+    SELECT heads.conv_id, 0 AS part, place, id, bytes FROM heads JOIN own ON own.conv_id = head WHERE place <= h
+    UNION ALL SELECT conv_id, 1, place, id, bytes FROM heads JOIN own USING (conv_id) WHERE place > h
+), steps AS (
+    SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(id, '') OVER w) AS node, bytes
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place ROWS UNBOUNDED PRECEDING)
+    UNION ALL SELECT conv_id, 0, '', 0 FROM heads
+), linked AS (
+    SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above, lead(node) OVER (PARTITION BY conv_id ORDER BY depth) AS below FROM steps
+), nodes AS (
+    SELECT node, any_value(above) AS above, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(bytes) AS bytes, count(*) AS n_convs,
+        count(DISTINCT below) AS n_children, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (below IS NULL), '') AS ends
+    FROM linked GROUP BY node
+), sums AS (
+    SELECT u.node, count(*) FILTER (v.n_children = 0) AS n_leaves, CAST(sum((v.n_convs - 1) * v.bytes) AS BIGINT) AS saved_tokens
+    FROM steps u JOIN nodes v ON v.conv_id = u.conv_id AND v.depth >= u.depth GROUP BY u.node
+)
+SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs, nodes.n_children, n_leaves, saved_tokens, sha256(nodes.ends) AS ends_sha256
+FROM nodes JOIN sums USING (node) LEFT JOIN nodes up ON up.node = nodes.above
+"""
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("rest.text", F.lit(""))
     kept = F.when(F.col("n_dropped") == 0, text).otherwise(kept_text(text, F.col("keep")))
@@ -188,6 +236,21 @@ FROM judged GROUP BY doc_id
 """
 
 
+def repeats_of_words(docs: DataFrame) -> DataFrame:
+    found = periodic_runs(docs).withColumn("best", strongest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") == 0, "").otherwise(F.concat(listed, F.lit("\n"))), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_of_words(with_repeated_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_suffix_dedup": (op1_suffix_dedup, REPEATS_SQL),
     "op2_backoff_lm": (op2_backoff_lm, None),
@@ -199,5 +262,7 @@ QUERIES = {
     "op8_piece_tokens": (op8_piece_tokens, None),
     "op9_divergence_rules": (op9_divergence_rules, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_prefix_trie": (op11_prefix_trie, PREFIXES_SQL),
     "op12_line_dedup": (op12_line_dedup, LINES_SQL),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
