@@ -12,7 +12,7 @@ from firstlook.operators.clean import (
 from firstlook.operators.stats import overview
 from firstlook.operators.types import infer_types, types_table
 from firstlook.plans.written import shared_folder
-from firstlook.sources.csv import SourceError, read_csv, write_csv
+from firstlook.sources.csv import MISSING_WORDS, SourceError, read_csv, write_csv
 from firstlook.sources.datasets import Datasets, write_report
 from firstlook.sources.order import ROW_ORDER
 from firstlook.sources.records import records
@@ -20,6 +20,7 @@ from firstlook.sources.records import records
 from .tables import faulty_orders, faulty_sql, read_back, rounded, table, union_all
 
 FAULTY = f"WITH faulty AS ({faulty_sql('duckdb')})"
+MISSING = "(" + ", ".join(f"'{w}'" for w in MISSING_WORDS) + ")"
 BOOLEAN_WORDS = "('true','false','yes','no','y','n','t','f','1','0')"
 
 
@@ -109,6 +110,46 @@ def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(said,)], "said string")
 
 
+def csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, written as CSV and read back in many splits for each file."""
+    path = _scratch(spark)
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), path)
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, str(256 * 1024))
+    try:
+        return read_csv(spark, path).drop(ROW_ORDER)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _what_reading_says(spark: SparkSession, path: str) -> str:
+    try:
+        return f"{len(read_csv(spark, path).columns) - 1} columns"
+    except SourceError as reason:
+        return str(reason)
+
+
+def csv_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading says about folders of nations: as they should be, with two headers, header only, empty, unclosed, and under a wrong name."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    swapped = table(spark, sf_dir, "region").select(F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("n_nationkey"))
+    lines = spark.range(1).select(F.lit("n_nationkey,n_name").alias("value"))
+    said = []
+    for case, parts in {
+        "as it should be": [nations, nations.filter("n_nationkey > 3")], "two headers": [nations, swapped], "header only": [lines],
+        "empty": [lines.limit(0)], "unclosed": [lines.union(nations.select(F.format_string('%d,"%s', "n_nationkey", "n_name")).limit(1))],
+    }.items():
+        path = _scratch(spark)
+        for part in parts:
+            if part.columns == ["value"]:
+                part.coalesce(1).write.text(path)
+            else:
+                part.write.mode("append").csv(path, header=True)
+        said.append((case, _what_reading_says(spark, path).replace(path.rsplit("/", 1)[-1], "folder")))
+    said.append(("wrong name", _what_reading_says(spark, _scratch(spark) + ".xlsx").split(" of ")[0]))
+    return spark.createDataFrame(said, "source string, said string")
+
+
 def clean_ffill_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates filled in the order of a column that is itself data and has a fill rule of its own."""
     gaps = table(spark, sf_dir, "orders").select(
@@ -250,6 +291,10 @@ _GAPS = "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END
 
 QUERIES = {
     "csv_ragged": (csv_ragged, "SELECT count(*) || ' row(s) have more cells than the header' AS said FROM nation WHERE n_nationkey % 2 = 0"),
+    "csv_quoted": (csv_quoted, f"SELECT doc_id, CASE WHEN text NOT IN {MISSING} THEN text END AS text, lang, source FROM documents"),
+    "csv_guards": (csv_guards, """SELECT unnest(['as it should be', 'two headers', 'header only', 'empty', 'unclosed', 'wrong name']) AS source,
+        unnest(['2 columns', 'files have different headers: n_name, n_nationkey and n_nationkey, n_name', 'the input contains no rows', '''folder'' is empty',
+            '1 file(s) end inside a quoted cell', 'unsupported file extension']) AS said"""),
     "clean_ffill_by_number": (
         clean_ffill_by_number,
         f"SELECT o_orderkey, strftime({_FFILL.format(c='d', o='o_orderkey')}, '%Y-%m-%d') AS o_orderdate FROM ({_GAPS})",

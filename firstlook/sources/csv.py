@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import csv as csv_format
+import io
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import as_label, data_type, is_nested, is_number_text, q
+from ..plans.written import written
+from .csv_records import find_records, opens, read_lines
 from .order import ROW_ORDER, file_order
 
 # Words read as missing, spellings of a truth value, and accepted file names.
@@ -18,6 +21,8 @@ TRUE_WORDS = ["True", "TRUE", "true"]
 FALSE_WORDS = ["False", "FALSE", "false"]
 EXTENSIONS = (".csv", ".csv.gz")
 BEYOND = "_beyond"
+_QUOTES = {"quote": '"', "escape": '"'}
+_SOME_TEXT = r"value RLIKE '[^\\u0000-\\u0020]'"  # lines of blanks are no records
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 
@@ -28,7 +33,7 @@ class SourceError(ValueError):
 def header_names(line: str) -> list[str]:
     """Column names of a header line; unnamed columns get a number, repeated names ``.1``, ``.2``, ..."""
     names: list[str] = []
-    for i, raw in enumerate(next(csv_format.reader([line.lstrip("﻿")]))):
+    for i, raw in enumerate(next(csv_format.reader(io.StringIO(line.lstrip("﻿").rstrip("\r"), newline="")))):
         base = name = raw or f"Unnamed: {i}"
         repeat = 0
         while name in names:
@@ -39,33 +44,55 @@ def header_names(line: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Read one CSV file or a folder of them (equal headers) as a typed table with its row order.
+    """Read one CSV file or a folder of them as a typed table with its row order.
 
-    The column types come from one aggregate over the whole input. Missing cells at the end of a row are NULL; a row with
-    a cell beyond the header is an error. Quoted line breaks keep a file
-    from being split; ``multi_line=None`` looks whether there are any.
+    All files must have the same column names in the same order. The column types come from one aggregate over the whole input. Missing cells at
+    the end of a row are NULL; a row with a cell beyond the header is an error, and so is a quoted cell that never ends. Files are read
+    in as many tasks as they have splits, also if quoted cells hold line breaks; their rows are then written once. ``multi_line=None`` looks
+    whether there are any, with the headers, in one pass.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     if "." in name and not name.lower().endswith(EXTENSIONS):
         raise SourceError(f"unsupported file extension of '{name}': expected {', '.join(EXTENSIONS)}")
-    lines = spark.read.text(path)
-    head = lines.first()
-    if head is None:
+    lines = read_lines(spark, path)
+    torn = F.lit(False) if multi_line is False else F.max(opens(F.col("value")))
+    files = lines.filter(_SOME_TEXT).groupBy(f"{ROW_ORDER}.file").agg(F.min_by("value", ROW_ORDER).alias("header"), torn.alias("torn"))
+    headers, some_torn = _headers(files)
+    if not headers:
         raise SourceError(f"'{name}' is empty")
-    if multi_line is None:
-        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-        multi_line = not lines.where(quotes % 2 == 1).isEmpty()
-    names = header_names(head["value"])
-    # Unique technical names: a table scan may not repeat a name, even one that differs only by case.
-    cells = [f"_c{i}" for i in range(len(names))]
-    raw = (
-        spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in [*cells, BEYOND]]))
-        .options(header=True, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE")
-        .csv(path)
-        .select(*[F.when(~q(c).isin(MISSING_WORDS), q(c)).alias(c) for c in cells], BEYOND, file_order())
-    )
-    typed = _with_types(raw, cells)
-    return typed.toDF(*names, ROW_ORDER)
+    if multi_line or some_torn:
+        records, unclosed = find_records(lines)
+        if unclosed:
+            raise SourceError(f"{unclosed} file(s) end inside a quoted cell")
+        records = written(records.filter(_SOME_TEXT))
+        firsts = records.groupBy(f"{ROW_ORDER}.file").agg(F.min_by("value", ROW_ORDER).alias("header"), F.min(f"{ROW_ORDER}.row").alias("first"))
+        headers, _ = _headers(firsts.withColumn("torn", F.lit(False)))
+        names, schema = _layout(headers)
+        rows = records.join(firsts.select("first"), F.col(ROW_ORDER)["row"] == F.col("first"), "left_anti")
+        line = F.regexp_replace("value", r"\r\z", "")
+        parsed = rows.select(F.from_csv(line, ", ".join(f"{c} string" for c in schema.names), _QUOTES).alias("r"), ROW_ORDER).select("r.*", ROW_ORDER)
+    else:
+        names, schema = _layout(headers)
+        parsed = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", **_QUOTES).csv(path).select("*", file_order())
+    cells = [c for c in schema.names if c != BEYOND]
+    raw = parsed.select(*[F.when(~q(c).isin(MISSING_WORDS), q(c)).alias(c) for c in cells], BEYOND, ROW_ORDER)
+    return _with_types(raw, cells).toDF(*names, ROW_ORDER)
+
+
+def _headers(files: DataFrame) -> tuple[list[str], bool]:
+    """A few of the different header lines of files, and whether any file is torn."""
+    seen = files.groupBy("header").agg(F.max("torn").alias("torn")).agg(F.slice(F.collect_list("header"), 1, 100), F.max("torn")).first()
+    return sorted(seen[0]), bool(seen[1])
+
+
+def _layout(headers: list[str]) -> tuple[list[str], T.StructType]:
+    """Column names, and technical ones to read with: a table scan may not repeat a name, even one that differs only by case."""
+    found = {tuple(header_names(h)): h for h in headers}
+    if len(found) > 1:
+        one, other = sorted(found)[:2]
+        raise SourceError(f"files have different headers: {', '.join(one)} and {', '.join(other)}")
+    names = list(next(iter(found)))
+    return names, T.StructType([T.StructField(c, T.StringType()) for c in [*[f"_c{i}" for i in range(len(names))], BEYOND]])
 
 
 def _with_types(raw: DataFrame, cells: list[str]) -> DataFrame:
@@ -111,4 +138,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         for c in df.columns if c != ROW_ORDER
     ])
     stamp = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-    plain.write.mode(mode).options(header=True, escape='"', timestampFormat=stamp, timestampNTZFormat=stamp).csv(path)
+    plain.write.mode(mode).options(
+        header=True, escape='"', timestampFormat=stamp, timestampNTZFormat=stamp, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)

@@ -1,12 +1,15 @@
 """CSV, datasets and report files."""
 
 import datetime as dt
+from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 
 from firstlook.operators.clean import clean
 from firstlook.operators.types import infer_types
 from firstlook.sources.csv import SourceError, header_names, read_csv, write_csv
+from firstlook.sources.csv_records import _stays, opens
 from firstlook.sources.datasets import Datasets, UnknownDataset, write_report
 from firstlook.sources.order import ROW_ORDER
 from firstlook.sources.records import records
@@ -41,6 +44,86 @@ def test_quotes_and_line_breaks(spark, tmp_path):
     assert [r["a"] for r in df.orderBy(ROW_ORDER).collect()] == ['x "y", z', "two\nlines"]
 
 
+CELLS = ["", "plain", 'a "quoted" word', "two\nlines", "\n", '"', '""', ",", '",\n"', "x" * 90 + "\n" * 5, '\n"\n,', "é\n\nü", "1", " pad "]
+
+
+def messy_rows(seed: int, count: int, most_cells: int = 14) -> list[list[str]]:
+    random = Random(seed)
+    return [[str(k), *random.choices(CELLS[:most_cells], k=3)] for k in range(count)]
+
+
+def as_csv(rows: list[list[str]], random: Random, line_end: str = "\n") -> str:
+    """Cells in quotes where they need them, and sometimes where they don't."""
+    cell = lambda c: '"' + c.replace('"', '""') + '"' if random.random() < 0.4 or any(x in c for x in '",\n') else c
+    return "".join(",".join(map(cell, row)) + line_end for row in [["k", "a", "b", "c"], *rows])
+
+
+@pytest.mark.parametrize("seed, split, line_end", [(1, "64", "\n"), (2, "100", "\r\n"), (3, "1000", "\n"), (4, "37", "\n")])
+def test_records_of_several_lines_in_many_splits(spark, tmp_path, seed, split, line_end):
+    folder, want = tmp_path / "quoted", []
+    folder.mkdir()
+    for part in range(3):
+        rows = [[str(1000 * part + int(r[0])), *r[1:]] for r in messy_rows(10 * seed + part, 120)]
+        csv_of(folder, as_csv(rows, Random(seed), line_end), f"part-{part}.csv")
+        want += [(int(r[0]), *(c or None for c in r[1:])) for r in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        df = read_csv(spark, str(folder))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(r)[:4] for r in df.orderBy(ROW_ORDER).collect()] == want
+
+
+def test_line_effects_equal_a_walk_over_characters(spark):
+    def walk(line: str, inside: bool) -> bool:
+        state = "quoted" if inside else "start"
+        for c in line:
+            if state == "quoted":
+                state = "quote" if c == '"' else state
+            elif state == "quote" and c == '"':
+                state = "quoted"
+            else:
+                state = "start" if c == "," else "quoted" if c == '"' and state == "start" else "bare"
+        return state == "quoted"
+
+    random = Random(8)
+    lines = ["".join(random.choices('",a', k=random.randint(0, 9))) for _ in range(3000)] + ['"' + '""' * 50_000, "a," * 50_000 + '"']
+    df = spark.createDataFrame([(x,) for x in lines], "value string").select("value", opens(F.col("value")).alias("o"), _stays(F.col("value")).alias("s"))
+    assert all((r["o"], r["s"]) == (walk(r["value"], False), walk(r["value"], True)) for r in df.collect())
+
+
+def test_headers_of_a_folder(spark, tmp_path):
+    csv_of(tmp_path, "a,b\n1,2\n", "one.csv")
+    csv_of(tmp_path, '"a",b\r\n3,4\r\n', "two.csv")
+    assert [(r["a"], r["b"]) for r in read_csv(spark, str(tmp_path)).orderBy("a").collect()] == [(1, 2), (3, 4)]
+    csv_of(tmp_path, "b,a\n5,6\n", "three.csv")
+    with pytest.raises(SourceError, match="different headers: a, b and b, a"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_line_break_in_a_header(spark, tmp_path):
+    path = csv_of(tmp_path, '\n"a\nb",c\n1,"x\ny"\n\n2,z\n')
+    df = read_csv(spark, path)
+    assert df.columns[:2] == ["a\nb", "c"] and [tuple(r)[:2] for r in df.orderBy(ROW_ORDER).collect()] == [(1, "x\ny"), (2, "z")]
+    csv_of(tmp_path, '"a\nB",c\n1,2\n', "u.csv")
+    with pytest.raises(SourceError, match="different headers"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_a_quoted_cell_without_an_end(spark, tmp_path):
+    with pytest.raises(SourceError, match="1 file.* inside a quoted cell"):
+        read_csv(spark, csv_of(tmp_path, 'a,b\n1,"x\n2,y\n'))
+
+
+def test_blanks_survive_a_round_trip(spark, tmp_path):
+    rows = [(k, f" no {k} \n", '"\r\n, ') for k in range(5)]
+    write_csv(spark.createDataFrame(rows, "k int, a string, b string"), str(tmp_path / "out"))
+    assert sorted(tuple(r)[:3] for r in read_csv(spark, str(tmp_path / "out")).collect()) == rows
+
+
 def test_repeated_headers(spark, tmp_path):
     df = read_csv(spark, csv_of(tmp_path, "a,a,A\n1,2,3\n"))
     assert df.columns == ["a", "a.1", "A", ROW_ORDER]
