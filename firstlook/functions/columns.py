@@ -19,6 +19,14 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table does not have, also not in another case, for a column that comes and goes."""
+    taken, name = {c.lower() for c in df.columns}, wanted
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def data_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

@@ -7,9 +7,9 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -17,6 +17,7 @@ from ..functions.columns import as_number, data_type, nan_to_null, q
 from ..operators.sample import SEED, exact_sample, row_hash
 from ..operators.types import infer_types
 from ..sources.order import ROW_ORDER
+from .boosting import Boosting
 from .features import fit_features
 from .metrics import classification_metrics, comparison, headline_metric, regression_metrics, roc_auc
 from .problem import BINARY, REGRESSION, ProblemInfo, detect_problem, split_features
@@ -26,13 +27,9 @@ from .split import MAX_ROWS, TEST_SHARE, SplitError, select_rows, split_rows
 MIN_ROWS = 20
 FOREST_TREES = 200
 FOREST_DEPTH = 10
-BOOST_ROUNDS = 100
-BOOST_STEP = 0.1
-BOOST_DEPTH = 5
-BOOST_MIN_LEAF = 20
 VALIDATION_SHARE = 0.1
 LOGISTIC_ROUNDS = 1_000
-# Boosting runs hundreds of tiny jobs; fewer, fuller tasks make each of them quicker.
+# Iterative fits run many small jobs; no task gets fewer rows than this, and none more than the second number.
 ROWS_PER_TASK = 5_000
 MOST_ROWS_PER_TASK = 1_000_000
 ERRORS = {
@@ -87,24 +84,18 @@ class MLReport:
         return next((m for m in self.models if m.is_winner), None)
 
 
-def models_for(kind: str, train_rows: int, classes: int, early_stop: bool = False, forest_depth: int = FOREST_DEPTH) -> list[tuple[str, Estimator]]:
+def models_for(
+    kind: str, train_rows: int, classes: int, early_stop: bool = False, forest_depth: int = FOREST_DEPTH
+) -> list[tuple[str, Estimator | Boosting]]:
     """The three models of a problem kind, in a fixed order."""
-    boost = {
-        "maxIter": BOOST_ROUNDS, "stepSize": BOOST_STEP, "maxDepth": BOOST_DEPTH,
-        "minInstancesPerNode": BOOST_MIN_LEAF, "seed": SEED,
-    }
     forest = {"numTrees": FOREST_TREES, "maxDepth": forest_depth, "seed": SEED}
-    if early_stop:
-        boost["validationIndicatorCol"] = "is_validation"
+    boosted = Boosting("squares" if kind == REGRESSION else "classes", classes, use_validation=early_stop)
     if kind == REGRESSION:
         return [
             ("LinearRegression", LinearRegression(regParam=0.0)),
             ("RandomForestRegressor", RandomForestRegressor(featureSubsetStrategy="all", **forest)),
-            ("GBTRegressor", GBTRegressor(**boost)),
+            ("GBTRegressor", boosted),
         ]
-    boosted = GBTClassifier(**boost)
-    if kind != BINARY:
-        boosted = OneVsRest(classifier=boosted, parallelism=min(classes, 8))
     # An l2 penalty of one half the squared weights against the summed loss is 1/n against the mean loss.
     logistic = LogisticRegression(maxIter=LOGISTIC_ROUNDS, regParam=1.0 / train_rows, standardization=False)
     return [
@@ -158,7 +149,7 @@ def train_models(
     if report.rows_used < MIN_ROWS:
         return failed("small", least=MIN_ROWS, rows=report.rows_used)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = max(min(32, cores, 1 + report.rows_total // ROWS_PER_TASK), report.rows_total // MOST_ROWS_PER_TASK)
+    parts = max(min(cores, 1 + report.rows_total // ROWS_PER_TASK), report.rows_total // MOST_ROWS_PER_TASK)
     used = used.repartition(parts, q(key)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         types = infer_types(used.select(*[q(f) for f in features]))
@@ -221,7 +212,7 @@ def _fit_all(
         m.is_winner = best is not None and m.name == best["model"]
 
 
-def _fit_one(name: str, estimator: Estimator, train: DataFrame, test: DataFrame, problem: ProblemInfo) -> ModelResult:
+def _fit_one(name: str, estimator: Estimator | Boosting, train: DataFrame, test: DataFrame, problem: ProblemInfo) -> ModelResult:
     """Fit and score one model; a failure becomes its error and does not stop the others."""
     start = time.perf_counter()
     try:
