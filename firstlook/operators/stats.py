@@ -10,6 +10,7 @@ from ..functions.columns import as_label, as_number, data_type, nan_to_null, q
 from ..functions.dates import as_datetime, elapsed_days, iso_text
 from ..plans.counts import top_values
 from ..plans.quantiles import quantiles
+from ..plans.reuse import reused
 from .types import CATEGORY, NUMERIC, columns_of, distinct_key, groupable, infer_types
 
 # Fixed values of the outlier rule.
@@ -46,14 +47,15 @@ def numeric_table(df: DataFrame, names: list[str]) -> DataFrame:
 def numeric_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """One row per numeric column: (column, count, mean, median, std, min, max, q25, q75, skew, outliers_iqr).
 
-    Moments, exact quartiles and outliers are separate aggregates of the same few columns: the first
-    and the last compile to tight loops, which quantile buffers would prevent.
+    Moments, sketches, exact quartiles and outliers are four passes over the same few columns, however many
+    there are: the first and the last compile to tight loops, which sketches would prevent.
     """
     spark = df.sparkSession
     schema = "column string, count long, " + ", ".join(f"{s} double" for s in NUMERIC_STATS[1:-1]) + ", outliers_iqr long"
     if not names:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(_numeric_rows(numeric_table(df, names), names), schema)
+    with reused(numeric_table(df, names)) as numeric:
+        return spark.createDataFrame(_numeric_rows(numeric, names), schema)
 
 
 def _numeric_rows(numeric: DataFrame, names: list[str]) -> list[tuple]:
@@ -66,7 +68,7 @@ def _numeric_rows(numeric: DataFrame, names: list[str]) -> list[tuple]:
         ]
     row = numeric.agg(*moments).first()
     rows = {n: row[f"count{i}"] for i, n in enumerate(names)}
-    found = quantiles(numeric, names, list(QUARTILES.values()), rows)
+    found = quantiles(numeric, names, list(QUARTILES.values()))
 
     outside: list[Column] = []
     for i, name in enumerate(names):

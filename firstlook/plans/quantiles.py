@@ -1,10 +1,10 @@
 """Exact quantiles without holding a column's values in one task.
 
-``percentile`` keeps a count per distinct value, which is fine for a short column. For longer ones,
-each round brackets the wanted ranks with quantiles of a random sample of fixed size, counts what lies
-below the bracket and looks only inside it in the next round. The counts are exact, so the sample only
-decides how fast the bracket shrinks, by a factor of a few hundred each time. No values are shuffled,
-and what tasks send to the one that merges does not grow with the table.
+A mergeable sketch (KLL) of each column tells, in one pass over all columns, values a little below and above each wanted rank. The next pass
+counts exactly how many values lie below such a bracket and on its two ends, and, if few enough lie between them, keeps those, which decides the rank; if
+not, it sketches what lies between, which makes the bracket some seventy times narrower. A frequent value is an end, not a crowd
+inside. The counts are exact, so sketches only decide how fast a bracket shrinks. No values are shuffled, and what tasks send to
+the one that merges does not grow with the table.
 """
 
 from __future__ import annotations
@@ -12,29 +12,29 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.columns import q
 from .ordered import running_total
 
-EXACT_VALUES = 100_000  # values one `percentile` buffer may hold
+EXACT_VALUES = 100_000  # values kept for one bracket
 EXACT_VALUES_PER_GROUP = 50_000
-LEAST_SAMPLED, SAMPLED_VALUES = 100_000, 4_000_000  # a tenth of the values, between these
-SKETCH_ACCURACY = 2_000
-SURE = 6  # deviations of a sampled rank
+SKETCH_K = 4_000
+#: Ranks that a sketch between the ends is asked for: ends of the next bracket are two of these.
+GRID = 500
+# Share of the values by which a bracket is wider on either side than the rank: two and a half times what a sketch of this size misses in one case of a hundred.
+SLACK = 2.5 * 2.3 / SKETCH_K**0.97
 
 
 @dataclass(frozen=True)
 class Bracket:
-    """Where the wanted ranks of one quantile lie among ``rows`` non-null values."""
+    """Where the two ranks next to a quantile lie: from low to high, with about so many values between them."""
 
-    rows: int
-    inside: int  # values from low to high
-    below: int = 0  # values under low
-    low: float | None = None
-    high: float | None = None
-    few: bool = False  # few distinct values inside, so `percentile` stays small however many rows they have
-    answer: float | None = None  # already known
+    lower: int
+    upper: int
+    between: int
+    low: float
+    high: float
 
 
 def _position(rows: int, fraction: float) -> tuple[float, int, int]:
@@ -44,124 +44,121 @@ def _position(rows: int, fraction: float) -> tuple[float, int, int]:
     return position, lower, min(lower + 1, rows - 1)
 
 
-def _within(col: Column, low: float | None, high: float | None) -> Column:
-    return col if low is None else F.when(col.between(F.lit(low), F.lit(high)), col)
+def _sketch(col: Column, k: int) -> Column:
+    return F.kll_sketch_agg_double(col, F.lit(k))
 
 
-def brackets(
-    df: DataFrame, columns: list[str], fractions: list[float], rows: dict[str, int] | None = None,
-    limit: int = EXACT_VALUES, sampled: int = SAMPLED_VALUES,
-) -> dict[tuple[str, float], Bracket]:
-    """Bracket per (column, fraction), narrow enough for ``quantile``. Columns must be numeric.
+def _ends(sketch: Column, shares: list[float]) -> Column:
+    """The sketched values at shares of the values; NULL for an empty sketch."""
+    inside = F.array(*[F.lit(min(1.0, max(0.0, x))) for x in shares])
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, inside))
 
-    ``rows`` are the non-null counts of the columns, if they are known already.
-    """
-    if not columns:
-        return {}
-    if rows is None:
-        counted = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-        rows = {c: counted[f"n{i}"] for i, c in enumerate(columns)}
-    found = {(c, f): Bracket(rows[c], rows[c]) for c in columns for f in fractions}
-    while open_keys := [key for key, b in found.items() if b.inside > limit and not b.few and b.answer is None]:
-        ends = _sampled_ends(df, found, open_keys, sampled)
-        checks = []
-        for k, (c, _) in enumerate(open_keys):
-            low, high = (F.lit(end) for end in ends[k])
-            inside = F.when(q(c).between(low, high), q(c))
-            checks += [
-                F.count_if(q(c) < low).alias(f"b{k}"), F.count(inside).alias(f"i{k}"),
-                F.approx_count_distinct(inside).alias(f"d{k}"),
-            ]
-        seen = df.agg(*checks).first()
-        for k, (c, f) in enumerate(open_keys):
-            b, (low, high) = found[c, f], ends[k]
-            below, inside = seen[f"b{k}"], seen[f"i{k}"]
-            _, lower, upper = _position(b.rows, f)
-            holds = below <= lower and upper < below + inside
-            if holds and low == high:
-                found[c, f] = Bracket(b.rows, inside, below, low, high, answer=float(low))
-            elif holds and seen[f"d{k}"] <= limit / 2:  # the sketch is a few percent off; half is on the safe side
-                found[c, f] = Bracket(b.rows, inside, below, low, high, few=True)
-            elif holds and inside <= max(limit, b.inside / 2):
-                found[c, f] = Bracket(b.rows, inside, below, low, high)
-            else:
-                # A rank was missed, or one frequent value keeps the bracket large: count values instead.
-                found[c, f] = _by_counts(df, c, f, b)
-    return found
-
-
-def _sampled_ends(
-    df: DataFrame, found: dict[tuple[str, float], Bracket], keys: list[tuple[str, float]], sampled: int
-) -> list[tuple[float, float]]:
-    """Values a little below and above each wanted rank, from one sample per bracket and column."""
-    wanted: dict[tuple, list[float]] = {}
-    share: dict[tuple, float] = {}
-    for c, f in keys:
-        b = found[c, f]
-        _, lower, upper = _position(b.rows, f)
-        size = min(sampled, max(LEAST_SAMPLED, b.inside // 10))
-        slack = 2 / SKETCH_ACCURACY + (SURE * 0.5 / math.sqrt(size) if size < b.inside else 0)
-        key = (c, b.low, b.high)
-        share[key] = size / b.inside
-        wanted.setdefault(key, []).extend(
-            [max(0.0, (lower - b.below) / b.inside - slack), min(1.0, (upper + 1 - b.below) / b.inside + slack)]
-        )
-
-    def drawn(c: str, low: float | None, high: float | None) -> Column:
-        inside = _within(q(c), low, high)
-        return inside if share[c, low, high] >= 1 else F.when(F.col("_draw") < share[c, low, high], inside)
-
-    table = df.withColumn("_draw", F.rand(len(keys))) if min(share.values()) < 1 else df
-    row = table.agg(*[
-        F.percentile_approx(drawn(*key), shares, SKETCH_ACCURACY).alias(f"s{k}") for k, (key, shares) in enumerate(wanted.items())
-    ]).first()
-    values = {key: iter(row[f"s{k}"] or [math.nan] * len(shares)) for k, (key, shares) in enumerate(wanted.items())}
-    pairs = [values[c, found[c, f].low, found[c, f].high] for c, f in keys]
-    return [(next(v), next(v)) for v in pairs]
-
-
-def _by_counts(df: DataFrame, column: str, fraction: float, b: Bracket) -> Bracket:
-    """The quantile from the distinct values inside the bracket and a distributed running total."""
-    values = df.select(_within(q(column), b.low, b.high).alias("value")).where("value is not null")
+
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value) of all values; plans over it stay as small for many columns as for one."""
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), q(c).alias("value")) for i, c in enumerate(columns)])
+    return df.select(F.inline(cells)).filter("value IS NOT NULL")
+
+
+def first_brackets(df: DataFrame, columns: list[str], fractions: list[float], sketch_k: int = SKETCH_K) -> tuple[dict[str, int], dict[tuple[str, float], Bracket]]:
+    """Rows of each column, and a bracket for each (column, fraction), from one pass."""
+    slack = _slack(sketch_k)
+    asked = [f + side * slack for f in fractions for side in (-1, 1)]
+    made = _cells(df, columns).groupBy("column").agg(F.count("value").alias("rows"), _sketch(F.col("value"), sketch_k).alias("sketch"))
+    seen = {r["column"]: r for r in made.select("column", "rows", _ends(F.col("sketch"), asked).alias("ends")).collect()}
+    rows, found = {}, {}
+    for i, c in enumerate(columns):
+        rows[c] = seen[i]["rows"] if i in seen else 0
+        for j, f in enumerate(fractions if rows[c] else []):
+            _, lower, upper = _position(rows[c], f)
+            found[c, f] = Bracket(lower, upper, _between(rows[c], slack), *seen[i]["ends"][2 * j : 2 * j + 2])
+    return rows, found
+
+
+def _slack(sketch_k: int) -> float:
+    return SLACK * (SKETCH_K / sketch_k) ** 0.97
+
+
+def _between(values: int, slack: float) -> int:
+    """At most so many values between the ends that a sketch of so many values gave, with room for what it misses itself."""
+    return min(values, int(4 * slack * values) + 4)
+
+
+def _looked(df: DataFrame, columns: list[str], brackets: list[tuple[str, Bracket]], limit: int, sketch_k: int) -> list[Row]:
+    """What one pass finds out about brackets: counts below, on and between their ends, and the values of their ranks, or sketched ones between the ends."""
+    rows = [(columns.index(c), k, b.lower, b.upper, b.low, b.high, b.between <= limit) for k, (c, b) in enumerate(brackets)]
+    asked = df.sparkSession.createDataFrame(rows, "of int, bracket int, lower long, upper long, low double, high double, few boolean")
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    # Broadcast: one row of 40 bytes for each column and quantile.
+    cells = _cells(df, columns).join(F.broadcast(asked), (F.col("column") == F.col("of")) & (value <= high))
+    between = F.when((value > low) & (value < high), value)
+    found = cells.groupBy("bracket", "lower", "upper", "few").agg(
+        F.count_if(value < low).alias("below"), F.count_if(value == low).alias("at_low"), F.count(between).alias("between"),
+        F.count_if((value == high) & (value != low)).alias("at_high"),
+        F.sort_array(F.collect_list(F.when(F.col("few"), between))).alias("kept"),
+        *([] if all(r[-1] for r in rows) else [_sketch(F.when(~F.col("few"), between), sketch_k).alias("sketch")]),
+    )
+    ranks = F.array(*[F.get("kept", (F.col(r) - F.col("below") - F.col("at_low")).cast("int")) for r in ("lower", "upper")])
+    grid = _ends(F.col("sketch"), [k / GRID for k in range(GRID + 1)]) if "sketch" in found.columns else F.lit(None).cast("array<double>")
+    out = found.select("bracket", "below", "at_low", "between", "at_high", F.when(F.col("few"), ranks).otherwise(grid).alias("values")).collect()
+    return sorted(out, key=lambda r: r["bracket"])
+
+
+def _answer(df: DataFrame, column: str, b: Bracket, seen: Row, limit: int, slack: float) -> tuple[float, float] | Bracket:
+    """The values of both ranks, or a narrower bracket."""
+    _, below, at_low, between, at_high, values = seen
+    inside = [below + at_low <= r < below + at_low + between for r in (b.lower, b.upper)]
+    if b.between > limit and all(inside):
+        shares = [(b.lower - below - at_low) / between - slack, (b.upper + 1 - below - at_low) / between + slack]
+        ends = values[max(0, math.floor(shares[0] * GRID))], values[min(GRID, math.ceil(shares[1] * GRID))]
+        return Bracket(b.lower, b.upper, _between(between, slack + 1 / GRID), *ends)
+
+    def at(rank: int, kept: float | None) -> float | None:
+        if below <= rank < below + at_low:
+            return b.low
+        if rank < below + at_low + between:
+            return kept
+        return b.high if rank < below + at_low + between + at_high else None
+
+    found = tuple(at(r, v) for r, v in zip((b.lower, b.upper), values if b.between <= limit else (None, None)))
+    # A rank was missed, or the two lie on both sides of an end: count the values instead.
+    return _by_counts(df, column, b) if None in found else found
+
+
+def _by_counts(df: DataFrame, column: str, b: Bracket) -> tuple[float, float]:
+    """The values of both ranks from the distinct values of a column and a distributed running total."""
+    values = df.select(q(column).alias("value")).where("value is not null")
     placed = running_total(values.groupBy("value").count(), "value", "count")
-    position, lower, upper = _position(b.rows, fraction)
-    first, last = lower - b.below, upper - b.below
     ends = (
-        placed.where((F.col("before") <= last) & (F.col("before") + F.col("count") > first))
+        placed.where((F.col("before") <= b.upper) & (F.col("before") + F.col("count") > b.lower))
         .agg(F.min("value").alias("low"), F.max("value").alias("high"))
         .first()
     )
-    low, high = float(ends["low"]), float(ends["high"])
-    return Bracket(b.rows, b.inside, answer=low + (high - low) * (position - lower))
-
-
-def _share(b: Bracket, fraction: float) -> float:
-    """The quantile's fraction among the values inside its bracket."""
-    if b.low is None or b.inside < 2:
-        return fraction
-    position, _, _ = _position(b.rows, fraction)
-    return min(1.0, max(0.0, (position - b.below) / (b.inside - 1)))
+    return float(ends["low"]), float(ends["high"])
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], fractions: list[float], rows: dict[str, int] | None = None,
-    limit: int = EXACT_VALUES, sampled: int = SAMPLED_VALUES,
+    df: DataFrame, columns: list[str], fractions: list[float], limit: int = EXACT_VALUES, sketch_k: int = SKETCH_K,
 ) -> dict[tuple[str, float], float | None]:
-    """Exact linear-interpolation quantiles; None for a column without values."""
-    found = brackets(df, columns, fractions, rows, limit, sampled)
-    answers: dict[tuple[str, float], float | None] = {key: b.answer for key, b in found.items()}
-    # Quantiles with one bracket in common, as all those of a short column, share one buffer.
-    open_keys: dict[tuple, list[float]] = {}
-    for (c, f), b in found.items():
-        if b.answer is None:
-            open_keys.setdefault((c, b.low, b.high), []).append(f)
-    if open_keys:
-        row = df.agg(*[
-            F.percentile(_within(q(c), low, high), [_share(found[c, f], f) for f in shares]).alias(f"p{k}")
-            for k, ((c, low, high), shares) in enumerate(open_keys.items())
-        ]).first()
-        for k, ((c, _, _), shares) in enumerate(open_keys.items()):
-            answers.update({(c, f): value for f, value in zip(shares, row[f"p{k}"] or [None] * len(shares))})
+    """Exact linear-interpolation quantiles of columns of doubles; None for a column without values. Two passes for any number of columns, one
+    more for each factor of some seventy that a column has more than ten million values."""
+    if not columns:
+        return {}
+    rows, open_ = first_brackets(df, columns, fractions, sketch_k)
+    answers: dict[tuple[str, float], float | None] = {(c, f): None for c in columns for f in fractions}
+    while open_:
+        keys = list(open_)
+        seen = _looked(df, columns, [(c, open_[c, f]) for c, f in keys], limit, sketch_k)
+        after = {}
+        for (c, f), row in zip(keys, seen):
+            found = _answer(df, c, open_[c, f], row, limit, _slack(sketch_k))
+            if isinstance(found, Bracket):
+                after[c, f] = found
+                continue
+            position, lower, _ = _position(rows[c], f)
+            share = position - lower
+            answers[c, f] = float(found[0] + (found[1] - found[0]) * share) if share and found[0] != found[1] else float(found[0])
+        open_ = after
     return answers
 
 

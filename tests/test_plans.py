@@ -70,24 +70,35 @@ VALUES = {
 }
 
 
-@pytest.mark.parametrize("limit, sampled", [(10**6, 10**6), (50, 10**6), (10, 900), (5, 60)])
-def test_quantiles_are_exact(spark, limit, sampled):
+@pytest.mark.parametrize("limit, sketch_k", [(10**6, 4000), (50, 200), (5, 60)])
+def test_quantiles_are_exact(spark, limit, sketch_k):
     rng = np.random.default_rng(5)
     frame = pd.DataFrame({name: make(rng) for name, make in VALUES.items()})
     frame.loc[::11, "spread"] = np.nan
     df = spark.createDataFrame(frame).replace(float("nan"), None).repartition(6)
     fractions = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
-    found = exact.quantiles(df, list(VALUES), fractions, limit=limit, sampled=sampled)
+    found = exact.quantiles(df, list(VALUES), fractions, limit=limit, sketch_k=sketch_k)
     for c in VALUES:
         for f in fractions:
             assert found[c, f] == pytest.approx(frame[c].quantile(f), rel=1e-9, abs=1e-9), (c, f)
 
 
-def test_brackets_stay_within_the_limit(spark):
-    df = spark.range(20_000).select(F.rand(3).alias("v"), (F.rand(4) * 4).cast("int").cast("double").alias("few"))
-    found = exact.brackets(df, ["v", "few"], [0.25, 0.5], limit=100, sampled=2000)
-    assert all(b.answer is not None or b.few or b.inside <= 100 for b in found.values())
-    assert found["v", 0.5].low is not None and (found["few", 0.5].few or found["few", 0.5].answer is not None)
+def test_infinite_values_are_values(spark):
+    df = spark.createDataFrame([(float(x),) for x in ["-inf", *range(9), "inf", "inf"]], "v double")
+    assert exact.quantiles(df, ["v"], [0.0, 0.5, 1.0]) == {("v", 0.0): float("-inf"), ("v", 0.5): 4.5, ("v", 1.0): float("inf")}
+
+
+def test_brackets_are_narrow_and_two_jobs_answer_any_number_of_columns(spark):
+    df = spark.range(20_000).select(*[F.rand(k).alias(f"v{k}") for k in range(12)])
+    _, found = exact.first_brackets(df, df.columns, [0.25, 0.5])
+    assert all(0 < b.high - b.low < 0.02 and b.between < 200 for b in found.values())
+    context, group = spark.sparkContext, "quantile-jobs"
+    context.setJobGroup(group, "")
+    exact.quantiles(df, df.columns, [0.25, 0.5, 0.75], limit=500)
+    # Adaptive execution runs a job for each shuffle and broadcast, and one for each result.
+    jobs = context.statusTracker().getJobIdsForGroup(group)
+    context._jsc.clearJobGroup()
+    assert len(jobs) <= 6
 
 
 def test_quantiles_of_nothing_and_of_one(spark):
