@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from firstlook.functions.columns import free_name, q
 from firstlook.plans.written import written
 
 from . import blocks as B
@@ -194,12 +195,17 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80, orders: in
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, orders: int = 3, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that have the smallest id of their component; equal (doc_id, text) stay once.
 
-    Of rows that repeat that id with other texts, the one whose text hashes lowest stays. Rows without words all stay.
+    Of rows that repeat that id with other texts, the one whose text hashes lowest stays; of rows that differ in other columns only, the one whose
+    other columns come first as JSON. Rows without words all stay. Columns may have any names.
     """
-    leads = _grouped(docs, words, percent, orders, block_bytes).select(F.col("lead.id").alias("_id"), F.col("lead.text_hash").alias("_hash")).distinct()
+    number, hashed, row = (free_name(docs, n) for n in ("_id", "_hash", "_row"))
+    leads = _grouped(docs.select("doc_id", "text"), words, percent, orders, block_bytes)
+    leads = leads.select(F.col("lead.id").alias(number), F.col("lead.text_hash").alias(hashed)).distinct()
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_hash", text_hash)
-    return rows.join(leads, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    rows = docs.withColumns({number: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), hashed: text_hash}).join(leads, [number, hashed], "left_semi")
+    whole, others = F.struct(*[q(c) for c in docs.columns]), [q(c) for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min_by(whole, F.to_json(F.struct(*others)) if others else F.lit(0))
+    return rows.groupBy(number, hashed).agg(first.alias(row)).select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def _grouped(docs: DataFrame, words: int, percent: int, orders: int, block_bytes: int, every: bool = False) -> DataFrame:

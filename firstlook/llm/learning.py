@@ -32,8 +32,10 @@ def few(ids: DataFrame, most: int, salt: str) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The text of each sampled row. The sample is bounded by few(), so it is small enough to send to every task."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    """(ids' columns, text): the text of each sampled row; of an id that repeats, the text that hashes lowest. The sample is bounded by few(), so it
+    is small enough to send to every task."""
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy(*ids.columns).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def adam(start: list[np.ndarray], gradients: Callable, steps: int, rate: float, after: Callable | None = None) -> list[np.ndarray]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from firstlook.functions.columns import free_name
 from firstlook.plans.written import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -198,7 +199,8 @@ def _places(planned: list[tuple[Runs, int]]) -> np.ndarray:
 def pack(lengths: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """The rows with sequence_id and offset: no sequence is longer than ``capacity``, and none has a gap.
 
-    Takes rows with length (1 to capacity); order names columns that tell rows apart. Equal rows are packed as often as they occur. Rows
+    Takes rows with length (1 to capacity); order names columns that tell rows apart. Equal rows are packed as often as they occur. Other columns
+    may have any names; a sequence_id or offset that is there already gives way to the new one. Rows
     are numbered within each length by way of counts of (length, part of a hash), so that a frequent length is spread over many tasks.
     """
     spark = lengths.sparkSession
@@ -209,26 +211,28 @@ def pack(lengths: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     places = _places(plan(histogram, capacity))
     keys = (places[:, 0] << 44) + places[:, 1]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(histogram.sum() >> 20))
-    dealt = lengths.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    before = (
-        dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).drop("_n")
+    lengths = lengths.drop("sequence_id", "offset")
+    part, n, before, rank = (free_name(lengths, x) for x in ("_part", "_n", "_before", "_rank"))
+    dealt = lengths.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(parts)))
+    earlier = (
+        dealt.groupBy("length", part).agg(F.count("*").alias(n))
+        .withColumn(before, F.sum(n).over(Window.partitionBy("length").orderBy(part)) - F.col(n)).drop(n)
     )
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*order)) - 1)
-    ranked = ranked.join(before, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_part", "_before")
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy("length", part).orderBy(*order)) - 1)
+    ranked = ranked.join(earlier, ["length", part]).withColumn(rank, F.col(rank) + F.col(before)).drop(part, before)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
-            at = np.searchsorted(keys, (length << 44) + rank, "right") - 1
+            length, nth = batch["length"].to_numpy(), batch[rank].to_numpy()
+            at = np.searchsorted(keys, (length << 44) + nth, "right") - 1
             _, first, sequence, many, offset = places[at].T
-            nth = rank - first
-            kept = batch.drop_columns(["_rank"])
+            nth = nth - first
+            kept = batch.drop_columns([rank])
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array(sequence + nth // many), pa.array(offset + nth % many * length)], names=[*kept.schema.names, "sequence_id", "offset"]
             )
 
-    schema = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
+    schema = ranked.drop(rank).schema.add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(place, schema)
 
 

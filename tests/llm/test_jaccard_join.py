@@ -113,3 +113,13 @@ def test_components(spark):
     want = {k: k - k % 10 for k in range(41) if k != 40} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_near_copies_keeps_all_columns_and_the_same_row(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, text, "b", "x", "own"), (1, text, "a", "y", "own"), (2, text + " more", "c", "z", "own"), (3, "another text of its own", "d", "w", "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _hash string, _row string")
+    got = without_near_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[1], rows[3]]
+    assert sorted(tuple(r) for r in without_near_copies(docs.repartition(4, "_hash")).collect()) == [rows[1], rows[3]]

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from firstlook.llm.packing import best_fit, cut, encoder, pack_documents, plan, sequences
+from firstlook.llm.packing import best_fit, cut, encoder, pack, pack_documents, plan, sequences
 
 RANKS, JSON = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
 
@@ -104,3 +104,11 @@ def test_documents_with_special_tokens(spark, path):
 
 def test_no_rows(no_docs):
     assert pack_documents(no_docs, RANKS).count() == 0
+
+
+def test_columns_of_any_name_survive_packing(spark):
+    rows = [(k, 1 + k % 7, "p", "r", -1, -2) for k in range(40)]
+    lengths = spark.createDataFrame(rows, "id long, length long, _part string, _rank string, offset long, sequence_id long")
+    got = pack(lengths, 10, ["id"]).collect()
+    assert len(got) == 40 and {(r["_part"], r["_rank"]) for r in got} == {("p", "r")}
+    assert all(r["sequence_id"] >= 0 and 0 <= r["offset"] <= 10 - r["length"] for r in got)
