@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ..functions.columns import (
     REAL_TYPES, TEXT_TYPES, TIME_TYPES, WHOLE_TYPES, as_number, data_type, nan_to_null, q,
@@ -14,6 +14,9 @@ from ..plans.quantiles import grouped_quantile
 # Chart and aggregation kinds.
 CHART_TYPES = ("line", "bar", "pie")
 AGGREGATIONS = ("sum", "mean", "count", "median", "min", "max")
+MOST_POINTS = 5_000
+#: Units of time from fine to coarse, with the days of the shortest one of each.
+BUCKET_DAYS = {"hour": 1 / 24, "day": 1, "week": 7, "month": 28, "quarter": 90, "year": 365}
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
 
 
@@ -108,13 +111,41 @@ def figure(
     """A drawable figure: one trace and its titles, with every point of the chart.
 
     A figure lives in one browser. For a table with very many values of ``x``, ``bucket`` groups dates by a unit such as
-    ``month``, and ``figure_table`` gives the points as a table.
+    ``month``, ``figure_table`` gives the points as a table, and ``bounded_figure`` never takes more than it can draw.
     """
+    return _drawn(_points(df, chart_type, x, y, aggregation, edited, bucket).collect(), chart_type, x, y, title)
+
+
+def bounded_figure(
+    df: DataFrame, chart_type: str, x: str, y: str | None = None, aggregation: str = "count", title: str = "", most: int = MOST_POINTS
+) -> dict:
+    """``figure`` for tables of unknown size: no more than ``most`` points reach the driver.
+
+    Dates with more are grouped by the finest unit that is coarse enough. Other charts with more points have none, and their title says why.
+    """
+    points = _points(df, chart_type, x, y, aggregation).limit(most + 1).collect()
+    if len(points) <= most:
+        return _drawn(points, chart_type, x, y, title)
+    if isinstance(data_type(df, x), TIME_TYPES):
+        first, last = (ends(q(x)).cast("timestamp_ntz") for ends in (F.min, F.max))
+        days = df.agg(F.datediff(last, first)).first()[0]
+        unit = next((u for u, length in BUCKET_DAYS.items() if days / length + 2 <= most), None)
+        if unit:
+            return figure(df, chart_type, x, y, aggregation, f"{title} by {unit}", bucket=unit)
+    return {"data": [], "layout": {"title": {"text": f"{title} (more than {most:,} points)"}}}
+
+
+def _points(
+    df: DataFrame, chart_type: str, x: str, y: str | None, aggregation: str, edited: bool = False, bucket: str | None = None
+) -> DataFrame:
     if chart_type not in CHART_TYPES:
         raise ValueError(f"unknown chart type '{chart_type}'")
     if chart_type == "line" and y is None:
         raise ValueError("a line chart needs a y column")
-    points = _plain(ordered_points(_in_buckets(df, x, bucket), x, y, aggregation, chart_type, edited)).collect()
+    return _plain(ordered_points(_in_buckets(df, x, bucket), x, y, aggregation, chart_type, edited))
+
+
+def _drawn(points: list[Row], chart_type: str, x: str, y: str | None, title: str) -> dict:
     if not points:
         return {"data": [], "layout": {"title": {"text": f"{title} (no data)"}}}
     xs, ys = [p["x"] for p in points], [p["y"] for p in points]

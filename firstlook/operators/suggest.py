@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_label, as_number, data_type, nan_to_null, q
-from .charts import figure
+from .charts import bounded_figure
 from .types import CATEGORY, NUMERIC, groupable, infer_types
 
 DEFAULT_CHARTS = 8
@@ -135,9 +135,9 @@ class ChartSpec:
 
 
 def chart_specs(df: DataFrame, types: dict[str, str] | None = None, max_charts: int = DEFAULT_CHARTS) -> list[ChartSpec]:
-    """The suggested charts with their figures."""
+    """The suggested charts with their figures, none of them larger than a browser draws (``bounded_figure``)."""
     specs = []
     for c in suggest_charts(df, types, max_charts).orderBy("rank").collect():
         chart = (c["type"], c["title"], c["x_column"], c["y_column"], c["aggregation"])
-        specs.append(ChartSpec(*chart, figure(df, c["type"], *chart[2:], title=c["title"])))
+        specs.append(ChartSpec(*chart, bounded_figure(df, c["type"], *chart[2:], title=c["title"])))
     return specs

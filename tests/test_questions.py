@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,45 @@ def test_failures_become_errors(trips):
     assert run_query(trips, lambda df: 1 / 0).error.startswith("ZeroDivisionError")
 
 
+def test_the_limit_holds_for_whatever_comes_after_it(spark):
+    """A function that sleeps past the limit and then returns, or runs, something heavy."""
+    table = spark.range(0, 60_000_000_000, 1, 6000)  # minutes of work in short tasks
+    heavy = lambda df: df.groupBy((F.xxhash64("id") % 7).alias("k")).count()
+
+    def late(then):
+        def query(df):
+            time.sleep(1.5)
+            return then(heavy(df))
+        return query
+
+    for then in (lambda t: t, lambda t: t.collect(), lambda t: [t.count() for _ in range(9)]):
+        start = time.time()
+        found = run_query(table, late(then), timeout_s=1)
+        assert found.error.startswith("TimeoutError") and time.time() - start < 2
+    start = time.time()
+    assert run_query(table, lambda df: heavy(df).collect(), timeout_s=1).error.startswith("TimeoutError") and time.time() - start < 2
+    time.sleep(2.5)
+    assert not [i for i in spark.sparkContext.statusTracker().getActiveJobsIds()]
+    assert run_query(spark.range(5), "SELECT sum(id) AS s FROM {df}").result.value == 10
+
+
+def test_any_exception_becomes_an_error(trips):
+    assert run_query(trips, lambda df: [][1]).error.startswith("IndexError")
+    assert run_query(trips, lambda df: next(iter([]))).error.startswith("StopIteration")
+
+
+def test_a_small_result_is_not_computed_again_for_its_figure(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x: int) -> int:
+        seen.add(1)
+        return x
+
+    table = spark.range(20).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.udf(counted, "long")("id").alias("n")).coalesce(1)
+    found = run_query(table, "SELECT * FROM {df}")
+    assert found.figure["data"][0]["y"][0] == 19 and seen.value == 20
+
+
 def test_recent_history_and_prompts(spark):
     messages = spark.createDataFrame(
         [(s, t, "user" if t % 2 == 0 else "assistant", f"{s}{t}") for s in ("p", "q") for t in range(9 if s == "p" else 2)],
