@@ -12,7 +12,7 @@ from ..functions.columns import (
 from ..functions.dates import as_datetime
 from ..functions.text import snake_names, trim_space
 from ..plans.counts import top_values
-from ..plans.ordered import fill_in_order
+from ..plans.ordered import OrderError, fill_in_order
 from ..plans.quantiles import quantiles
 from ..plans.written import written
 from ..sources.order import ROW_ORDER
@@ -175,9 +175,9 @@ def fill_missing(
     if gaps:
         if order_by is None:
             raise ValueError(f"filling the dates of {', '.join(gaps)} needs a row order: pass order_by")
-        if order_by != ROW_ORDER:
-            _check_order(df, order_by)
-        table = fill_in_order(table, gaps, order_by)
+        if nulls.get(order_by):  # they may have a value by now, if the order is data itself
+            raise OrderError(f"the order column '{order_by}' has missing values")
+        table = fill_in_order(table, gaps, order_by, checked=order_by != ROW_ORDER)
     keep_order = [ROW_ORDER] if ROW_ORDER in hidden else []
     return Filled(
         table.select(*[q(c) for c in kept], *[q(c) for c in keep_order]),
@@ -185,16 +185,6 @@ def fill_missing(
     )
 
 
-def _check_order(df: DataFrame, order_by: str) -> None:
-    """Every row needs a position of its own, else dates would be filled at random."""
-    places = nan_to_null(df.select(q(order_by).alias("place"))).groupBy("place").count()
-    found = places.agg(F.bool_or(F.col("place").isNull()).alias("gap"), F.max("count").alias("most")).first()
-    if found["gap"]:
-        raise ValueError(f"the order column '{order_by}' has missing values")
-    if (found["most"] or 0) > 1:
-        raise ValueError(f"the order column '{order_by}' repeats values")
-
-
 @dataclass
 class ColumnReport:
     name: str

@@ -8,17 +8,18 @@ chunk table stays small however many rows there are, and one hot group is spread
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import REAL_TYPES, WHOLE_TYPES, data_type, q
+from ..functions.columns import REAL_TYPES, WHOLE_TYPES, data_type, free_name, q
 from ..functions.dates import micros_between
 from .reuse import is_small
 from .written import written
 
 CHUNK = "_chunk"
 MAX_CHUNKS = 20_000
-SAMPLED_PER_CHUNK = 200
 
 
 def chunk_count(df: DataFrame) -> int:
@@ -44,34 +45,31 @@ def is_source_order(df: DataFrame, order_by: str) -> bool:
     return isinstance(dtype, T.StructType) and dtype.fieldNames()[:2] == ["file", "block"]
 
 
-def add_chunk(df: DataFrame, order_by: str, chunks: int | None = None) -> DataFrame:
-    """Add the chunk a row belongs to. Chunks rise with ``order_by`` and hold similar row counts.
+def add_chunk(df: DataFrame, order_by: str, chunks: int | None = None, name: str = CHUNK) -> DataFrame:
+    """Add the chunk a row belongs to, under a ``name`` of its own. Chunks rise with ``order_by`` and hold similar row counts.
 
     Rows read from files keep the file split they came from. Otherwise the cuts are approximate
-    quantiles of a sample; any cut gives the same results, so that only touches the balance.
+    quantiles; any cut gives the same results, so that only touches the balance. Rows without a place are in the last chunk, whose number is
+    that of the chunks asked for at most.
     """
     if is_source_order(df, order_by):
-        return df.withColumn(CHUNK, F.struct(q(order_by)["file"], q(order_by)["block"]))
-    wanted = chunks or chunk_count(df)
-    placed = df.withColumn("_position", _order_position(df, order_by))
-    cuts = _cuts(placed.select("_position"), wanted)
+        return df.withColumn(name, F.struct(q(order_by)["file"], q(order_by)["block"]))
+    wanted, position = chunks or chunk_count(df), free_name(df, "_position")
+    placed = df.withColumn(position, _order_position(df, order_by))
+    cuts = _cuts(placed.select(position), wanted)
     if not cuts:  # no rows, or one chunk
-        return df.withColumn(CHUNK, F.lit(0))
+        return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
-    bucketed = Bucketizer(
-        splits=splits, inputCol="_position", outputCol=CHUNK, handleInvalid="keep"
-    ).transform(placed)
-    return bucketed.drop("_position").withColumn(CHUNK, F.col(CHUNK).cast("int"))
+    bucketed = Bucketizer(splits=splits, inputCol=position, outputCol=name, handleInvalid="keep").transform(placed)
+    return bucketed.drop(position).withColumn(name, F.col(name).cast("int"))
 
 
 def _cuts(positions: DataFrame, wanted: int) -> list[float]:
-    """Rising cut points from a sample of a fixed size per chunk, so that their cost does not grow with the table."""
+    """Rising cut points, from one pass that merges a sketch of each task."""
     if wanted < 2:
         return []
-    share = SAMPLED_PER_CHUNK * wanted / max(1, positions.count())
-    sampled = positions.sample(share, seed=1) if share < 1 else positions
     fractions = [i / wanted for i in range(1, wanted)]
-    cuts = sampled.agg(F.percentile_approx("_position", fractions, max(10_000, 4 * wanted))).first()[0]
+    cuts = positions.agg(F.percentile_approx(positions.columns[0], fractions, max(1_000, 4 * wanted))).first()[0]
     return sorted(set(cuts or []))
 
 
@@ -85,67 +83,97 @@ def running_total(
     """
     by = by or []
     df = df if is_small(df) else written(df)
-    chunked = add_chunk(df, order_by)
+    chunk, total, inside, in_chunk, carried = (free_name(df, n) for n in (CHUNK, "_total", "_inside", "_in_chunk", "_carried"))
+    groups = [free_name(df, f"_by{i}") for i in range(len(by))]
+    chunked = add_chunk(df, order_by, name=chunk)
     keys = [q(c) for c in by]
-    totals = chunked.groupBy(*keys, CHUNK).agg(F.sum(q(value)).alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *[k.alias(f"_by{i}") for i, k in enumerate(keys)],
-        F.col(CHUNK).alias("_in_chunk"),
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"),
+    totals = chunked.groupBy(*keys, q(chunk)).agg(F.sum(q(value)).alias(total))
+    earlier = Window.partitionBy(*keys).orderBy(q(chunk)).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *[k.alias(g) for k, g in zip(keys, groups)],
+        q(chunk).alias(in_chunk),
+        F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(carried),
     )
-    match = F.col(CHUNK).eqNullSafe(F.col("_in_chunk"))
-    for i, k in enumerate(keys):
-        match = match & k.eqNullSafe(F.col(f"_by{i}"))
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(q(order_by)).rowsBetween(Window.unboundedPreceding, -1)
+    match = q(chunk).eqNullSafe(q(in_chunk))
+    for k, g in zip(keys, groups):
+        match = match & k.eqNullSafe(q(g))
+    upto = Window.partitionBy(*keys, q(chunk)).orderBy(q(order_by)).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        chunked.withColumn("_inside", F.coalesce(F.sum(q(value)).over(inside), F.lit(0)))
-        .join(carried, match)
-        .withColumn(output, F.col("_inside") + F.col("_carried"))
-        .select(*[q(c) for c in df.columns], q(output))
+        chunked.withColumn(inside, F.coalesce(F.sum(q(value)).over(upto), F.lit(0)))
+        .join(before, match)
+        .select(*[q(c) for c in df.columns], (q(inside) + q(carried)).alias(output))
     )
 
 
-def fill_in_order(df: DataFrame, columns: list[str], order_by: str) -> DataFrame:
-    """Forward-fill ``columns`` in row order; leading NULLs take the first value that follows."""
+class OrderError(ValueError):
+    """Rows have no order: a place is missing or taken twice."""
+
+
+def fill_in_order(df: DataFrame, columns: list[str], order_by: str, checked: bool = False) -> DataFrame:
+    """Forward-fill ``columns`` in row order; leading NULLs take the first value that follows.
+
+    Three passes: one over the order alone finds the cuts; one over the order and the filled columns gives one row for each chunk, its last
+    and first known values; the last one deals the whole rows into their chunks, where a window fills them.
+    ``checked`` looks in the second pass, in its sort, whether each row has a place of its own.
+    """
     if not columns:
         return df
-    order = q(order_by)
-    chunked = add_chunk(df, order_by)
-
-    last_known, first_known = [], []
-    for i, name in enumerate(columns):
-        known_at = F.when(q(name).isNotNull(), order)
-        last_known.append(F.max_by(q(name), known_at).alias(f"_last{i}"))
-        first_known.append(F.min_by(q(name), known_at).alias(f"_first{i}"))
-    ends = chunked.groupBy(CHUNK).agg(*last_known, *first_known)
-
-    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    anywhere = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    chunk, in_chunk = free_name(df, CHUNK), free_name(df, "_in_chunk")
+    seen_as, carried_as = ([free_name(df, f"{kind}{i}") for i in range(len(columns))] for kind in ("_seen", "_carried"))
+    order, chunks = q(order_by), chunk_count(df)
+    chunked = add_chunk(df, order_by, chunks, name=chunk)
+    by_file = is_source_order(df, order_by)
+    # Ranges are dealt to tasks by their number; the last number is that of rows without a place.
+    dealt = (lambda t: t) if by_file else (lambda t: t.repartitionById(chunks + 1, q(chunk)))
+
+    ends = _ends(chunked, dealt, columns, order_by, chunk, checked)
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    anywhere = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = ends.select(
-        F.col(CHUNK).alias("_in_chunk"),
+        F.col("chunk").alias(in_chunk),
         *[
             F.coalesce(
-                F.last(f"_last{i}", ignorenulls=True).over(before),
-                F.first(f"_first{i}", ignorenulls=True).over(anywhere),
-            ).alias(f"_carried{i}")
+                F.last(f"last{i}", ignorenulls=True).over(before),
+                F.first(f"first{i}", ignorenulls=True).over(anywhere),
+            ).alias(carried_as[i])
             for i in range(len(columns))
         ],
     )
-    upto = Window.partitionBy(CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = chunked.select(
-        "*",
-        *[F.last(q(n), ignorenulls=True).over(upto).alias(f"_seen{i}") for i, n in enumerate(columns)],
-    )
+    upto = Window.partitionBy(chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt(chunked).withColumns({seen_as[i]: F.last(q(n), ignorenulls=True).over(upto) for i, n in enumerate(columns)})
     place = {n: i for i, n in enumerate(columns)}
-    return seen.join(carried, F.col(CHUNK).eqNullSafe(F.col("_in_chunk"))).select(
+    return seen.join(carried, q(chunk).eqNullSafe(F.col(in_chunk))).select(
         *[
-            F.coalesce(F.col(f"_seen{place[n]}"), F.col(f"_carried{place[n]}")).alias(n) if n in place else q(n)
+            F.coalesce(F.col(seen_as[place[n]]), F.col(carried_as[place[n]])).alias(n) if n in place else q(n)
             for n in df.columns
         ]
     )
 
 
+def _ends(
+    chunked: DataFrame, dealt: Callable[[DataFrame], DataFrame], columns: list[str], order_by: str, chunk: str, checked: bool
+) -> DataFrame:
+    """(chunk, last0, first0, ...): one row for each chunk. Those of ranges, which are no more than the shuffle has partitions, come by way of the driver."""
+    narrow = chunked.select(q(chunk).alias("chunk"), q(order_by).alias("place"), *[q(n).alias(f"v{i}") for i, n in enumerate(columns)])
+    known = []
+    for i in range(len(columns)):
+        at = F.when(F.col(f"v{i}").isNotNull(), F.col("place"))
+        known += [F.max_by(f"v{i}", at).alias(f"last{i}"), F.min_by(f"v{i}", at).alias(f"first{i}")]
+    if not checked:
+        return narrow.groupBy("chunk").agg(*known)
+    earlier = F.lag("place").over(Window.partitionBy("chunk").orderBy("place"))
+    marked = dealt(narrow.withColumnRenamed("chunk", chunk)).withColumnRenamed(chunk, "chunk").withColumn("again", F.col("place") == earlier)
+    missing = F.col("place").isNull() | (F.isnan("place") if isinstance(data_type(narrow, "place"), REAL_TYPES) else F.lit(False))
+    ends = marked.groupBy("chunk").agg(*known, F.max("again").alias("again"), F.max(missing).alias("missing"))
+    rows = ends.collect()
+    if any(r["missing"] for r in rows):
+        raise OrderError(f"the order column '{order_by}' has missing values")
+    if any(r["again"] for r in rows):
+        raise OrderError(f"the order column '{order_by}' repeats values")
+    spark = chunked.sparkSession
+    return spark.createDataFrame([tuple(r)[:-2] for r in rows], T.StructType(ends.schema.fields[:-2]))
+
+
 def numbered(df: DataFrame, keys: list[Column]) -> DataFrame:
     """Add ``position``, from 0 on in the order of the keys: a distributed sort, then row numbers from per-partition counts."""
     rows = written(df.orderBy(*keys).withColumn("_place", F.monotonically_increasing_id()))

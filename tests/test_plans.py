@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firstlook.plans import quantiles as exact
-from firstlook.plans.ordered import add_chunk, fill_in_order, running_total
+from firstlook.plans.ordered import OrderError, add_chunk, fill_in_order, running_total
 
 
 def test_chunks_rise_with_the_order(spark):
@@ -45,6 +45,19 @@ def test_fill_by_time_and_all_missing(spark):
     assert [r["w"] for r in got][:8] == [2, 2, 2, 2, 2, 2, 2, 7]
 
 
+def test_fill_keeps_columns_of_any_name_and_checks_the_order_in_the_same_sort(spark):
+    rows = [(k, None if k % 3 else float(k), "c", "s", "p") for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, v double, _chunk string, _seen0 string, _position string").repartition(4)
+    got = fill_in_order(df, ["v"], "k", checked=True)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(k, float(k - k % 3), "c", "s", "p") for k in range(60)]
+    for extra, what in ((7, "repeats values"), (None, "has missing values")):
+        more = df.union(spark.createDataFrame([(extra, 1.0, "c", "s", "p")], df.schema))
+        with pytest.raises(OrderError, match=what):
+            fill_in_order(more, ["v"], "k", checked=True)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and "hashpartitioning" not in plan
+
+
 def test_text_is_no_order(spark):
     with pytest.raises(ValueError, match="order column"):
         fill_in_order(spark.createDataFrame([("a", 1)], "k string, v int"), ["v"], "k")
