@@ -7,6 +7,7 @@ back to the block. Names travel sorted and packed, so a shuffle moves 5 to 8 byt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -97,11 +98,24 @@ def texts_in(table: pa.Table) -> Iterator[tuple[int, pa.Array]]:
 
 
 def _freed(table: pa.Table) -> pa.Table:
-    """The table, after Arrow has given back what earlier groups left in its pool: workers live on from stage to stage."""
+    """The table, after Arrow's pool and the allocator of numpy have given back what earlier groups left: workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
     return table
 
 
+def _trim():
+    """glibc's function that returns free memory to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _trim()
+
+
 def ask(blocks: DataFrame, asking: Callable[[pa.Table], list[tuple]]) -> DataFrame:
     """Each block's questions: asking gives rows of ASKED."""
     return blocks.groupBy("block").applyInArrow(lambda table: _freed(table_of(asking(table), ASKED)), ASKED)
