@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import q
+from ..functions.columns import free_name, q
 from ..operators.sample import SEED, exact_sample, row_hash
 from ..plans.ordered import running_total
 
@@ -52,15 +52,15 @@ def split_rows(df: DataFrame, key: str, label: str | None = None, test_share: fl
     Rows are ranked by a hash of their key inside each class. The ranks come from a running total over
     hash ranges, so a class that holds most rows is spread over many tasks.
     """
-    marked = df.withColumn("_hash", row_hash(key, seed)).withColumn("_one", F.lit(1))
+    place, one, before = (free_name(df, n) for n in ("_place", "_one", "_before"))
+    marked = df.withColumn(place, row_hash(key, seed)).withColumn(one, F.lit(1))
     if label is None:
-        n_test = math.ceil(test_share * df.count())
-        ranked = running_total(marked, "_hash", "_one")
-        return ranked.withColumn("is_test", F.col("before") < n_test).drop("_hash", "_one", "before")
-    sizes = {r[0]: r[1] for r in df.groupBy(q(label)).count().collect()}
-    quotas = test_quotas(sizes, test_share)
-    quota = F
-    for value, n in quotas.items():
-        quota = quota.when(q(label).eqNullSafe(F.lit(value)), F.lit(n))
-    ranked = running_total(marked, "_hash", "_one", by=[label])
-    return ranked.withColumn("is_test", F.col("before") < quota).drop("_hash", "_one", "before")
+        quota = F.lit(math.ceil(test_share * df.count()))
+        ranked = running_total(marked, place, one, output=before)
+    else:
+        sizes = {r[0]: r[1] for r in df.groupBy(q(label)).count().collect()}
+        quota = F
+        for value, n in test_quotas(sizes, test_share).items():
+            quota = quota.when(q(label).eqNullSafe(F.lit(value)), F.lit(n))
+        ranked = running_total(marked, place, one, by=[label], output=before)
+    return ranked.withColumn("is_test", q(before) < quota).drop(place, one, before)

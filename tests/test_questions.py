@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from firstlook.operators.sample import exact_sample
 from firstlook.operators.adhoc import format_result, run_query
 from firstlook.operators.describe import column_details, describe, first_values
 from firstlook.operators.sessions import parse_replies, prompts, recent_history, system_prompt
@@ -139,3 +140,11 @@ def test_a_query_has_a_time_limit(spark):
     found = run_query(spark.range(4).withColumn("c", slow("id")), "SELECT * FROM {df}", timeout_s=2)
     assert found.error == "TimeoutError: the query took longer than 2 seconds"
     assert run_query(spark.range(4), "SELECT count(*) AS n FROM {df}", timeout_s=60).result.value == 4
+
+
+def test_samples_keep_columns_of_any_name(spark):
+    df = spark.range(3000).select("id", F.lit("h").alias("_hash"), F.lit("p").alias("_place"), F.lit(None).alias("nothing"))
+    for table in (df, df.drop("nothing")):
+        got = exact_sample(table, 40, "id")
+        assert got.columns == table.columns and got.count() == 40 and {(r["_hash"], r["_place"]) for r in got.collect()} == {("h", "p")}
+    assert [r["id"] for r in exact_sample(df, 40, "id").collect()] == [r["id"] for r in exact_sample(df.drop("nothing"), 40, "id").collect()]
