@@ -17,7 +17,7 @@ from ..functions.columns import as_number, data_type, nan_to_null, q
 from ..operators.sample import SEED, exact_sample, row_hash
 from ..operators.types import infer_types
 from ..sources.order import ROW_ORDER
-from .boosting import Boosting
+from .boosting import ROUNDS as BOOST_ROUNDS, Boosting
 from .features import fit_features
 from .metrics import classification_metrics, comparison, headline_metric, regression_metrics, roc_auc
 from .problem import BINARY, REGRESSION, ProblemInfo, detect_problem, split_features
@@ -89,7 +89,7 @@ def models_for(
 ) -> list[tuple[str, Estimator | Boosting]]:
     """The three models of a problem kind, in a fixed order."""
     forest = {"numTrees": FOREST_TREES, "maxDepth": forest_depth, "seed": SEED}
-    boosted = Boosting("squares" if kind == REGRESSION else "classes", classes, use_validation=early_stop)
+    boosted = Boosting("squares" if kind == REGRESSION else "classes", classes, BOOST_ROUNDS, use_validation=early_stop)
     if kind == REGRESSION:
         return [
             ("LinearRegression", LinearRegression(regParam=0.0)),

@@ -150,12 +150,12 @@ def samples(spark):
 
 @pytest.fixture(autouse=True)
 def small_models(monkeypatch):
-    from firstlook.models import train
+    from firstlook.models import boosting, train
 
     monkeypatch.setattr(train, "FOREST_TREES", 20)
     monkeypatch.setattr(train, "FOREST_DEPTH", 5)
     monkeypatch.setattr(train, "BOOST_ROUNDS", 10)
-    monkeypatch.setattr(train, "BOOST_MIN_LEAF", 2)
+    monkeypatch.setattr(boosting, "LEAST_ROWS", 2)
 
 
 def test_train_regression(spark, samples):
@@ -182,7 +182,7 @@ def test_train_multiclass_samples_rows(samples):
 
 @pytest.mark.parametrize("target, max_rows, fitted", [("y", 100, 192), ("yes", 100, 80), ("yes", None, 192), ("three", 300, 192)])
 def test_all_rows_are_split_and_only_classifiers_fit_on_a_bound(samples, monkeypatch, target, max_rows, fitted):
-    from firstlook.models import train
+    from firstlook.models import boosting, train
 
     seen, fit_one = [], train._fit_one
     monkeypatch.setattr(train, "_fit_one", lambda n, e, fit, test, p: seen.append((fit.count(), test.count())) or fit_one(n, e, fit, test, p))
