@@ -93,11 +93,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> QualityModel:
-    """Trained on rows marked good outside the held-out fold, and rows without any mark."""
+    """Trained on rows marked good outside the held-out fold, and rows of the same folds without any mark there; held-out rows have no part in it."""
+    fitting = F.col("doc_id").isNotNull() & ~learning.held_out(F.col("doc_id"), 3, 1)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = learning.labels_by_id(_table(spark, sf_dir, "labels"), "quality")
-    trusted = labels.filter((F.col("label") == 1) & ~learning.held_out(F.col("doc_id"), 3, 1))
-    unlabelled = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti")
+    labels = learning.labels_by_id(_table(spark, sf_dir, "labels").filter(fitting), "quality")
+    trusted = labels.filter(F.col("label") == 1)
+    unlabelled = docs.select("doc_id").filter(fitting).join(labels.select("doc_id"), "doc_id", "left_anti")
     return fit_quality(docs, trusted, unlabelled)
 
 

@@ -1,13 +1,13 @@
 """Removal of byte strings that an earlier document holds as well: sampled suffixes are named, names of names settle the rest.
 
 Every string of ``length`` bytes is represented by a sampled suffix inside it: the one whose first k bytes hash lowest. That sample is a
-difference cover by content: two equal strings, wherever they begin, always have a sampled suffix at the same shift. Step by step, and
-each time by sorting names and comparing neighbours over the whole corpus:
+difference cover by content: two equal strings, wherever they begin, always have a sampled suffix at the same shift. Suffixes are not sorted or ranked; step by
+step, and each time by asking buckets of fingerprints which documents of the whole corpus hold them:
 
 1. Sampled suffixes are named by their first k bytes. A name in one document alone ends the matter for all strings that it represents.
 2. The longest stretch of strings with the same sampled suffix is named by its whole text. If all documents that hold the sampled suffix
    have the same stretch, the first of them decides for all its strings.
-3. What remains, at the edges of copied passages, is sorted string by string, once for each distinct stretch.
+3. What remains, at the edges of copied passages, is asked string by string, once for each distinct stretch.
 
 The first step names a thirteenth of all suffixes, the others only what repeats. Fingerprints take the place of ranks as names, so no
 step has to number the corpus.
