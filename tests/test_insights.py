@@ -65,6 +65,23 @@ def test_overview(spark):
     assert {tuple(r) for r in overview(df).collect()} == {(1, 3, "integer", 2), (1, 3, "text", 1)}
 
 
+def test_many_gappy_columns_in_one_scan(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(400, 5))
+    frame = pd.DataFrame({f"c{k:02d}": base[:, k % 5] * (k + 1) + rng.normal(size=400) * (k % 7) + 1e6 * k for k in range(40)})
+    frame["same"] = 0.1
+    frame = frame.mask(rng.random(frame.shape) < 0.3)
+    frame["same_where_c00"] = np.where(frame.c00.notna(), 5.3, rng.normal(size=400))
+    df = spark.createDataFrame(frame).replace(float("nan"), None).repartition(4)
+    got = {(r["a"], r["b"]): r["r"] for r in correlations(df, list(frame), 0.3).collect()}
+    names, all_r = sorted(frame), frame.corr()
+    want = {(a, b): all_r.loc[a, b] for i, a in enumerate(names) for b in names[i + 1 :] if abs(all_r.loc[a, b]) >= 0.3}
+    want = {k: v for k, v in want.items() if k != ("c00", "same_where_c00")}  # constant where both are there
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = correlations(df, list(frame), 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_correlations_are_pairwise_complete(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=300)
