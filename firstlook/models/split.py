@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import free_name, q
-from ..operators.sample import SEED, exact_sample, row_hash
-from ..plans.ordered import running_total
+from ..functions.columns import q
+from ..operators.sample import HASH_SPAN, SEED, exact_sample, row_hash
 
 # Fixed values of the training set.
 MAX_ROWS = 50_000
 TEST_SHARE = 0.2
+SURE = 6  # deviations of a rank among evenly spread hashes
 
 
 class SplitError(ValueError):
@@ -49,18 +49,43 @@ def test_quotas(sizes: dict, test_share: float = TEST_SHARE) -> dict:
 def split_rows(df: DataFrame, key: str, label: str | None = None, test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``is_test``: exactly the rounded-up share of rows, per class in proportion when a label is given.
 
-    Rows are ranked by a hash of their key inside each class. The ranks come from a running total over
-    hash ranges, so a class that holds most rows is spread over many tasks.
+    The rows of a class whose key hashes lowest are tested. Which hash is the last one follows from one aggregate, so that rows are only
+    marked, neither sorted nor shuffled. ``key`` is unique.
     """
-    place, one, before = (free_name(df, n) for n in ("_place", "_one", "_before"))
-    marked = df.withColumn(place, row_hash(key, seed)).withColumn(one, F.lit(1))
+    place = row_hash(key, seed)
     if label is None:
-        quota = F.lit(math.ceil(test_share * df.count()))
-        ranked = running_total(marked, place, one, output=before)
-    else:
-        sizes = {r[0]: r[1] for r in df.groupBy(q(label)).count().collect()}
-        quota = F
-        for value, n in test_quotas(sizes, test_share).items():
-            quota = quota.when(q(label).eqNullSafe(F.lit(value)), F.lit(n))
-        ranked = running_total(marked, place, one, by=[label], output=before)
-    return ranked.withColumn("is_test", q(before) < quota).drop(place, one, before)
+        total = df.count()
+        last = _last_places(df, place, F.lit(0), {0: (math.ceil(test_share * total), total)})
+        return df.withColumn("is_test", F.coalesce(place <= F.lit(last.get(0, -1)), F.lit(False)))
+    sizes = {r[0]: r[1] for r in df.groupBy(q(label)).count().collect()}
+    quotas = test_quotas(sizes, test_share)
+    flag = F
+    for value, last in _last_places(df, place, q(label), {c: (quotas[c], n) for c, n in sizes.items()}).items():
+        flag = flag.when(q(label).eqNullSafe(F.lit(value)), place <= F.lit(last))
+    return df.withColumn("is_test", F.coalesce(flag, F.lit(False)))
+
+
+def _last_places(df: DataFrame, place: Column, group: Column, wanted: dict) -> dict:
+    """For each group (rows wanted, rows), the hash of its last wanted row in the order of hashes.
+
+    Hashes are spread evenly, so that of n rows it lies within a few roots of n of its expected place. What lies below that window is
+    counted, what lies inside is kept: some dozen times the root of n numbers. Should it lie outside, the window is widened.
+    """
+    found: dict = {}
+    deviations = SURE
+    rows = df.select(group.alias("group"), place.alias("place"))
+    while open_ := {c: w for c, w in wanted.items() if c not in found and w[0] > 0}:
+        low, high = F, F
+        for c, (quota, n) in open_.items():
+            spread = deviations * math.sqrt(max(quota * (1 - quota / n), 1.0)) + 1
+            ends = [min(HASH_SPAN, max(0, int(HASH_SPAN * (quota + side * spread) / n))) for side in (-1, 1)]
+            same = F.col("group").eqNullSafe(F.lit(c))
+            low, high = low.when(same, F.lit(ends[0])), high.when(same, F.lit(ends[1]))
+        bounded = rows.select("group", "place", low.alias("low"), high.alias("high"))
+        inside = F.when((F.col("place") >= F.col("low")) & (F.col("place") <= F.col("high")), F.col("place"))
+        seen = bounded.groupBy("group").agg(F.count_if(F.col("place") < F.col("low")).alias("below"), F.sort_array(F.collect_list(inside)).alias("inside")).collect()
+        for r in seen:
+            if r["group"] in open_ and 0 <= (k := open_[r["group"]][0] - 1 - r["below"]) < len(r["inside"]):
+                found[r["group"]] = r["inside"][k]
+        deviations *= 4
+    return found

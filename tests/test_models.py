@@ -205,3 +205,20 @@ def test_too_few_rows_and_lone_classes(spark, samples):
     assert "too small" in train_models(samples.limit(15), "y", ["f1"], "id").error
     lone = samples.withColumn("k", F.when(F.col("id") == 3, "rare").otherwise(F.col("c")))
     assert train_models(lone, "k", ["f1"], "id").error.startswith("Failed to split data")
+
+
+@pytest.mark.parametrize("sure", [6, 0.01])
+def test_the_split_marks_rows_without_moving_them(spark, monkeypatch, sure):
+    from firstlook.models import split
+
+    monkeypatch.setattr(split, "SURE", sure)
+    df = spark.range(3001).select("id", F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") % 3 == 0, F.lit(None)).otherwise("often").alias("c"), F.lit("x").alias("_place"))
+    marked = split.split_rows(df, "id", "c")
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and marked.columns == [*df.columns, "is_test"]
+    hashed = marked.withColumn("h", split.row_hash("id")).toPandas()
+    quotas = split.test_quotas({None if c != c else c: n for c, n in hashed.c.value_counts(dropna=False).items()})
+    for c, rows in hashed.groupby("c", dropna=False):
+        tested = rows[rows.is_test]
+        assert len(tested) == quotas[None if c != c else c] and tested.h.max() < rows[~rows.is_test].h.min()
+    assert split.split_rows(df, "id").where("is_test").count() == 601
