@@ -114,9 +114,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(docs, fit_tagger(docs))
     rules = F.filter("spans", lambda s: s["by_rule"])
     kinds = F.array(*[F.lit(k) for k in KINDS])
+    # A function of two parameters would be given places in the array for the second one.
+    of_kind = lambda k: F.filter(rules, lambda s: s["kind"] == k)
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["end"])))
     return found.select(
-        "doc_id", *[F.size(F.filter(rules, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        "doc_id", *[F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(listed(rules), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
 

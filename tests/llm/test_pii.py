@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -6,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from firstlook.llm import pii
+from firstlook.llm.queries import op6_pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -117,3 +119,17 @@ def test_odd_rows(odd_docs, odd, tagger, no_docs):
 
 def test_redacted():
     assert pii.redacted("abcdefgh", [(1, 3), (2, 5), (6, 7)], ["X", "Y", "Z"]) == "a[X]f[Z]h"
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    parts = ["a@b.org", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 010-2030"]
+    texts = [f" {sep} ".join(parts[k] for k in kinds) for kinds in ([], [0], [1], [3], [2, 0], [0, 0, 1], [3, 1, 1], [0, 1, 2, 3], [1, 1, 1, 1, 0]) for sep in ("und", ";")]
+    rows = [(k, t) for k, t in enumerate([*texts, None])] + [(None, texts[-1]), (3, texts[2])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in rows:
+        spans = plain(t or "")
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        want.append((str(i), *[sum(s[0] == k for s in spans) for k in range(4)], hashlib.sha256(listed.encode()).hexdigest()))
+    columns = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    assert sorted((str(r.doc_id), *[r[c] for c in columns]) for r in op6_pii(spark, str(tmp_path)).collect()) == sorted(want)
