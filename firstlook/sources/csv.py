@@ -8,7 +8,6 @@ import io
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import as_label, data_type, is_nested, is_number_text, q
-from ..plans.written import written
 from .csv_records import find_records, opens, read_lines
 from .order import ROW_ORDER, file_order
 
@@ -64,11 +63,12 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
         records, unclosed = find_records(lines)
         if unclosed:
             raise SourceError(f"{unclosed} file(s) end inside a quoted cell")
-        records = written(records.filter(_SOME_TEXT))
+        records = records.filter(_SOME_TEXT)
         firsts = records.groupBy(f"{ROW_ORDER}.file").agg(F.min_by("value", ROW_ORDER).alias("header"), F.min(f"{ROW_ORDER}.row").alias("first"))
         headers, _ = _headers(firsts.withColumn("torn", F.lit(False)))
         names, schema = _layout(headers)
-        rows = records.join(firsts.select("first"), F.col(ROW_ORDER)["row"] == F.col("first"), "left_anti")
+        # A number for each file, so that the records are not shuffled.
+        rows = records.join(F.broadcast(firsts.select("first")), F.col(ROW_ORDER)["row"] == F.col("first"), "left_anti")
         line = F.regexp_replace("value", r"\r\z", "")
         parsed = rows.select(F.from_csv(line, ", ".join(f"{c} string" for c in schema.names), _QUOTES).alias("r"), ROW_ORDER).select("r.*", ROW_ORDER)
     else:

@@ -3,12 +3,17 @@
 A text scan splits files anywhere and gives lines. Whether a line begins a record depends on whether the lines before it end inside a quoted cell. A line
 does one of three things to that state, whatever it was: it leaves it, sets it, or turns it round; patterns tell which, for both states that a line
 may begin in. Effects of following lines add up to an effect again, so each file split is summed up alone, a running total over one row for
-each split gives the state in which each of them begins, and with it that of every line. Only lines of records
-that span several lines are then gathered; all others stay where they were read.
+each split gives the state in which each of them begins. Records are then put together where their lines were read; only what lies on either side of
+the end of a split is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.written import written
@@ -20,6 +25,10 @@ _CELLS = rf'(?>(?:"{_QUOTED}"(?!")[^,]*+|[^",][^,]*+)?+,)*+'
 _ENDS_INSIDE = rf'{_CELLS}"{_QUOTED}\z'
 _STAYS_INSIDE = rf'(?:{_QUOTED}\z|{_QUOTED}"(?!")[^,]*+,{_ENDS_INSIDE})'
 
+EFFECTS = "file string, block long, outside boolean, inside boolean, begins boolean, bytes long"
+RECORDS = "value string, file string, block long, row long, head long"
+TASK_BYTES = 32 << 20
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, row order) of all lines."""
@@ -36,44 +45,98 @@ def _stays(value: Column) -> Column:
     return ~value.contains('"') | value.rlike("^" + _STAYS_INSIDE)
 
 
-def _odd(number: Column) -> Column:
-    return number.bitwiseAND(F.lit(1))
+def _splits_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The lines of each split in a batch; a split may go on in the next one."""
+    file, block = batch["file"].dictionary_encode().indices.to_numpy(), batch["block"].to_numpy()
+    cuts = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+    for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield (batch["file"][a].as_py(), batch["block"][a].as_py()), batch.slice(a, b - a)
+
+
+def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of EFFECTS: the state after a split that begins outside a quoted cell and after one that begins inside, whether a record begins in the latter, and bytes."""
+    at, rows = None, []
+    for batch in batches:
+        for split, lines in _splits_of(batch):
+            if split != at:
+                at = split
+                rows.append([*split, False, True, False, 0])
+            outside, inside, begins, size = rows[-1][2:]
+            for opens_, stays in zip(lines["opens"].to_pylist(), lines["stays"].to_pylist()):
+                begins |= not inside
+                outside, inside = stays if outside else opens_, stays if inside else opens_
+            rows[-1][2:] = outside, inside, begins, size + sum(lines["bytes"].to_pylist())
+    kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["file", "block", "outside", "inside", "begins", "bytes"])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of RECORDS: whole records, and of one that goes on in another split the lines in each, with the block that it begins in as head."""
+    at, inside, head, first, held, rows = None, False, None, 0, [], []
+
+    def put(head: int | None) -> None:
+        rows.append(("\n".join(held), *at, first, head))
+        held.clear()
+
+    def given() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["value", "file", "block", "row", "head"])
+        rows.clear()
+        return batch
+
+    for batch in batches:
+        for split, lines in _splits_of(batch):
+            if split != at:
+                if held:
+                    put(at[1] if head is None else head)
+                at, head = split, lines["carried"][0].as_py()
+                inside = head is not None
+            for value, row, opens_, stays in zip(*(lines[c].to_pylist() for c in ("value", "row", "opens", "stays"))):
+                if not held:
+                    first = row
+                held.append(value)
+                inside = stays if inside else opens_
+                if not inside:
+                    put(head)
+                    head = None
+        yield given()
+    if held:
+        put(at[1] if head is None else head)
+        yield given()
 
 
 def find_records(lines: DataFrame) -> tuple[DataFrame, int]:
-    """(value, row order) of all records, those of several lines with the order of their first one; and how many files end inside a quoted cell."""
+    """(value, row order) of all records, those of several lines with the order of their first one; and how many files end inside a quoted cell.
+
+    Takes lines as the scan gives them: the lines of a split in one task, in order. Records are written once, if no file ends inside a quoted cell.
+    """
     place = F.col(ROW_ORDER)
     at = ["file", "block"]
-    upto = Window.partitionBy(*at).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    effects = lines.select(place["file"].alias("file"), place["block"].alias("block"), place["row"].alias("row"),
-                           opens(F.col("value")).alias("opens"), _stays(F.col("value")).alias("stays"))
-    turned = effects.withColumn("turns", F.sum((F.col("opens") & ~F.col("stays")).cast("long")).over(upto))
-    # Where a line sets the state, the state if no turn had been made; it holds until the next such line.
-    sets = F.when(F.col("opens") == F.col("stays"), F.col("opens").cast("long").bitwiseXOR(_odd(F.col("turns"))))
-    states = turned.withColumn("base", F.last(sets, ignorenulls=True).over(upto))
+    judged = lines.select("value", F.octet_length("value").alias("bytes"), place["file"].alias("file"), place["block"].alias("block"), place["row"].alias("row"), opens(F.col("value")).alias("opens"), _stays(F.col("value")).alias("stays"))
+    splits = judged.select(*at, "bytes", "opens", "stays").mapInArrow(_effects, EFFECTS)
 
     along = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    splits = states.groupBy(*at).agg(F.max("turns").alias("turns"), F.max_by("base", "row").alias("base"))
-    total = _odd(F.sum("turns").over(along))
-    fixed = F.col("base").bitwiseXOR(_odd(F.col("turns"))).bitwiseXOR(F.col("total"))
-    after = F.coalesce(F.last(fixed, ignorenulls=True).over(along), F.lit(0)).bitwiseXOR(F.col("total"))
+    turns = F.sum((F.col("outside") & ~F.col("inside")).cast("long")).over(along).bitwiseAND(F.lit(1))
+    # Where a split sets the state, the state if no turn had been made; it holds until the next such split.
+    sets = F.when(F.col("outside") == F.col("inside"), F.col("outside").cast("long").bitwiseXOR(F.col("turns")))
+    after = F.coalesce(F.last(sets, ignorenulls=True).over(along), F.lit(0)).bitwiseXOR(F.col("turns"))
     by_block = Window.partitionBy("file").orderBy("block")
-    splits = written(splits.withColumn("total", total).withColumn("after", after).withColumn("before", F.lag("after", 1, 0).over(by_block)))
-    open_files = splits.groupBy("file").agg(F.max_by("after", "block").alias("after")).agg(F.sum("after")).first()[0] or 0
-
-    begun = states.join(splits.select(*at, "before"), at)
-    end = F.coalesce("base", "before").bitwiseXOR(_odd(F.col("turns")))
-    by_row = Window.partitionBy(*at).orderBy("row")
-    judged = begun.withColumn("ends", end).withColumn("begins", F.lag("ends").over(by_row))
-    judged = judged.withColumn("begins", F.coalesce("begins", "before"))
-    head = F.last(F.when(F.col("begins") == 0, F.col("row")), ignorenulls=True).over(upto)
-    parts = written(judged.withColumn("head", head).filter("begins = 1 OR ends = 1").select(*at, "row", "head"))
-    # Lines at the start of a split that go on with a record of an earlier one.
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.groupBy(*at).agg(F.max("head").alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(earlier))
-    heads = parts.join(carried, at).select(F.col("row").alias("part"), F.coalesce("head", "carried").alias("head"))
-
-    joined = lines.join(heads, place["row"] == F.col("part"), "left")
-    whole = joined.filter("head IS NULL").select("value", ROW_ORDER)
-    gathered = joined.filter("head IS NOT NULL").groupBy("head").agg(F.array_sort(F.collect_list(F.struct(place["row"].alias("row"), "value"))).alias("lines"), F.min(place).alias(ROW_ORDER))
-    return whole.union(gathered.select(F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"), ROW_ORDER)), open_files
+    states = written(splits.withColumn("turns", turns).withColumn("after", after).withColumn("before", F.lag("after", 1, 0).over(by_block)))
+    files = states.groupBy("file").agg(F.max_by("after", "block").alias("after"), F.sum("bytes").alias("bytes"))
+    open_files, size = (x or 0 for x in files.agg(F.sum("after"), F.sum("bytes")).first())
+    if open_files:
+        return lines, open_files
+
+    # The block in which the record begins that a split goes on with.
+    begun = F.when((F.col("before") == 0) | F.col("begins"), F.col("block"))
+    carried = states.withColumn("carried", F.last(begun, ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1))).filter("before = 1")
+    # A broadcast, whatever its size (a row for each split), since a shuffle would part the lines of splits.
+    told = judged.join(F.broadcast(carried.select(*at, "carried")), at, "left").select("value", *at, "row", "opens", "stays", "carried")
+    # Many small splits are read one after another, so that not every one makes a file.
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    found = written(told.coalesce(tasks).mapInArrow(_records, RECORDS))
+    order = F.struct(*at, "row").alias(ROW_ORDER)
+    parts = found.filter("head IS NOT NULL").groupBy("file", "head").agg(F.array_sort(F.collect_list(F.struct("block", "row", "value"))).alias("lines"), F.min(order).alias(ROW_ORDER))
+    gathered = written(parts.select(F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"), ROW_ORDER))
+    return found.filter("head IS NULL").select("value", order).union(gathered), 0

@@ -113,6 +113,21 @@ def test_line_break_in_a_header(spark, tmp_path):
         read_csv(spark, str(tmp_path))
 
 
+def test_lines_of_torn_records_are_not_shuffled(spark, tmp_path):
+    rows = [[str(k), f"{k}\n" * (1 + k % 40), "x"] for k in range(400)]
+    path = csv_of(tmp_path, as_csv([[*r, "y"] for r in rows], Random(3)))
+    settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        df = read_csv(spark, path)
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert [(str(r["k"]), r["a"], r["b"]) for r in df.orderBy(ROW_ORDER).collect()] == [tuple(r) for r in rows]
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_a_quoted_cell_without_an_end(spark, tmp_path):
     with pytest.raises(SourceError, match="1 file.* inside a quoted cell"):
         read_csv(spark, csv_of(tmp_path, 'a,b\n1,"x\n2,y\n'))
