@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -19,6 +19,7 @@ from ..operators.types import infer_types
 from ..sources.order import ROW_ORDER
 from .boosting import ROUNDS as BOOST_ROUNDS, Boosting
 from .features import fit_features
+from .forest import Forest
 from .metrics import classification_metrics, comparison, headline_metric, regression_metrics, roc_auc
 from .problem import BINARY, REGRESSION, ProblemInfo, detect_problem, split_features
 from .split import MAX_ROWS, TEST_SHARE, SplitError, select_rows, split_rows
@@ -86,14 +87,14 @@ class MLReport:
 
 def models_for(
     kind: str, train_rows: int, classes: int, early_stop: bool = False, forest_depth: int = FOREST_DEPTH
-) -> list[tuple[str, Estimator | Boosting]]:
+) -> list[tuple[str, Estimator | Boosting | Forest]]:
     """The three models of a problem kind, in a fixed order."""
     forest = {"numTrees": FOREST_TREES, "maxDepth": forest_depth, "seed": SEED}
     boosted = Boosting("squares" if kind == REGRESSION else "classes", classes, BOOST_ROUNDS, use_validation=early_stop)
     if kind == REGRESSION:
         return [
             ("LinearRegression", LinearRegression(regParam=0.0)),
-            ("RandomForestRegressor", RandomForestRegressor(featureSubsetStrategy="all", **forest)),
+            ("RandomForestRegressor", Forest(FOREST_TREES, forest_depth, SEED)),
             ("GBTRegressor", boosted),
         ]
     # An l2 penalty of one half the squared weights against the summed loss is 1/n against the mean loss.
@@ -212,7 +213,7 @@ def _fit_all(
         m.is_winner = best is not None and m.name == best["model"]
 
 
-def _fit_one(name: str, estimator: Estimator | Boosting, train: DataFrame, test: DataFrame, problem: ProblemInfo) -> ModelResult:
+def _fit_one(name: str, estimator: Estimator | Boosting | Forest, train: DataFrame, test: DataFrame, problem: ProblemInfo) -> ModelResult:
     """Fit and score one model; a failure becomes its error and does not stop the others."""
     start = time.perf_counter()
     try:
